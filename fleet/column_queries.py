@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import landwatch as lw
 from fleet.drift_queries import _COLLATERAL, _PLACE, _WITH_DIFF, changes_of, flat, new_root
-from fleet.inputs import AS_OF, SALT, SIGNING_KEY, ctes, table
+from fleet.inputs import AS_OF, SALT, SIGNING_KEY, ctes, stored, table
 from fleet.registry import register
 from fleet.signal_queries import _ACTIVE, _SIGNALS, _inputs
 from landwatch.functions.crypto import hmac_sha256_hex, verify_signature
@@ -248,7 +248,7 @@ _WITH_ENTITIES = ctes("named") + "," + _PROFILE
 
 @register("entity_occurrences", _WITH_ENTITIES + " SELECT * FROM occurrences")
 def entity_occurrences(spark, sf):
-    return lw.entity_occurrences(table(spark, sf, "named")).withColumn("conflicts", F.array_join("conflicts", "|"))
+    return lw.entity_occurrences(stored(spark, sf, "named")).withColumn("conflicts", F.array_join("conflicts", "|"))
 
 
 _OVERLAPS = """, found AS (SELECT upper(left(entity, 1)) || substr(entity, 2) AS entity_name, connection_id, table_key, join_key_col, confidence, conflicts,
@@ -258,7 +258,7 @@ _OVERLAPS = """, found AS (SELECT upper(left(entity, 1)) || substr(entity, 2) AS
 
 @register("entity_overlaps", _WITH_ENTITIES + _OVERLAPS + " SELECT * FROM found")
 def entity_overlaps(spark, sf):
-    return lw.entity_overlaps(table(spark, sf, "named")).withColumn("conflicts", F.array_join("conflicts", "|"))
+    return lw.entity_overlaps(stored(spark, sf, "named")).withColumn("conflicts", F.array_join("conflicts", "|"))
 
 
 @register("entity_overlap_pairs", _WITH_ENTITIES + """,
@@ -272,12 +272,12 @@ SELECT t.entity, a.connection_id AS anchor_connection_id, a.table_key AS anchor_
 FROM tabs t JOIN anchors a ON a.entity = t.entity AND a.connection_id <> t.connection_id
 LEFT JOIN common c ON c.entity = t.entity AND c.connection_id = t.connection_id AND c.table_key = t.table_key""")
 def entity_overlap_pairs(spark, sf):
-    return lw.entity_overlap_pairs(table(spark, sf, "named"))
+    return lw.entity_overlap_pairs(stored(spark, sf, "named"))
 
 
 def _entity_map(spark, sf):
     root = new_root(spark)
-    overlaps = lw.entity_overlaps(table(spark, sf, "named"))
+    overlaps = lw.entity_overlaps(stored(spark, sf, "named"))
     lw.write_entity_map(lw.entity_map_rows(overlaps, "2024-01-01 00:00:00"), root)
     lw.write_entity_map(lw.entity_map_rows(overlaps.filter(F.col("entity_name") == "Customer"), "2024-01-02 00:00:00"), root)
     return lw.read_state(spark, root, "entity_map")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 import landwatch as lw
-from fleet.inputs import AS_OF, SYSTEM_PREFIX, SYSTEM_SUFFIX, ctes, table
+from fleet.inputs import AS_OF, SYSTEM_PREFIX, SYSTEM_SUFFIX, ctes, stored, table
 from fleet.registry import register
 from landwatch.session import shared_dir
 from landwatch.sources.state import append_state
@@ -120,7 +120,7 @@ FROM d_{side} GROUP BY connection_id"""
 
 @register("content_hash", ctes("current") + _HASH.format(side="current"))
 def content_hash(spark, sf):
-    return lw.content_hash(table(spark, sf, "current"))
+    return lw.content_hash(stored(spark, sf, "current"))
 
 
 @register("content_hash_merged", ctes("current") + """
@@ -132,7 +132,7 @@ SELECT connection_id, count(*) AS column_count, sha256('merged|' || count(*)
 FROM digests GROUP BY connection_id""")
 def content_hash_merged(spark, sf):
     """The mergeable digest of very large connections, here for all of them."""
-    return lw.content_hash(table(spark, sf, "current"), exact_limit=0)
+    return lw.content_hash(stored(spark, sf, "current"), exact_limit=0)
 
 
 def _headers(df, suffix):
@@ -148,8 +148,8 @@ SELECT connection_id, hc.column_count, hc.content_hash AS current_hash, hp.conte
   CASE WHEN hp.connection_id IS NULL THEN 'BOOTSTRAP' WHEN hp.content_hash = hc.content_hash THEN 'UNCHANGED' ELSE 'CHANGED' END AS gate_state
 FROM hc LEFT JOIN hp USING (connection_id)""")
 def hash_gate(spark, sf):
-    current = lw.content_hash(table(spark, sf, "current"))
-    return lw.hash_gate(current, _headers(table(spark, sf, "prior"), "_1")).select(
+    current = lw.content_hash(stored(spark, sf, "current"))
+    return lw.hash_gate(current, _headers(stored(spark, sf, "prior"), "_1")).select(
         "connection_id", "column_count", "current_hash", "prior_hash", "gate_state"
     )
 
@@ -278,7 +278,7 @@ def classify_changes(spark, sf):
 @register("plan_drift", _WITH_DIFF + _CLASSIFIED + f""" SELECT {_CLASSIFIED_COLUMNS} FROM classified
 WHERE connection_id IN (SELECT connection_id FROM d_prior)""")
 def plan_drift(spark, sf):
-    return _short(lw.plan_drift(*_sides(spark, sf), (SYSTEM_PREFIX, SYSTEM_SUFFIX)))
+    return _short(lw.plan_drift(stored(spark, sf, "prior"), stored(spark, sf, "current"), (SYSTEM_PREFIX, SYSTEM_SUFFIX)))
 
 
 @register("needs_human_review", _WITH_DIFF + _CLASSIFIED + f""" SELECT {_CLASSIFIED_COLUMNS},
@@ -312,8 +312,8 @@ def _syncs(spark, sf, received_at):
 def run_detection(spark, sf, root):
     """A first run that stores the baseline, then a second over the changed columns."""
     system = (SYSTEM_PREFIX, SYSTEM_SUFFIX)
-    lw.detect_drift(_syncs(spark, sf, "2024-01-01 00:00:00"), table(spark, sf, "prior"), root, system)
-    return lw.detect_drift(_syncs(spark, sf, "2024-01-02 00:00:00"), table(spark, sf, "current"), root, system)
+    lw.detect_drift(_syncs(spark, sf, "2024-01-01 00:00:00"), stored(spark, sf, "prior"), root, system)
+    return lw.detect_drift(_syncs(spark, sf, "2024-01-02 00:00:00"), stored(spark, sf, "current"), root, system)
 
 
 @register("detect_drift", _WITH_DIFF + _CLASSIFIED + f""" SELECT {_CLASSIFIED_COLUMNS}, 'PROPOSED' AS remediation_status FROM classified""")

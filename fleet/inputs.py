@@ -12,6 +12,8 @@ from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession
 
+from landwatch.session import materialize
+
 AS_OF = "2024-01-31 00:00:00"
 SLA_HOURS = 6.0
 SIGNING_KEY = "fleet-signing-key"
@@ -79,8 +81,8 @@ DERIVED: dict[str, str] = {
     # Landed columns: an order is a table, its lines are the columns. One connection holds
     # a third of them; the others hold 250 tables each.
     "fleet_base": """
-        SELECT l_orderkey, l_partkey, min(l_linenumber) AS line, min(l_returnflag) AS flag,
-               max(l_linestatus) AS status, cast(max(l_quantity) AS bigint) AS qty,
+        SELECT l_orderkey, l_partkey, min(l_linenumber) AS line, min(ascii(l_returnflag)) AS flag,
+               max(ascii(l_linestatus)) AS status, cast(max(l_quantity) AS bigint) AS qty,
                max(l_discount) AS discount
         FROM {lineitem} GROUP BY l_orderkey, l_partkey""",
     "fleet_names": """
@@ -97,13 +99,13 @@ DERIVED: dict[str, str] = {
         SELECT connection_id, table_schema, table_name, column_name, old_type AS data_type,
                cast(row_number() OVER (PARTITION BY connection_id, table_schema, table_name ORDER BY line, l_partkey) AS bigint) AS ordinal_position,
                qty > 25 AS is_nullable
-        FROM {fleet_names} WHERE NOT (flag = 'A' AND status = 'O')""",
+        FROM {fleet_names} WHERE NOT (flag = ascii('A') AND status = ascii('O'))""",
     "current": """
         SELECT connection_id, table_schema, table_name, column_name,
                CASE WHEN discount > 0.085 THEN 'STRING' ELSE old_type END AS data_type,
                cast(row_number() OVER (PARTITION BY connection_id, table_schema, table_name ORDER BY line, l_partkey) AS bigint) AS ordinal_position,
                qty > 20 AS is_nullable
-        FROM {fleet_names} WHERE NOT (flag = 'R' AND status = 'O')""",
+        FROM {fleet_names} WHERE NOT (flag = ascii('R') AND status = ascii('O'))""",
     # Metadata rows as an information schema gives them, some of the loader's own columns too.
     "metadata_rows": """
         SELECT connection_id, table_schema, table_name,
@@ -219,6 +221,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **inputs)
 
 
+def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derivation written as a table first, as landed metadata is in production, for
+    operators that read it more than once."""
+    return materialize(table(spark, sf_dir, name), name)
+
+
 def ctes(*names: str) -> str:
     """``WITH`` clause defining the given derivations and all they use."""
     ordered: list[str] = []

@@ -26,14 +26,20 @@ def _quoted(value: Column) -> Column:
     return F.when(has_single & ~has_double, double).otherwise(single)
 
 
-def _entry(c: Column) -> Column:
-    """One column as ``('schema', 'table', 'column', 'TYPE', 1)``."""
+_SPECIAL = r"['\\\n\r\t]"
+
+
+def _entry(c: Column, quote: bool) -> Column:
+    """One column as ``('schema', 'table', 'column', 'TYPE', 1)``. Without ``quote`` the
+    strings are known to hold no character that needs escaping."""
+
+    def text(part: str) -> Column:
+        return _quoted(c[part]) if quote else F.concat(F.lit("'"), c[part], F.lit("'"))
+
     return F.concat(
         F.lit("("),
         F.concat_ws(
-            ", ",
-            *[_quoted(c[p]) for p in _PARTS[:-1]],
-            c["ordinal_position"].cast("bigint").cast("string"),
+            ", ", *[text(p) for p in _PARTS[:-1]], c["ordinal_position"].cast("bigint").cast("string")
         ),
         F.lit(")"),
     )
@@ -63,9 +69,13 @@ def content_hash(
         .filter(F.col("n") > exact_limit)
         .select(*by, F.lit(True).alias("is_large"))
     )
-    tagged = landed.select(*by, row.alias("c")).join(F.broadcast(large), list(by), "left")
+    special = F.concat_ws(" ", *[F.col(p) for p in _PARTS[:-1]]).rlike(_SPECIAL)
+    tagged = landed.select(*by, row.alias("c"), special.alias("special")).join(
+        F.broadcast(large), list(by), "left"
+    )
     is_large = F.col("is_large").isNotNull()
-    row_digest = F.sha2(_entry(F.col("c")), 256)
+    one = F.col("c")
+    row_digest = F.sha2(F.when(F.col("special"), _entry(one, True)).otherwise(_entry(one, False)), 256)
     parts = [
         F.sum(
             F.when(
@@ -75,8 +85,11 @@ def content_hash(
         ).alias(f"s{i}")
         for i in range(4)
     ]
-    sorted_entries = F.transform(F.array_sort(F.col("rows")), _entry)
-    exact = F.sha2(F.concat(F.lit("["), F.array_join(sorted_entries, ", "), F.lit("]")), 256)
+    ordered = F.sort_array(F.col("rows"))
+    entries = F.when(
+        F.col("any_special"), F.transform(ordered, lambda c: _entry(c, True))
+    ).otherwise(F.transform(ordered, lambda c: _entry(c, False)))
+    exact = F.sha2(F.concat(F.lit("["), F.array_join(entries, ", "), F.lit("]")), 256)
     merged = F.sha2(
         F.concat_ws("|", F.lit("merged"), F.col("column_count"), *[F.col(f"s{i}") for i in range(4)]),
         256,
@@ -86,6 +99,7 @@ def content_hash(
         .agg(
             F.count(F.lit(1)).alias("column_count"),
             F.collect_list(F.when(~is_large, F.col("c"))).alias("rows"),
+            F.bool_or("special").alias("any_special"),
             *parts,
         )
         .select(

@@ -18,6 +18,16 @@ KIND_TO_SPARK = {
     "dict": "string",
     "NoneType": "string",
 }
+_VARIANT_KINDS = {
+    "VOID": "NoneType",
+    "OBJECT": "dict",
+    "ARRAY": "list",
+    "BIGINT": "int",
+    "BOOLEAN": "bool",
+    "DECIMAL": "float",
+    "DOUBLE": "float",
+    "FLOAT": "float",
+}
 KIND_TO_WAREHOUSE = {"str": "STRING", "int": "INT64", "float": "FLOAT64", "bool": "BOOL", "NoneType": "STRING"}
 
 
@@ -35,16 +45,10 @@ def json_object_map(text: Column) -> Column:
 
 def json_kind(value: Column) -> Column:
     """Kind of a variant value, one of JSON_KINDS. A NULL variant is a JSON null."""
-    kind = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull() | (kind == "VOID"), "NoneType")
-        .when(kind.startswith("OBJECT"), "dict")
-        .when(kind.startswith("ARRAY"), "list")
-        .when(kind == "BIGINT", "int")
-        .when(kind == "BOOLEAN", "bool")
-        .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), "float")
-        .otherwise("str")
-    )
+    names = F.create_map(*[F.lit(x) for pair in _VARIANT_KINDS.items() for x in pair])
+    # The part before any parameters: OBJECT<a: BIGINT> is an OBJECT.
+    kind = names[F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)]
+    return F.when(value.isNull(), "NoneType").otherwise(F.coalesce(kind, F.lit("str")))
 
 
 def variant_text(value: Column) -> Column:

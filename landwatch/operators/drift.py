@@ -43,19 +43,30 @@ def match_columns(
     Spark 4.1 skip it (``spark.sql.unionOutputPartitioning``), and its adaptive local reads
     can then separate rows of one key.
     """
-    payload = F.struct(
-        F.col("ordinal_position").cast("bigint").alias("ordinal_position"), "data_type", "is_nullable"
+    columns = [*keys, *COLUMN_STRUCT.names]
+    both = (
+        prior.select(*columns, F.lit(False).alias("is_current"))
+        .unionByName(current.select(*columns, F.lit(True).alias("is_current")))
+        .repartition(*keys, *_PLACE, "column_name")
     )
-    name = [*keys, *_PLACE, "column_name"]
+    return match_tagged(both, keys)
+
 
-    def tagged(df: DataFrame, is_current: bool) -> DataFrame:
-        return df.select(*name, payload.alias("c"), F.lit(is_current).alias("is_current"))
+def _digest(names: list[str]) -> Column:
+    """A number standing for the key in sorts: put before the key's own strings, it decides
+    almost every comparison, and equal prefixes such as a common connection cost nothing."""
+    return F.xxhash64(*names)
 
+
+def match_tagged(columns: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """As ``match_columns`` for rows of both sides in one frame, told apart by ``is_current``."""
+    name = [*keys, *_PLACE, "column_name"]
+    payload = F.struct(
+        F.col("ordinal_position").cast("bigint").alias("ordinal_position"), "data_type", "is_nullable"
+    )
     return (
-        tagged(prior, False)
-        .unionByName(tagged(current, True))
-        .repartition(*name)
-        .groupBy(*name)
+        columns.select(*name, payload.alias("c"), "is_current")
+        .groupBy(_digest(name).alias("_digest"), *name)
         .agg(
             F.max(F.when(~F.col("is_current"), F.col("c"))).alias("p"),
             F.max(F.when(F.col("is_current"), F.col("c"))).alias("n"),
@@ -73,13 +84,17 @@ def changed_columns(
     share of the two snapshots, so the snapshots are read and shuffled once instead of once
     per kind of change, and later joins know the real size of their inputs.
     """
+    return store_changed(match_columns(prior, current, keys))
+
+
+def store_changed(matched: DataFrame) -> DataFrame:
     differs = (
         F.col("before").isNull()
         | F.col("after").isNull()
         | (F.col("before.data_type") != F.col("after.data_type"))
         | (F.col("before.ordinal_position") != F.col("after.ordinal_position"))
     )
-    return materialize(match_columns(prior, current, keys).filter(differs), "changed-columns")
+    return materialize(matched.filter(differs), "changed-columns")
 
 
 def diff_kept(matched: DataFrame, keys: tuple[str, ...] = ("connection_id",)) -> DataFrame:
@@ -98,10 +113,13 @@ def diff_kept(matched: DataFrame, keys: tuple[str, ...] = ("connection_id",)) ->
 def _lone(matched: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
     """Columns on one side only, with how many same-type columns of the same table are on
     each side."""
-    group = [*keys, *_PLACE, "data_type"]
-    lone = matched.filter(F.col("before").isNull() | F.col("after").isNull()).withColumn(
-        "data_type", F.coalesce("before.data_type", "after.data_type")
+    names = [*keys, *_PLACE, "data_type"]
+    lone = (
+        matched.filter(F.col("before").isNull() | F.col("after").isNull())
+        .withColumn("data_type", F.coalesce("before.data_type", "after.data_type"))
+        .withColumn("_digest", _digest(names))
     )
+    group = ["_digest", *names]
     sizes = lone.groupBy(*group).agg(
         F.count_if(F.col("before").isNotNull()).alias("n_removed"),
         F.count_if(F.col("after").isNotNull()).alias("n_added"),
@@ -169,7 +187,13 @@ def diff_columns(
     and stored when this is called; the changes are then derived from them lazily. With
     ``ordered`` rows come by table, then kept, renamed, new and dropped columns.
     """
-    matched = changed_columns(prior, current, keys)
+    return changes_from(changed_columns(prior, current, keys), keys, ordered)
+
+
+def changes_from(
+    matched: DataFrame, keys: tuple[str, ...] = ("connection_id",), ordered: bool = False
+) -> DataFrame:
+    """All candidate changes of matched columns."""
     changes = (
         diff_kept(matched, keys)
         .unionByName(diff_rename_candidates(matched, keys))

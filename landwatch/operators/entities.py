@@ -107,7 +107,7 @@ def entity_occurrences(landed: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("n_columns"),
             F.count_if("is_shared").alias("n_shared"),
             F.min_by("column_name", F.when(rank.isNotNull(), F.struct(rank.alias("r"), "ordinal_position"))).alias("join_key_col"),
-            F.array_sort(F.array_union(F.collect_set("type_conflict"), F.collect_set("null_conflict"))).alias("conflicts"),
+            F.sort_array(F.array_union(F.collect_set("type_conflict"), F.collect_set("null_conflict"))).alias("conflicts"),
         )
     )
     share = F.col("n_shared") / F.col("n_columns")

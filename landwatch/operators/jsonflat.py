@@ -64,8 +64,9 @@ def infer_json_structure(
     if mode == "sample":
         found = keys.groupBy("key").agg(F.min_by("kind", "at").alias("json_type"), F.min("at").alias("at"))
     else:
-        seen = {k: F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in JSON_KINDS}
-        has = {k: F.col(f"n_{k}") > 0 for k in JSON_KINDS}
+        # The kinds seen, one bit each.
+        bits = F.create_map(*[F.lit(x) for i, k in enumerate(JSON_KINDS) for x in (k, 1 << i)])
+        has = {k: F.col("mask").bitwiseAND(1 << i) > 0 for i, k in enumerate(JSON_KINDS)}
         n_kinds = sum((has[k].cast("int") for k in JSON_KINDS if k != "NoneType"), F.lit(0))
         only_numbers = ~has["str"] & ~has["bool"]
         widest = (
@@ -75,7 +76,7 @@ def infer_json_structure(
             .when(only_numbers, "float")
             .otherwise("str")
         )
-        found = keys.groupBy("key").agg(*seen.values(), F.min("at").alias("at")).select(
+        found = keys.groupBy("key").agg(F.bit_or(bits[F.col("kind")]).alias("mask"), F.min("at").alias("at")).select(
             "key", widest.alias("json_type"), "at"
         )
     placeholder = found.sparkSession.range(1).select(
@@ -127,8 +128,9 @@ def flatten_json(df: DataFrame, column: str, structure: list[tuple[str, str]] |
         value = F.col("_object")[key]
         text = variant_text(value)
         if kind not in ("list", "dict"):
-            # A nested value is not a scalar: only keep text of scalar variants.
-            text = F.when(~json_kind(value).isin("list", "dict"), text)
+            # A nested value is not a scalar. Only text that looks nested needs the kind.
+            looks_nested = text.rlike(r"^[\[{]")
+            text = F.when(~looks_nested | ~json_kind(value).isin("list", "dict"), text)
         fields.append(text.try_cast(KIND_TO_SPARK[kind]).alias(name))
     return parsed.select(*[F.col(f"`{c}`") for c in kept], *fields)
 

@@ -66,7 +66,7 @@ def build_prompts(
     if kind in ("docs", "sensitivity"):
         column = F.struct("ordinal_position", "column_name", "data_type")
         df = df.groupBy(*keys, table_key().alias("table_key")).agg(
-            F.array_sort(F.collect_list(column)).alias("columns")
+            F.sort_array(F.collect_list(column)).alias("columns")
         )
     facts = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
     return df.withColumn("prompt", F.concat(F.lit(_ASK[kind] + "\n\nDATA:\n"), facts))

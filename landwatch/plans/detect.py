@@ -10,11 +10,17 @@ from pyspark.sql import functions as F
 from landwatch.functions.hashing import content_hash, empty_hash
 from landwatch.functions.text import blank_to, stable_id
 from landwatch.operators.classify import classify_changes
-from landwatch.operators.drift import diff_columns, hash_gate
+from landwatch.operators.drift import (
+    changes_from,
+    diff_columns,
+    hash_gate,
+    match_tagged,
+    store_changed,
+)
 from landwatch.schemas import STATE_TABLES
 from landwatch.session import materialize
 from landwatch.sources.metadata import exclude_system_columns, resolve_destination
-from landwatch.sources.snapshots import latest_snapshot, snapshot_columns
+from landwatch.sources.snapshots import latest_snapshot
 from landwatch.sources.state import (
     append_state,
     insert_drift_event,
@@ -26,24 +32,34 @@ PAIR = ("connection_id", "from_snapshot_id", "to_snapshot_id")
 
 
 def diff_history(
-    snapshots_pairs: DataFrame, column_snapshots: DataFrame, exclude: tuple[str, str] | None = None
+    pairs: DataFrame, column_snapshots: DataFrame, exclude: tuple[str, str] | None = None
 ) -> DataFrame:
     """Candidate changes of every snapshot pair at once.
 
-    Each column row is read once and sent to the pairs its snapshot takes part in: as the
-    older side of at most one and the newer side of at most one.
+    Each column row is read once and sent to the pairs its snapshot takes part in, as the
+    older side of at most one and the newer side of at most one; one shuffle by column name
+    then matches the sides of all pairs. When the columns carry their date partition, the
+    join names the dates too, so only those partitions are read. Rows a replay wrote twice
+    collapse in the match.
     """
     columns = column_snapshots
     if exclude is not None:
         columns = exclude_system_columns(columns, *exclude)
-    pairs = snapshots_pairs.select(*PAIR)
-    prior = columns.withColumnRenamed("snapshot_id", "from_snapshot_id").join(
-        pairs, ["connection_id", "from_snapshot_id"]
-    )
-    current = columns.withColumnRenamed("snapshot_id", "to_snapshot_id").join(
-        pairs, ["connection_id", "to_snapshot_id"]
-    )
-    return diff_columns(prior, current, PAIR)
+    on = ["connection_id", "snapshot_id"]
+    sides = [
+        F.struct(
+            F.col(f"{side}_snapshot_id").alias("snapshot_id"),
+            F.to_date(f"{side}_captured_at").alias("captured_at_date"),
+            F.lit(side == "to").alias("is_current"),
+        )
+        for side in ("from", "to")
+    ]
+    wanted = pairs.select(*PAIR, F.explode(F.array(*sides)).alias("w")).select(*PAIR, "w.*")
+    if "captured_at_date" in columns.columns:
+        on.append("captured_at_date")
+    else:
+        wanted = wanted.drop("captured_at_date")
+    return changes_from(store_changed(match_tagged(columns.join(wanted, on), PAIR)), PAIR)
 
 
 def drift_rows(classified: DataFrame, detected_at: str = "detected_at") -> DataFrame:
@@ -156,15 +172,7 @@ def detect_drift(
         F.col("prior_captured_at").alias("from_captured_at"),
         F.col("captured_at").alias("to_captured_at"),
     )
-    wanted = pairs.select(
-        F.explode(
-            F.array(
-                F.struct(F.col("from_snapshot_id").alias("snapshot_id"), F.to_date("from_captured_at").alias("captured_at_date")),
-                F.struct(F.col("to_snapshot_id").alias("snapshot_id"), F.to_date("to_captured_at").alias("captured_at_date")),
-            )
-        ).alias("w")
-    ).select("w.*")
-    changes = diff_history(pairs, snapshot_columns(stored, wanted))
+    changes = diff_history(pairs, stored)
     classified = classify_changes(changes, model_fn, PAIR).join(
         pairs.select("to_snapshot_id", F.col("to_captured_at").alias("detected_at")), "to_snapshot_id"
     )
@@ -185,8 +193,11 @@ def detect_drift(
     )
     append_state(headers, root, "schema_snapshots")
     new_ids = opened.select(F.col("snapshot_id").alias("to_snapshot_id"))
-    return read_state(spark, root, "drift_events").join(new_ids, "to_snapshot_id", "left_semi").select(
-        *STATE_TABLES["drift_events"].schema.names
+    written = read_state(spark, root, "drift_events", deduplicate=False)
+    return (
+        written.join(new_ids, "to_snapshot_id", "left_semi")
+        .dropDuplicates(["drift_id"])
+        .select(*STATE_TABLES["drift_events"].schema.names)
     )
 
 

@@ -23,7 +23,7 @@ _ERRORS = "array<struct<rank:int,error_code:string,count:bigint,sample_message:s
 def _error_list(errors: DataFrame, name: str) -> DataFrame:
     """A connection's errors, at most five, as one array."""
     item = F.struct("rank", "error_code", "count", "sample_message")
-    return errors.groupBy("connection_id").agg(F.array_sort(F.collect_list(item)).alias(name))
+    return errors.groupBy("connection_id").agg(F.sort_array(F.collect_list(item)).alias(name))
 
 
 def diagnose_failures(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landwatch.functions.text import stable_id
-from landwatch.operators.entities import MIN_CONFIDENCE, entity_occurrences
+from landwatch.operators.entities import MIN_CONFIDENCE, entity_occurrences, entity_of_table
 from landwatch.operators.model import build_prompts, run_model, with_fallbacks
 
 
@@ -32,10 +32,15 @@ def entity_overlaps(
     found = entity_occurrences(landed)
     if model_fn is not None:
         found = _with_model(found, model_fn)
-    single = landed.agg(F.min("connection_id") == F.max("connection_id")).scalar()
-    spread = found.groupBy("entity").agg(
+    # Where each entity occurs. Without a model this comes from two columns of the input
+    # rather than from the occurrences, which cost two joins.
+    places = found if model_fn is not None else landed.select(
+        "connection_id", entity_of_table(F.col("table_name")).alias("entity")
+    )
+    spread = places.groupBy("entity").agg(
         (F.min("connection_id") != F.max("connection_id")).alias("is_spread")
     )
+    single = landed.agg(F.min("connection_id") == F.max("connection_id")).scalar()
     catalog = F.coalesce(single, F.lit(True))
     return (
         found.join(spread, "entity")

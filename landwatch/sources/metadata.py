@@ -60,7 +60,7 @@ def schema_by_table(landed: DataFrame) -> DataFrame:
     """
     column = F.struct("ordinal_position", "column_name", "data_type", "is_nullable")
     return landed.groupBy("connection_id", table_key().alias("table_key")).agg(
-        F.array_sort(F.collect_list(column)).alias("columns")
+        F.sort_array(F.collect_list(column)).alias("columns")
     )
 
 

@@ -26,7 +26,7 @@ def json_sample(
     order = F.struct(*keys)
     picked = present.select(order.alias("_k"), F.col(column).alias("value")).orderBy("_k").limit(n)
     # The limit leaves n rows, so numbering them in one partition is bounded.
-    return picked.agg(F.array_sort(F.collect_list(F.struct("_k", "value"))).alias("s")).select(
+    return picked.agg(F.sort_array(F.collect_list(F.struct("_k", "value"))).alias("s")).select(
         F.posexplode("s").alias("row_no", "r")
     ).select(F.col("row_no").cast("bigint").alias("row_no"), "r.value")
 

@@ -23,8 +23,9 @@ def _path(root: str, table: str) -> str:
 def append_state(df: DataFrame, root: str, table: str) -> None:
     """Append rows to a state table.
 
-    The rebalance hint lets AQE split a large date over several files and merge small ones;
-    rows are then sorted by the cluster columns inside each file.
+    Rows are brought together by date and first cluster column, so a file holds few
+    connections and readers skip the others; the rebalance hint lets AQE split a key that
+    holds too many rows and merge small ones. Rows are sorted inside each file.
     """
     spec = _TABLES[table]
     missing = [f.name for f in spec.schema.fields if not f.nullable and f.name not in df.columns]
@@ -45,7 +46,7 @@ def append_state(df: DataFrame, root: str, table: str) -> None:
         df.select(*columns)
         .select(*checked)
         .withColumn(spec.date_column, F.to_date(spec.time_column))
-        .hint("rebalance", F.col(spec.date_column))
+        .hint("rebalance", F.col(spec.date_column), F.col(spec.cluster_by[0]))
         .sortWithinPartitions(spec.date_column, *spec.cluster_by)
         .write.mode("append")
         .partitionBy(spec.date_column)
@@ -133,7 +134,7 @@ def normalize_updates(updates: DataFrame) -> DataFrame | None:
 def fold_drift_events(inserted: DataFrame, updates: DataFrame | None) -> DataFrame:
     """Current state of every drift event: each field's latest set value over its insert.
 
-    Ties in updated_at go to the further lifecycle status, then to the larger value, so
+    Ties in updated_at go to the further lifecycle status, then to a hash of the content, so
     the fold does not depend on read order. Updates of unknown events change nothing.
     """
     if updates is None:
@@ -148,15 +149,16 @@ def fold_drift_events(inserted: DataFrame, updates: DataFrame | None) -> DataFra
             ),
             F.lit(0),
         )
+    # Ties are broken by content, computed once per row.
+    content = F.xxhash64(F.array_join("set_fields", ","), *[F.col(c) for c in present])
+    updates = updates.withColumn("_order", F.struct("updated_at", status_rank.alias("r"), content.alias("h")))
     aggregates = []
     for c in present:
         if c == "updated_at":
             aggregates.append(F.max("updated_at").alias("_updated_at"))
             continue
-        value = F.struct(F.col(c).alias("v"))
-        order = F.struct(F.col("updated_at"), status_rank.alias("r"), F.to_json(value).alias("t"))
-        is_set = F.array_contains("set_fields", c)
-        aggregates.append(F.max_by(F.when(is_set, value), F.when(is_set, order)).alias(f"_{c}"))
+        order = F.when(F.array_contains("set_fields", c), F.col("_order"))
+        aggregates.append(F.max_by(F.struct(F.col(c).alias("v")), order).alias(f"_{c}"))
     latest = updates.groupBy("drift_id").agg(*aggregates)
     joined = inserted.join(latest, "drift_id", "left")
     out = []
