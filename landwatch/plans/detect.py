@@ -229,26 +229,18 @@ def retry_rejected(spark, root: str, model_fn: Callable[[str], str] | None = Non
 def plan_drift(
     prior: DataFrame, current: DataFrame, system_columns: tuple[str, str] | None = None
 ) -> DataFrame:
-    """Read-only detection between two column sets of the whole fleet: hash gate, diff of the
-    changed connections only, classification by rules.
+    """Read-only detection between two column sets of the whole fleet: diff and
+    classification by rules.
 
-    Connections with no prior columns are new: they get no changes.
+    Connections with no prior columns are new: they get no changes. There is no hash gate
+    here, since hashing both sides costs more than the one pass that matches them; the gate
+    pays when the prior hash is stored, as in ``detect_drift``.
     """
     if system_columns is not None:
         prior = exclude_system_columns(prior, *system_columns)
         current = exclude_system_columns(current, *system_columns)
-    before = content_hash(prior).select("connection_id", F.col("content_hash").alias("prior_hash"))
-    after = content_hash(current).select("connection_id", "content_hash")
-    changed = (
-        before.join(after, "connection_id", "left")
-        .filter(~F.coalesce(F.col("content_hash") == F.col("prior_hash"), F.lit(False)))
-        .select("connection_id")
-    )
-    changes = diff_columns(
-        prior.join(changed, "connection_id", "left_semi"),
-        current.join(changed, "connection_id", "left_semi"),
-    )
-    return classify_changes(changes)
+    known = prior.select("connection_id").distinct()
+    return classify_changes(diff_columns(prior, current.join(known, "connection_id", "left_semi")))
 
 
 __all__ = [
