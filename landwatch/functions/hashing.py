@@ -60,19 +60,23 @@ def content_hash(
     whenever the set of columns does; the form depends on the count only, so equal content
     always gives equal digests.
 
-    The ids of large groups are broadcast: there are at most rows / ``exact_limit`` of them.
+    There are at most rows / ``exact_limit`` large groups, so with a limit of 10,000 or more
+    their ids are broadcast; below that Spark chooses the join. A limit of 0 takes the merging
+    digest for every group.
     """
     row = F.struct(*[F.col(p) for p in _PARTS])
-    large = (
-        landed.groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > exact_limit)
-        .select(*by, F.lit(True).alias("is_large"))
-    )
     special = F.concat_ws(" ", *[F.col(p) for p in _PARTS[:-1]]).rlike(_SPECIAL)
-    tagged = landed.select(*by, row.alias("c"), special.alias("special")).join(
-        F.broadcast(large), list(by), "left"
-    )
+    tagged = landed.select(*by, row.alias("c"), special.alias("special"))
+    if exact_limit <= 0:
+        tagged = tagged.withColumn("is_large", F.lit(True))
+    else:
+        large = (
+            landed.groupBy(*by)
+            .agg(F.count(F.lit(1)).alias("n"))
+            .filter(F.col("n") > exact_limit)
+            .select(*by, F.lit(True).alias("is_large"))
+        )
+        tagged = tagged.join(F.broadcast(large) if exact_limit >= 10_000 else large, list(by), "left")
     is_large = F.col("is_large").isNotNull()
     one = F.col("c")
     row_digest = F.sha2(F.when(F.col("special"), _entry(one, True)).otherwise(_entry(one, False)), 256)

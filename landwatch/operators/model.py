@@ -18,6 +18,8 @@ from landwatch.functions.text import table_key
 from landwatch.schemas import CHANGE_TYPES
 from landwatch.session import materialize
 
+COLUMNS_PER_PROMPT = 500
+
 _ASK = {
     "change": "A landed table changed between two snapshots. Decide which of "
     + ", ".join(CHANGE_TYPES)
@@ -58,24 +60,28 @@ def build_prompts(
     """Add a ``prompt`` column: what is asked, then the row's data as JSON.
 
     One prompt per row. Column-level questions (``docs``, ``sensitivity``) take landed
-    columns and ask once per table: the table is the natural bounded unit, where one prompt
-    per connection would grow without limit.
+    columns and ask once per table, and once per ``COLUMNS_PER_PROMPT`` columns of a wider
+    one: neither a prompt nor the group it is collected from grows with the data.
     """
     if kind not in _ASK:
         raise ValueError(f"unknown prompt kind: {kind}")
     if kind in ("docs", "sensitivity"):
         column = F.struct("ordinal_position", "column_name", "data_type")
-        df = df.groupBy(*keys, table_key().alias("table_key")).agg(
+        part = F.floor((F.col("ordinal_position") - 1) / COLUMNS_PER_PROMPT).alias("part")
+        df = df.groupBy(*keys, table_key().alias("table_key"), part).agg(
             F.sort_array(F.collect_list(column)).alias("columns")
         )
     facts = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
     return df.withColumn("prompt", F.concat(F.lit(_ASK[kind] + "\n\nDATA:\n"), facts))
 
 
-def run_model(prompts: DataFrame, model_fn: Callable[[str], str]) -> DataFrame:
+def run_model(
+    prompts: DataFrame, model_fn: Callable[[str], str], partitions: int | None = None
+) -> DataFrame:
     """Add the model's reply as ``raw``; NULL where the call raised or there is no prompt.
 
-    Calls run in the tasks, one Arrow batch of prompts at a time. Replies are written to the
+    Calls run in the tasks, one Arrow batch of prompts at a time; ``partitions`` spreads the
+    prompts evenly over that many tasks, which bounds the number of parallel calls. Replies are written to the
     shared folder at once: they are costly and may differ on a second call, so a lost
     executor or a second reader must not repeat them.
     """
@@ -99,6 +105,8 @@ def run_model(prompts: DataFrame, model_fn: Callable[[str], str]) -> DataFrame:
     # Nested columns travel as JSON text: Arrow-to-pandas conversion of nested rows would
     # otherwise change their shape on the way back.
     nested = [f for f in prompts.schema.fields if not _is_plain(f)]
+    if partitions is not None:
+        prompts = prompts.repartition(partitions)
     flat = prompts.withColumns({f.name: F.to_json(f.name, {"ignoreNullFields": "false"}) for f in nested})
     flat_schema = StructType([*flat.schema.fields, StructField("raw", StringType())])
     out = flat.mapInPandas(call, flat_schema)

@@ -20,7 +20,7 @@ from landwatch.operators.drift import (
 from landwatch.schemas import STATE_TABLES
 from landwatch.session import materialize
 from landwatch.sources.metadata import exclude_system_columns, resolve_destination
-from landwatch.sources.snapshots import latest_snapshot
+from landwatch.sources.snapshots import latest_snapshot, prunable
 from landwatch.sources.state import (
     append_state,
     insert_drift_event,
@@ -57,6 +57,7 @@ def diff_history(
     wanted = pairs.select(*PAIR, F.explode(F.array(*sides)).alias("w")).select(*PAIR, "w.*")
     if "captured_at_date" in columns.columns:
         on.append("captured_at_date")
+        wanted = prunable(wanted, "captured_at_date")
     else:
         wanted = wanted.drop("captured_at_date")
     return changes_from(store_changed(match_tagged(columns.join(wanted, on), PAIR)), PAIR)
@@ -110,6 +111,10 @@ def gate_connections(
         )
         .select("connection_id", "captured_at", "s.connection_name", "s.sync_id")
     )
+    # Stored first, so its real size decides the join below: while the ids fit the broadcast
+    # threshold the landed columns are filtered in place, and a connection with a large share
+    # of them is hashed from map-side partial results instead of being moved to one task.
+    newest = materialize(newest, "synced")
     hashes = content_hash(landed.join(newest.select("connection_id"), "connection_id", "left_semi"))
     current = newest.join(hashes, "connection_id", "left").withColumns(
         {

@@ -21,6 +21,13 @@ def latest_snapshot(snapshots: DataFrame) -> DataFrame:
     )
 
 
+def prunable(wanted: DataFrame, date_column: str) -> DataFrame:
+    """``wanted`` in a form that lets a join on ``date_column`` prune partitions of the other
+    side. Spark prunes dynamically only when the pruning side is filtered by a comparison, so
+    this adds one that every date passes."""
+    return wanted.filter(F.col(date_column) >= F.lit("0001-01-01").cast("date"))
+
+
 def snapshot_columns(
     column_snapshots: DataFrame, snapshots: DataFrame, ordered: bool = False
 ) -> DataFrame:
@@ -33,6 +40,7 @@ def snapshot_columns(
     on = ["snapshot_id"]
     if "captured_at_date" in snapshots.columns and "captured_at_date" in column_snapshots.columns:
         on.append("captured_at_date")
+        snapshots = prunable(snapshots, "captured_at_date")
     wanted = snapshots.select(*on).distinct()
     side = ["snapshot_id", "connection_id", "table_schema", "table_name", "column_name"]
     payload = F.max(F.struct("ordinal_position", "data_type", "is_nullable"))

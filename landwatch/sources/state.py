@@ -57,7 +57,9 @@ def append_state(df: DataFrame, root: str, table: str) -> None:
 def read_state(spark: SparkSession, root: str, table: str, deduplicate: bool = True) -> DataFrame:
     """A state table with its date partition column; rows a replay wrote twice appear once.
 
-    A table nothing was written to yet is empty.
+    Removing those rows shuffles the table by row id. Readers that repeats do not affect,
+    such as the newest sync of freshness, pass ``deduplicate=False``. A table nothing was
+    written to yet is empty.
     """
     spec = _TABLES[table]
     path = _path(root, table)

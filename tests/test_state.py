@@ -174,3 +174,18 @@ def test_entity_map_latest_run_only(spark, root):
         lw.write_entity_map(lw.entity_map_rows(rows, at), root)
     assert lw.read_state(spark, root, "entity_map").count() == 2
     assert [str(r.detected_at) for r in lw.entity_map_latest(lw.read_state(spark, root, "entity_map")).collect()] == ["2024-01-02 00:00:00"]
+
+
+def test_column_snapshots_are_read_by_date_partition(spark, root):
+    """The diff joins pairs to stored columns with dynamic partition pruning."""
+    from landwatch.session import materialize
+    from landwatch.sources.snapshots import prunable
+
+    lw.detect_drift(syncs(spark, "c1"), landed(spark, *BASE), root, SYSTEM)
+    lw.detect_drift(syncs(spark, "c1", at="2024-01-05 00:00:00"), landed(spark, *NEXT), root, SYSTEM)
+    stored = lw.read_state(spark, root, "column_snapshots", deduplicate=False)
+    headers = lw.read_state(spark, root, "schema_snapshots", deduplicate=False)
+    wanted = materialize(headers.select("snapshot_id", "captured_at_date"), "wanted")
+    joined = stored.join(prunable(wanted, "captured_at_date"), ["snapshot_id", "captured_at_date"])
+    assert "dynamicpruning" in joined._jdf.queryExecution().executedPlan().toString()
+    assert lw.snapshot_columns(stored, lw.latest_snapshot(headers)).count() == 3
