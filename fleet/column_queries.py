@@ -467,8 +467,9 @@ def stream_sync_log(spark, sf):
     root = new_root(spark)
     stream = lw.stream_sync_log(lw.sync_event_source(spark, _landing(spark, sf)), _KEY)
     write_sync_log_stream(stream, root, f"{root}-checkpoint", available_now=True).awaitTermination()
+    in_utc = F.to_utc_timestamp("synced_at", F.current_timezone())
     return lw.read_state(spark, root, "sync_log").select(
-        "connection_id", "sync_id", F.col("synced_at").cast("timestamp_ntz").alias("synced_at")
+        "connection_id", "sync_id", in_utc.cast("timestamp_ntz").alias("synced_at")
     )
 
 

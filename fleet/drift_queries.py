@@ -168,11 +168,11 @@ kept AS (SELECT {_PLACE}, CASE WHEN p.data_type <> c.data_type THEN 'TYPE_PROMOT
 renames AS (SELECT {_PLACE}, 'RENAME' AS change_type, r.column_name AS before_name, data_type AS before_type,
     r.ordinal_position AS before_ordinal, a.column_name AS after_name, data_type AS after_type, a.ordinal_position AS after_ordinal
   FROM removed r JOIN added a USING ({_PLACE}, data_type)),
-fresh AS (SELECT {_PLACE}, 'NEW_FIELD' AS change_type, NULL AS before_name, NULL AS before_type, NULL AS before_ordinal,
+fresh AS (SELECT {_PLACE}, 'NEW_FIELD' AS change_type, NULL::VARCHAR AS before_name, NULL::VARCHAR AS before_type, NULL::BIGINT AS before_ordinal,
     column_name AS after_name, data_type AS after_type, ordinal_position AS after_ordinal
   FROM added ANTI JOIN removed USING ({_PLACE}, data_type)),
 gone AS (SELECT {_PLACE}, 'DEPRECATION' AS change_type, column_name AS before_name, data_type AS before_type,
-    ordinal_position AS before_ordinal, NULL AS after_name, NULL AS after_type, NULL AS after_ordinal
+    ordinal_position AS before_ordinal, NULL::VARCHAR AS after_name, NULL::VARCHAR AS after_type, NULL::BIGINT AS after_ordinal
   FROM removed ANTI JOIN added USING ({_PLACE}, data_type)),
 diff AS (FROM kept UNION ALL FROM renames UNION ALL FROM fresh UNION ALL FROM gone)"""
 _WITH_DIFF = ctes("prior", "current") + "," + _DIFF

@@ -48,7 +48,7 @@ def _entry(c: Column, quote: bool) -> Column:
 def content_hash(
     landed: DataFrame,
     by: tuple[str, ...] = ("connection_id",),
-    exact_limit: int = 1_000_000,
+    exact_limit: int = 250_000,
 ) -> DataFrame:
     """``(by..., content_hash, column_count)`` over landed columns.
 

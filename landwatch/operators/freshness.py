@@ -42,7 +42,7 @@ def freshness_fleet(
 ) -> DataFrame:
     """Freshness of every connection that has synced, stalest first when ``ordered``."""
     out = _with_status(_last_sync(sync_log), sync_log, as_of, sla_hours)
-    return out.orderBy(F.desc("hours_since_sync"), "connection_id") if ordered else out
+    return out.orderBy("last_synced_at", "connection_id") if ordered else out
 
 
 def freshness_check(
