@@ -8,7 +8,7 @@ misspelling never seen shares most of its n-grams' vectors with the words it was
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,6 +22,9 @@ BITS = 16
 BUCKETS = 1 << BITS
 DIM = 4
 SIZES = (3, 4, 5, 6)
+#: Entries of the embedding table that a step is sized for. All entries share one second moment:
+#: with one each, n-grams seen once would move as far as those that mark a class.
+ACTIVE = 5000
 
 
 def ngrams(text: str | None) -> Iterator[np.ndarray]:
@@ -86,7 +89,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior:
         return Model(np.zeros(BUCKETS, np.float32), shift)
     sampled = float(np.log(n1 / (n - n1)))
     rng = np.random.default_rng(seed)
-    emb = rng.normal(0, 0.3, (BUCKETS, DIM)).astype(np.float32)
+    emb = rng.normal(0, 0.01, (BUCKETS, DIM)).astype(np.float32)
     soft = np.zeros((DIM, 2), np.float32)
     bias = np.zeros(2, np.float32)
     scale = 20.0  # averages are short vectors; scaling them keeps the steps well sized
@@ -114,10 +117,10 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior:
             back = p @ soft.T
             grads["e"] = np.stack([np.bincount(at, w * back[row, d], BUCKETS) for d in range(DIM)], 1).astype(np.float32)
             step += 1
-            for k, x, rate in (("e", emb, 0.02), ("s", soft, 0.02), ("b", bias, 0.02)):
+            for k, x, rate in (("e", emb, 0.05), ("s", soft, 0.05), ("b", bias, 0.05)):
                 g = grads[k]
                 m[k] += 0.1 * (g - m[k])
-                v[k] += 0.01 * (g * g - v[k])
+                v[k] += 0.01 * ((g * g if k != "e" else (g * g).sum() / ACTIVE) - v[k])
                 x -= rate * (1 - epoch / epochs) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
     direction = (soft[:, 1] - soft[:, 0]) * scale
     return Model((emb @ direction).astype(np.float32), float(bias[1] - bias[0]) - sampled + shift)
@@ -139,7 +142,7 @@ def fit(labelled: DataFrame, label_col: str = "label", per_label: int = 2000, ma
     return train(bags, np.array([r["label"] for r in rows], np.int64), float(share or 0.0))
 
 
-def score(model: Model) -> "callable":
+def score(model: Model) -> Callable[[Column], Column]:
     """Column function ``text -> score`` (0 to 1). NULL, empty and wordless texts score the bias alone."""
 
     @F.pandas_udf("double")
