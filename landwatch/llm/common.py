@@ -22,23 +22,28 @@ def remainder(column: str | Column, divisor: int) -> Column:
     return F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")) % divisor
 
 
-def labelled_sample(
-    documents: DataFrame, label: Column | str, per_label: int, max_chars: int, text_col: str = "text", key_col: str = "doc_id"
-) -> DataFrame:
-    """About ``per_label`` rows of each label, as (key, text, label): the bounded sample a classifier is fitted on.
-
-    A row is taken where a hash of its key falls below ``per_label`` / rows of its label, so the
-    choice does not depend on the layout, nothing is sorted and no label is a hot task. All rows
-    of a label with fewer rows are taken. Texts of more than ``max_chars`` characters are not used
-    for fitting (they are scored like any other). The labels must be few: their counts are collected.
+def labelled_sample(labelled: DataFrame, label: Column | str, per_label: int, key_col: str = "doc_id") -> DataFrame:
+    """About ``per_label`` keys of each label, as (key, label): the bounded sample a classifier is fitted on.
+
+    A key is taken where its hash falls below ``per_label`` / rows of its label, so the choice
+    does not depend on the layout, nothing is sorted and no label is a hot task. All keys of a
+    label with fewer rows are taken. The labels must be few: their counts are collected.
     """
-    rows = documents.select(
-        F.col(key_col).alias("key"), F.col(text_col).alias("text"),
-        (F.col(label) if isinstance(label, str) else label).cast("string").alias("label"),
-    ).where(F.col("text").isNotNull() & F.col("label").isNotNull() & (F.length("text") <= max_chars))
+    rows = labelled.select(F.col(key_col).alias("key"), (F.col(label) if isinstance(label, str) else label).cast("string").alias("label")).where(
+        F.col("key").isNotNull() & F.col("label").isNotNull()
+    )
     counts = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return rows
     spread = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("sample")), F.lit(1 << 32))
     share = F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, per_label / n)])
     return rows.where(spread < share[F.col("label")] * (1 << 32))
+
+
+def sampled_texts(documents: DataFrame, sample: DataFrame, max_chars: int, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
+    """(key, text, label) of a ``labelled_sample``; texts of more than ``max_chars`` characters are left out of fitting.
+
+    The sample's size is a parameter, so its keys are broadcast and no text is shuffled.
+    """
+    texts = documents.select(F.col(key_col).alias("key"), F.col(text_col).alias("text")).where(F.length("text") <= max_chars)
+    return texts.join(F.broadcast(sample), "key")

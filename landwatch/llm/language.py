@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landwatch.llm.common import labelled_sample
+from landwatch.llm.common import labelled_sample, sampled_texts
 from landwatch.llm.ngrams import blocks, codes
 
 BITS = 12
@@ -97,7 +97,8 @@ def fit(labelled: DataFrame, lang_col: str = "lang", max_rows: int = 2000, clust
     """
     known = labelled.where(F.col(lang_col).isNotNull())
     n_langs = known.select(lang_col).distinct().count()
-    sample = labelled_sample(known, lang_col, max(1, max_rows // max(1, n_langs)), max_chars, text_col, key_col)
+    sample = labelled_sample(known, lang_col, max(1, max_rows // max(1, n_langs)), key_col)
+    sample = sampled_texts(known, sample, max_chars, text_col, key_col)
     rows = sorted(sample.mapInPandas(_count_rows, "label string, counts binary").collect(), key=lambda r: (r["label"], bytes(r["counts"])))
     if not rows:
         return Model(np.ones(BUCKETS), np.zeros((0, BUCKETS), np.float32), [], np.zeros(0))

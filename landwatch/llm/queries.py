@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landwatch.llm import language, packing, tokens, toxicity
+from landwatch.llm import language, packing, repeats, simhash, tokens, toxicity
 from landwatch.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,8 +20,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, learned from the rows that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    learned = docs.join(labels, "doc_id").where(remainder("doc_id", 4) != 2)
-    model = toxicity.fit(learned)
+    model = toxicity.fit(docs, labels.where(remainder("doc_id", 4) != 2))
     held_out = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
     return toxicity.scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
@@ -45,5 +44,15 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.section_tokens(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_language, op3_packing, op10_token_counts)}
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that are covered by a 100-byte string that starts earlier."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), 100)
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle_words=3, max_bits=3)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_language, op3_packing, op4_repeats, op7_simhash, op10_token_counts)}
 ORACLES: dict[str, str] = {}

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from landwatch.llm.common import labelled_sample
+from landwatch.llm.common import labelled_sample, sampled_texts
 from landwatch.llm.ngrams import blocks, codes
 
 BITS = 16
@@ -126,16 +126,17 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, prior:
     return Model((emb @ direction).astype(np.float32), float(bias[1] - bias[0]) - sampled + shift)
 
 
-def fit(labelled: DataFrame, label_col: str = "label", per_label: int = 2000, max_chars: int = 20_000,
+def fit(documents: DataFrame, labels: DataFrame, label_col: str = "label", per_label: int = 2000, max_chars: int = 20_000,
         text_col: str = "text", key_col: str = "doc_id") -> Model:
-    """Fit on at most ``per_label`` texts of each label (0 and 1) of at most ``max_chars`` characters.
+    """Fit on about ``per_label`` texts of each label (0 and 1), those of at most ``max_chars`` characters.
 
-    The sample's sparse bags are made on the executors; the driver receives at most
-    2 * ``per_label`` of them, each with no more than ``max_chars`` * 4 entries.
+    ``labels``: ``key_col`` and ``label_col``. The sample's sparse bags are made on the executors;
+    the driver receives about 2 * ``per_label`` of them, each with no more than ``max_chars`` * 4
+    entries.
     """
-    known = labelled.where(F.col(label_col).isin(0, 1))
+    known = labels.where(F.col(label_col).isin(0, 1))
     share = known.agg(F.avg(F.col(label_col).cast("double"))).first()[0]
-    sample = labelled_sample(known, label_col, per_label, max_chars, text_col, key_col)
+    sample = sampled_texts(documents, labelled_sample(known, label_col, per_label, key_col), max_chars, text_col, key_col)
     rows = sample.mapInPandas(_bags, "label int, at binary, weight binary").collect()
     rows = sorted(rows, key=lambda r: (r["label"], bytes(r["at"])))
     bags = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["weight"], np.float32)) for r in rows]
