@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landwatch.llm import language, packing, repeats, simhash, tokens, toxicity
+from landwatch.llm import language, packing, quality, repeats, simhash, tokens, toxicity, vectors
 from landwatch.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,10 +49,21 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), 100)
 
 
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and kept flag of every embedding."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures and verdict of every document, with cutoffs certified on the labels."""
+    columns = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept".split()
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(columns)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle_words=3, max_bits=3)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_language, op3_packing, op4_repeats, op7_simhash, op10_token_counts)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_language, op3_packing, op4_repeats, op5_vectors, op6_quality, op7_simhash, op10_token_counts)}
+ORACLES: dict[str, str] = {"op6_quality": quality.judge_sql()}
