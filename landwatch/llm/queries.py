@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landwatch.llm import language, packing, quality, repeats, simhash, tokens, toxicity, vectors
+from landwatch.llm import language, mixing, packing, pii, quality, repeats, simhash, tokens, toxicity, vectors
 from landwatch.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Longest segment of a packed batch, in words.
 MAX_LEN = 2048
+#: Shares of all tokens that the mix aims at.
+MIX_TARGETS = {"clean": 0.90, "noisy": 0.08, "toxic": 0.02}
+
+
+def domain_labels(labels: DataFrame) -> DataFrame:
+    """doc_id and domain: toxic, else noisy or clean by the quality label."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "noisy").when(F.col("quality") == 1, "clean")
+    return labels.select("doc_id", domain.alias("domain"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +47,17 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.stored_segments(docs, packing.word_count(), MAX_LEN), MAX_LEN)
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and disclosing terms of every document."""
+    return pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate and copies of every document, for target shares of the labelled domains."""
+    labels = domain_labels(table(spark, sf_dir, "labels"))
+    return mixing.rates(table(spark, sf_dir, "documents"), labels, "domain", MIX_TARGETS)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document, each document encoded once."""
     return tokens.section_tokens(table(spark, sf_dir, "documents"))
@@ -65,5 +84,5 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle_words=3, max_bits=3)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_language, op3_packing, op4_repeats, op5_vectors, op6_quality, op7_simhash, op10_token_counts)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_language, op3_packing, op4_repeats, op5_vectors, op6_quality, op7_simhash, op8_personal_data, op9_mixing, op10_token_counts)}
 ORACLES: dict[str, str] = {"op6_quality": quality.judge_sql()}
