@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterable
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -228,3 +229,95 @@ def simhash_groups(documents: DataFrame, shingle_words: int = 3, max_bits: int =
     named = stage(classes.join(found, "id", "left").select("code", F.coalesce("component", "id").alias("component_id")), "components")
     hexed = F.lpad(F.lower(F.hex("code")), 16, "0")
     return prints.join(named, "code").select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+#: Fingerprints over single words that index a text: more of them lose fewer similar pairs.
+INDEX = ("w0", "w1", "w2", "w3", "w4", "w5")
+#: Most differing bits, of 64, of two word fingerprints and two shingle fingerprints of similar texts.
+WORD_BITS, SHINGLE_BITS = 18, 22
+ODD = np.random.default_rng(99).integers(0, 1 << 63, len(INDEX), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+SIGNATURE = "digest long, digest2 long, n_shingles long, s long, " + ", ".join(f"{w} long" for w in INDEX)
+
+
+def _remixed(h: np.ndarray, factor: np.uint64) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * factor
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(32))
+
+
+def signature(text: str | None, k: int) -> list[int]:
+    """Digest of the word sequence, distinct shingles, shingle fingerprint and word fingerprints; all zero without a word."""
+    words = words_of(text)
+    if not words:
+        return [0] * (4 + len(INDEX))
+    shingles = np.unique(np.concatenate(list(shingle_hashes(words, k))))
+    distinct = np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(words)], np.uint64)
+    joined = xxhash.xxh128_intdigest(b" ".join(words))
+    prints = [majority([shingles]), *(majority([_remixed(distinct, f)]) for f in ODD)]
+    return [signed(joined & ((1 << 64) - 1)), signed(joined >> 64), len(shingles), *map(signed, prints)]
+
+
+def similar_pairs(edges: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The edges (a, b) whose texts' sets of ``k``-word shingles have at least the Jaccard ``similarity``, read in full."""
+
+    def shingles(packed: bytes) -> np.ndarray:
+        return np.unique(np.concatenate(list(shingle_hashes(zstandard.ZstdDecompressor().decompress(packed).split(), k))))
+
+    def compare(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for pdf in batches:
+            keep = []
+            for x, y in zip(pdf["x"], pdf["y"]):
+                u, v = shingles(x), shingles(y)
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                keep.append(both >= similarity * (len(u) + len(v) - both))
+            yield pdf.loc[np.array(keep, bool), ["a", "b"]]
+
+    x = texts.select(F.col("id").alias("a"), F.col("packed").alias("x"))
+    y = texts.select(F.col("id").alias("b"), F.col("packed").alias("y"))
+    return edges.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(compare, "a long, b long")
+
+
+def similar_groups(documents: DataFrame, similarity: float = 0.8, shingle_words: int = 5, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
+    """(doc_id, component_id) of the documents that are not the smallest doc_id of their group.
+
+    Two texts are similar if their sets of ``shingle_words``-word shingles (A-Z lower-cased) have
+    a Jaccard similarity of at least ``similarity``. That is far more than 3 of 64 bits, so trees
+    stand over several fingerprints of the texts' single words, which an edit changes least; what
+    meets in a leaf is linked nearest first by its fingerprints, and every link is then checked on
+    the whole texts. Equal word sequences are one class. Texts without a word, and rows with a
+    NULL doc_id, are in no group; rows repeated under one doc_id are one document.
+    """
+
+    @F.pandas_udf(SIGNATURE)
+    def signatures(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([signature(t, shingle_words) for t in texts], columns=[c.split()[0] for c in SIGNATURE.split(", ")], dtype="int64")
+
+    @F.pandas_udf("binary")
+    def pack(texts: pd.Series) -> pd.Series:
+        z = zstandard.ZstdCompressor(level=1)
+        return pd.Series([z.compress(b" ".join(words_of(t))) for t in texts])
+
+    def distance(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
+        word = np.bitwise_count(a["code"][:, None] ^ b["code"])
+        shingle = np.bitwise_count(a["s"][:, None] ^ b["s"])
+        x, y = a["n_shingles"].astype(np.float64)[:, None], b["n_shingles"].astype(np.float64)
+        far = (word > WORD_BITS) | (shingle > SHINGLE_BITS) | (x < similarity * y) | (y < similarity * x)
+        return np.where(far, np.uint8(NEVER), word + shingle)
+
+    rows = documents.where(F.col(key_col).isNotNull()).select(F.col(key_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    signed_rows = stage(rows.select("doc_id", signatures("text").alias("f")).select("doc_id", "f.*").where("n_shingles > 0"), "signatures")
+    values = ["n_shingles", "s", *INDEX]
+    classes = stage(signed_rows.groupBy("digest", "digest2").agg(F.min("doc_id").alias("id"), *[F.min(c).alias(c) for c in values]), "classes")
+    links = tree_links(classes, list(INDEX), distance, WORD_BITS + SHINGLE_BITS, ("s", "n_shingles"))
+    edges = stage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    ends = edges.select(F.col("a").alias("doc_id")).union(edges.select("b")).distinct()
+    texts = stage(rows.select("doc_id", pack("text").alias("packed")).join(ends, "doc_id").groupBy(F.col("doc_id").alias("id")).agg(F.first("packed").alias("packed")), "texts")
+    found = components(similar_pairs(edges, texts, shingle_words, similarity))
+    named = stage(classes.join(found, "id", "left").select("digest", "digest2", F.coalesce("component", "id").alias("component_id")), "components")
+    return signed_rows.join(named, ["digest", "digest2"]).where(F.col("doc_id") != F.col("component_id")).select("doc_id", "component_id")
+
+
+def drop_similar(documents: DataFrame, similarity: float = 0.8, shingle_words: int = 5, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
+    """``documents`` with one document of each group of similar texts, the one with the smallest doc_id; columns stay."""
+    gone = stage(similar_groups(documents, similarity, shingle_words, text_col, key_col).select("doc_id").distinct(), "similar")
+    return documents.join(gone, documents[key_col].cast("long") == gone["doc_id"], "left_anti")
