@@ -65,11 +65,19 @@ _PLAN = {
 
 
 @register("mask_columns", f"""SELECT 'tok_' || left({_hmac_sql('c_custkey::VARCHAR', SALT)}, 32) AS c_custkey, sha256('{SALT}' || c_name) AS c_name,
-  c_nationkey, (floor(c_acctbal / 1000) * 1000)::BIGINT AS c_acctbal, '***' AS c_mktsegment FROM customer""")
+  c_nationkey, floor(c_acctbal / 1000) * 1000 AS c_acctbal, '***' AS c_mktsegment FROM customer""")
 def mask_columns(spark, sf):
     return lw.mask_columns(table(spark, sf, "customer"), _PLAN, SALT)
 
 
+@register("mask_columns_fraction", """SELECT l_orderkey, l_linenumber, (floor(round(l_discount * 100) / 5) * 5 / 100)::DOUBLE AS l_discount,
+  floor(l_quantity / 7) * 7 AS l_quantity FROM lineitem""")
+def mask_columns_fraction(spark, sf):
+    """A bucket below one, on a column that keeps its type."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_quantity")
+    return lw.mask_columns(lines, {"l_discount": {"strategy": "GENERALIZE", "bucket": "0.05"}, "l_quantity": {"strategy": "GENERALIZE", "bucket": 7}}, SALT)
+
+
 @register("detokenize", "SELECT l_orderkey, l_linenumber, l_suppkey::VARCHAR AS l_suppkey FROM lineitem")
 def detokenize(spark, sf):
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
@@ -122,27 +130,33 @@ SELECT event_id, (o->>'user')::BIGINT AS user, o->>'type' AS type, (o->>'ratio')
   (o->'tags')::VARCHAR AS tags, (o->'inner')::VARCHAR AS inner, o->>'note' AS note FROM objects""")
 def flatten_json(spark, sf):
     rows = table(spark, sf, "payloads")
-    return lw.flatten_json(rows, "payload", lw.infer_json_structure(rows, "payload", mode="full"))
+    keys = [("user", "int"), ("type", "str"), ("ratio", "float"), ("ok", "bool"), ("tags", "list"), ("inner", "dict"), ("note", "str")]
+    return lw.flatten_json(rows, "payload", keys)
 
 
-@register("flatten_event_props", "SELECT event_id, user_id, event_type, (props->>'k')::BIGINT AS k FROM events")
+@register("flatten_event_props", """SELECT event_id, user_id, event_type, key, CASE json_type(v) WHEN 'UBIGINT' THEN 'int' WHEN 'BIGINT' THEN 'int' ELSE 'str' END AS json_type,
+  v->>'$' AS value FROM (SELECT event_id, user_id, event_type, key, json_extract(props, '$."' || key || '"') AS v
+  FROM (SELECT *, unnest(json_keys(props)) AS key FROM (SELECT event_id, user_id, event_type,
+    CASE WHEN event_id % 9973 = 9001 THEN '{"k": 1, "late": "x"}' ELSE props END AS props FROM events)))""")
 def flatten_event_props(spark, sf):
-    rows = table(spark, sf, "events").select("event_id", "user_id", "event_type", "props")
-    return lw.flatten_json(rows, "props", lw.infer_json_structure(rows, "props", order_by="event_id"))
+    """Every key of every row, one that first appears late in the table among them."""
+    late = F.when(F.col("event_id") % 9973 == 9001, '{"k": 1, "late": "x"}').otherwise(F.col("props"))
+    return lw.flatten_json_long(table(spark, sf, "events").select("event_id", "user_id", "event_type", late.alias("props")), "props")
 
 
-@register("write_flattener_log", ctes("payloads") + ", " + _SAMPLE.format(source="sample") + """,
-s AS (SELECT key, arg_min(kind, row_no * 100000 + pos) AS kind, min(row_no * 100000 + pos) AS o FROM kinds GROUP BY key)
+@register("write_flattener_log", ctes("payloads") + ", everything AS (SELECT 0 AS row_no, payload FROM d_payloads WHERE payload IS NOT NULL), "
+          + _SAMPLE.format(source="everything") + """,
+s AS (SELECT key, max(kind) FILTER (kind <> 'NoneType') AS kind, min(pos) AS o FROM kinds GROUP BY key)
 SELECT 'conn_1' AS connection_id, 'public.events' AS table_name, 'payload' AS column_name, 'ds.events_flat' AS view_name,
   'CREATE OR REPLACE VIEW ds.events_flat AS SELECT * EXCEPT(payload), ' || string_agg(
     CASE WHEN kind IN ('list', 'dict') THEN 'JSON_QUERY(payload, ''$."' || key || '"'')'
          WHEN kind IN ('str', 'NoneType') THEN 'JSON_VALUE(payload, ''$."' || key || '"'')'
          ELSE 'SAFE_CAST(JSON_VALUE(payload, ''$."' || key || '"'') AS ' || CASE kind WHEN 'int' THEN 'INT64' WHEN 'float' THEN 'FLOAT64' ELSE 'BOOL' END || ')' END
-    || ' AS `' || key || '`', ', ' ORDER BY o) || ' FROM ds.events' AS view_sql, false AS deployed FROM s""")
+    || ' AS `' || key || '`', ', ' ORDER BY o, key) || ' FROM ds.events' AS view_sql, false AS deployed FROM s""")
 def write_flattener_log(spark, sf):
     root = new_root(spark)
     row = lw.generate_flattener(
-        table(spark, sf, "payloads"), "conn_1", "ds", "public.events", "payload", AS_OF, order_by="event_id"
+        table(spark, sf, "payloads"), "conn_1", "ds", "public.events", "payload", AS_OF
     )
     lw.write_flattener_log(row, root)
     return lw.read_state(spark, root, "json_flattener_log").select(

@@ -113,9 +113,10 @@ def snapshot_pairs(spark, sf):
 
 
 _HASH = """SELECT connection_id, count(*) AS column_count,
-  sha256('[' || string_agg('(''' || table_schema || ''', ''' || table_name || ''', ''' || column_name || ''', ''' || data_type
-    || ''', ' || ordinal_position || ')', ', ' ORDER BY table_schema, table_name, column_name, data_type, ordinal_position) || ']') AS content_hash
-FROM d_{side} GROUP BY connection_id"""
+  '2:' || sha256(count(*) || '|' || sum(('0x' || h[1:15])::UBIGINT::HUGEINT) || '|' || sum(('0x' || h[17:31])::UBIGINT::HUGEINT)) AS content_hash
+FROM (SELECT connection_id, md5(length(table_schema) || ':' || table_schema || length(table_name) || ':' || table_name
+    || length(column_name) || ':' || column_name || length(data_type) || ':' || data_type
+    || length(ordinal_position::VARCHAR) || ':' || ordinal_position) AS h FROM d_{side}) GROUP BY connection_id"""
 
 
 @register("content_hash", ctes("current") + _HASH.format(side="current"))
@@ -123,18 +124,6 @@ def content_hash(spark, sf):
     return lw.content_hash(stored(spark, sf, "current"))
 
 
-@register("content_hash_merged", ctes("current") + """
-, digests AS (SELECT connection_id, sha256('(''' || table_schema || ''', ''' || table_name || ''', ''' || column_name || ''', '''
-    || data_type || ''', ' || ordinal_position || ')') AS h FROM d_current)
-SELECT connection_id, count(*) AS column_count, sha256('merged|' || count(*)
-  || '|' || sum(('0x' || h[1:16])::UBIGINT::HUGEINT) || '|' || sum(('0x' || h[17:32])::UBIGINT::HUGEINT)
-  || '|' || sum(('0x' || h[33:48])::UBIGINT::HUGEINT) || '|' || sum(('0x' || h[49:64])::UBIGINT::HUGEINT)) AS content_hash
-FROM digests GROUP BY connection_id""")
-def content_hash_merged(spark, sf):
-    """The mergeable digest of very large connections, here for all of them."""
-    return lw.content_hash(stored(spark, sf, "current"), exact_limit=0)
-
-
 def _headers(df, suffix):
     return lw.content_hash(df).select(
         "connection_id", F.concat("connection_id", F.lit(suffix)).alias("snapshot_id"), "content_hash",
@@ -157,6 +146,9 @@ def hash_gate(spark, sf):
 # ---- diff -------------------------------------------------------------------------------
 
 _PLACE = "connection_id, table_schema, table_name"
+# Names here are col_<n>: tokens 'col' and '<n>', so token overlap is 1/3 unless equal.
+_SIMILARITY = """round(greatest(1.0::DOUBLE - levenshtein(lower(before_name), lower(after_name))::DOUBLE
+  / greatest(length(before_name), length(after_name)), 1.0::DOUBLE / 3), 4)"""
 _DIFF = f"""
 removed AS (SELECT * FROM d_prior ANTI JOIN d_current USING ({_PLACE}, column_name)),
 added AS (SELECT * FROM d_current ANTI JOIN d_prior USING ({_PLACE}, column_name)),
@@ -165,15 +157,20 @@ kept AS (SELECT {_PLACE}, CASE WHEN p.data_type <> c.data_type THEN 'TYPE_PROMOT
     column_name AS after_name, c.data_type AS after_type, c.ordinal_position AS after_ordinal
   FROM d_prior p JOIN d_current c USING ({_PLACE}, column_name)
   WHERE p.data_type <> c.data_type OR p.ordinal_position <> c.ordinal_position),
-renames AS (SELECT {_PLACE}, 'RENAME' AS change_type, r.column_name AS before_name, data_type AS before_type,
+pairs AS (SELECT {_PLACE}, r.column_name AS before_name, data_type AS before_type,
     r.ordinal_position AS before_ordinal, a.column_name AS after_name, data_type AS after_type, a.ordinal_position AS after_ordinal
   FROM removed r JOIN added a USING ({_PLACE}, data_type)),
+plausible AS (SELECT *, {_SIMILARITY} AS similarity FROM pairs WHERE {_SIMILARITY} >= 0.6),
+best AS (SELECT *, row_number() OVER (PARTITION BY {_PLACE}, before_type, before_name ORDER BY similarity DESC, after_name) AS of_before,
+    row_number() OVER (PARTITION BY {_PLACE}, before_type, after_name ORDER BY similarity DESC, before_name) AS of_after FROM plausible),
+renames AS (SELECT {_PLACE}, 'RENAME' AS change_type, before_name, before_type, before_ordinal, after_name, after_type, after_ordinal
+  FROM best WHERE of_before = 1 AND of_after = 1),
 fresh AS (SELECT {_PLACE}, 'NEW_FIELD' AS change_type, NULL::VARCHAR AS before_name, NULL::VARCHAR AS before_type, NULL::BIGINT AS before_ordinal,
     column_name AS after_name, data_type AS after_type, ordinal_position AS after_ordinal
-  FROM added ANTI JOIN removed USING ({_PLACE}, data_type)),
+  FROM added ANTI JOIN (SELECT {_PLACE}, after_name AS column_name FROM renames) USING ({_PLACE}, column_name)),
 gone AS (SELECT {_PLACE}, 'DEPRECATION' AS change_type, column_name AS before_name, data_type AS before_type,
     ordinal_position AS before_ordinal, NULL::VARCHAR AS after_name, NULL::VARCHAR AS after_type, NULL::BIGINT AS after_ordinal
-  FROM removed ANTI JOIN added USING ({_PLACE}, data_type)),
+  FROM removed ANTI JOIN (SELECT {_PLACE}, before_name AS column_name FROM renames) USING ({_PLACE}, column_name)),
 diff AS (FROM kept UNION ALL FROM renames UNION ALL FROM fresh UNION ALL FROM gone)"""
 _WITH_DIFF = ctes("prior", "current") + "," + _DIFF
 
@@ -229,11 +226,6 @@ def ordinal_delta(spark, sf):
     )
 
 
-# Names here are col_<n>: tokens 'col' and '<n>', so token overlap is 1/3 unless equal.
-_SIMILARITY = """round(greatest(1.0::DOUBLE - levenshtein(lower(before_name), lower(after_name))::DOUBLE
-  / greatest(length(before_name), length(after_name)), 1.0::DOUBLE / 3), 4)"""
-
-
 @register("rank_rename_candidates", _WITH_DIFF + f""", scored AS (SELECT *, {_SIMILARITY} AS name_similarity FROM renames)
 SELECT {_PLACE}, before_name, after_name, name_similarity, row_number() OVER
   (PARTITION BY {_PLACE}, before_name ORDER BY name_similarity DESC, after_name) AS rename_rank FROM scored""")
@@ -288,7 +280,8 @@ def needs_human_review(spark, sf):
 
 
 @register("autonomy_filter", ctes("drift_events") + """
-SELECT drift_id, change_type, false AS strict, change_type = 'NEW_FIELD' AS trusted_additive, true AS full_auto FROM d_drift_events""")
+SELECT drift_id, change_type, false AS strict, change_type = 'NEW_FIELD' AND classification_conf >= 0.6 AS trusted_additive,
+  classification_conf >= 0.6 AS full_auto FROM d_drift_events""")
 def autonomy_filter(spark, sf):
     events = table(spark, sf, "drift_events")
     for level in ("STRICT", "TRUSTED_ADDITIVE", "FULL_AUTO"):
@@ -403,7 +396,7 @@ def drift_events_current(spark, sf):
 
     root = _stored_events(spark, sf)
     lw.update_drift_event(lifecycle_updates(_actions(spark, sf)), root)
-    return _event_columns(lw.drift_events_current(spark, root))
+    return _event_columns(lw.drift_events_current(spark, root, committed_only=False))
 
 
 @register("update_drift_event", ctes("drift_events") + """
@@ -418,7 +411,7 @@ def update_drift_event(spark, sf):
         ),
         root,
     )
-    return _event_columns(lw.drift_events_current(spark, root))
+    return _event_columns(lw.drift_events_current(spark, root, committed_only=False))
 
 
 @register("drift_lifecycle", ctes("drift_events") + _ACTION_CTE + _FOLDED.format(actions="actions"))

@@ -202,10 +202,10 @@ def _status_frame(spark, sf):
 
 
 _LIVE = """live AS (
-SELECT connection_id, CASE i WHEN 2 THEN 'UNKNOWN' ELSE task_code || i END AS error_code, 1::BIGINT AS "count",
+SELECT connection_id, n_tasks::BIGINT AS total_errors, CASE i WHEN 2 THEN 'UNKNOWN' ELSE task_code || i END AS error_code, 1::BIGINT AS "count",
   CASE i WHEN 3 THEN '' ELSE 'm' END AS sample_message, i AS rank
 FROM d_connector_status, unnest(range(1, least(n_tasks, 5) + 1)) t(i) WHERE n_tasks > 0
-UNION ALL SELECT connection_id, upper(sync_state), 1, 'Connection is in error state', 1
+UNION ALL SELECT connection_id, 1, upper(sync_state), 1, 'Connection is in error state', 1
 FROM d_connector_status WHERE n_tasks = 0 AND sync_state IN ('error', 'broken'))"""
 
 
@@ -216,8 +216,9 @@ def connector_status_errors(spark, sf):
 
 @register("diagnose_failures", ctes("failures", "connector_status", "connection_ids") + f""", {_TOP}, {_LIVE},
 n AS (SELECT connection_id, count(*) AS failure_count FROM win GROUP BY connection_id),
-errs AS (SELECT *, 'log' AS source FROM top UNION ALL SELECT *, 'status' FROM live WHERE connection_id NOT IN (SELECT connection_id FROM n)),
-g AS (SELECT connection_id, string_agg(error_code || '=' || "count", ',' ORDER BY rank) AS top_errors, max(source) AS source, sum("count")::BIGINT AS listed FROM errs GROUP BY connection_id)
+errs AS (SELECT *, 0 AS total_errors, 'log' AS source FROM top
+  UNION ALL BY NAME SELECT *, 'status' AS source FROM live WHERE connection_id NOT IN (SELECT connection_id FROM n)),
+g AS (SELECT connection_id, string_agg(error_code || '=' || "count", ',' ORDER BY rank) AS top_errors, max(source) AS source, max(total_errors)::BIGINT AS listed FROM errs GROUP BY connection_id)
 SELECT connection_id, CASE WHEN top_errors IS NULL THEN 'no_failures' ELSE 'failures' END AS status, coalesce(failure_count, listed, 0) AS failure_count,
   top_errors, source, CASE WHEN top_errors IS NOT NULL THEN {_SEVERITY.format(n='coalesce(failure_count, listed, 0)')} END AS severity
 FROM d_connection_ids LEFT JOIN g USING (connection_id) LEFT JOIN n USING (connection_id)""")

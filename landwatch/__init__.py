@@ -36,7 +36,8 @@ from landwatch.operators.freshness import (
 from landwatch.operators.jsonflat import (
     detect_json_columns,
     flatten_json,
-    flatten_view_sql,
+    flatten_json_long,
+    flatten_view,
     infer_json_structure,
 )
 from landwatch.operators.lifecycle import drift_lifecycle

@@ -2,118 +2,44 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _PARTS = ("table_schema", "table_name", "column_name", "data_type", "ordinal_position")
-EMPTY_TEXT = "[]"
-
-
-def _quoted(value: Column) -> Column:
-    """A string in the quoting of the stored hashes: single quotes, double quotes when the
-    text holds a single but no double quote, backslash escapes for control characters."""
-    escaped = reduce(
-        lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])),
-        [("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")],
-        value,
-    )
-    has_single = F.contains(value, F.lit("'"))
-    has_double = F.contains(value, F.lit('"'))
-    single = F.concat(F.lit("'"), F.replace(escaped, F.lit("'"), F.lit("\\'")), F.lit("'"))
-    double = F.concat(F.lit('"'), escaped, F.lit('"'))
-    return F.when(has_single & ~has_double, double).otherwise(single)
+#: Version of the digest, kept in front of each hash. A stored hash of another version differs
+#: from every new one, so its snapshot is compared by content once and then replaced.
+VERSION = "2"
 
 
-_SPECIAL = r"['\\\n\r\t]"
+def _row_text() -> Column:
+    """One column's parts, each after its length, so no two columns share a text."""
+    parts = [F.coalesce(F.col(p).cast("string"), F.lit("")) for p in _PARTS]
+    return F.concat(*[x for p in parts for x in (F.length(p).cast("string"), F.lit(":"), p)])
 
 
-def _entry(c: Column, quote: bool) -> Column:
-    """One column as ``('schema', 'table', 'column', 'TYPE', 1)``. Without ``quote`` the
-    strings are known to hold no character that needs escaping."""
-
-    def text(part: str) -> Column:
-        return _quoted(c[part]) if quote else F.concat(F.lit("'"), c[part], F.lit("'"))
-
-    return F.concat(
-        F.lit("("),
-        F.concat_ws(
-            ", ", *[text(p) for p in _PARTS[:-1]], c["ordinal_position"].cast("bigint").cast("string")
-        ),
-        F.lit(")"),
-    )
-
-
-def content_hash(
-    landed: DataFrame,
-    by: tuple[str, ...] = ("connection_id",),
-    exact_limit: int = 250_000,
-) -> DataFrame:
+def content_hash(landed: DataFrame, by: tuple[str, ...] = ("connection_id",)) -> DataFrame:
     """``(by..., content_hash, column_count)`` over landed columns.
 
-    Up to ``exact_limit`` columns the digest is sha256 over the sorted list of
-    (schema, table, column, type, ordinal), equal to hashes stored by earlier tools.
-    Nullability is not part of it. That text must be built in one piece, so a larger group
-    takes a digest that merges: per-row sha256 values summed in four parts and hashed
-    together with the count. It is map-side combined, never collects the group, and changes
-    whenever the set of columns does; the form depends on the count only, so equal content
-    always gives equal digests.
-
-    There are at most rows / ``exact_limit`` large groups, so with a limit of 10,000 or more
-    their ids are broadcast; below that Spark chooses the join. A limit of 0 takes the merging
-    digest for every group.
+    The digest merges: it is made from the count and from sums of the columns' own digests, so
+    partial results combine before the shuffle and no group, however large, is collected or
+    sorted. Order and nullability are not part of it; any other change of the set of columns
+    changes it. Columns are summed per table first: a connection with a third of all columns
+    reaches its last sum as one row per table.
     """
-    row = F.struct(*[F.col(p) for p in _PARTS])
-    special = F.concat_ws(" ", *[F.col(p) for p in _PARTS[:-1]]).rlike(_SPECIAL)
-    tagged = landed.select(*by, row.alias("c"), special.alias("special"))
-    if exact_limit <= 0:
-        tagged = tagged.withColumn("is_large", F.lit(True))
-    else:
-        large = (
-            landed.groupBy(*by)
-            .agg(F.count(F.lit(1)).alias("n"))
-            .filter(F.col("n") > exact_limit)
-            .select(*by, F.lit(True).alias("is_large"))
-        )
-        tagged = tagged.join(F.broadcast(large) if exact_limit >= 10_000 else large, list(by), "left")
-    is_large = F.col("is_large").isNotNull()
-    one = F.col("c")
-    row_digest = F.sha2(F.when(F.col("special"), _entry(one, True)).otherwise(_entry(one, False)), 256)
-    parts = [
-        F.sum(
-            F.when(
-                is_large,
-                F.conv(F.substring(row_digest, 1 + 16 * i, 16), 16, 10).cast("decimal(20,0)"),
-            )
-        ).alias(f"s{i}")
-        for i in range(4)
-    ]
-    ordered = F.sort_array(F.col("rows"))
-    entries = F.when(
-        F.col("any_special"), F.transform(ordered, lambda c: _entry(c, True))
-    ).otherwise(F.transform(ordered, lambda c: _entry(c, False)))
-    exact = F.sha2(F.concat(F.lit("["), F.array_join(entries, ", "), F.lit("]")), 256)
-    merged = F.sha2(
-        F.concat_ws("|", F.lit("merged"), F.col("column_count"), *[F.col(f"s{i}") for i in range(4)]),
-        256,
-    )
-    return (
-        tagged.groupBy(*by)
-        .agg(
-            F.count(F.lit(1)).alias("column_count"),
-            F.collect_list(F.when(~is_large, F.col("c"))).alias("rows"),
-            F.bool_or("special").alias("any_special"),
-            *parts,
-        )
-        .select(
-            *by,
-            F.when(F.col("s0").isNull(), exact).otherwise(merged).alias("content_hash"),
-            "column_count",
-        )
+    digest = F.md5(_row_text())
+    rows = landed.select(*by, "table_schema", "table_name", digest.alias("_d"))
+    halves = [F.conv(F.substring("_d", at, 15), 16, 10).cast("decimal(38,0)") for at in (1, 17)]
+    tables = rows.groupBy(*by, "table_schema", "table_name").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(h).alias(f"_s{i}") for i, h in enumerate(halves)]
     )
+    whole = tables.groupBy(*by).agg(F.sum("_n").alias("column_count"), *[F.sum(f"_s{i}").alias(f"_s{i}") for i in (0, 1)])
+    return whole.select(*by, _text(F.col("column_count"), F.col("_s0"), F.col("_s1")).alias("content_hash"), "column_count")
+
+
+def _text(count: Column, *sums: Column) -> Column:
+    return F.concat(F.lit(f"{VERSION}:"), F.sha2(F.concat_ws("|", count.cast("string"), *[s.cast("string") for s in sums]), 256))
 
 
 def empty_hash() -> Column:
     """Hash of a connection with no landed columns."""
-    return F.sha2(F.lit(EMPTY_TEXT), 256)
+    return _text(F.lit(0), F.lit(0), F.lit(0))

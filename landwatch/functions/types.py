@@ -11,7 +11,7 @@ _WAREHOUSE_TO_SPARK = {
     "BOOL": "boolean",
     "FLOAT64": "double",
     "NUMERIC": "decimal(38,9)",
-    "BIGNUMERIC": "decimal(38,18)",
+    "BIGNUMERIC": "string",
     "TIMESTAMP": "timestamp",
     "DATETIME": "timestamp_ntz",
     "DATE": "date",
@@ -23,7 +23,8 @@ _WAREHOUSE_TO_SPARK = {
 def spark_type_of(warehouse_type: str) -> str | None:
     """Spark DDL type for a warehouse type name, or None when there is no mapping.
 
-    ``NUMERIC(p,s)`` and ``BIGNUMERIC(p,s)`` keep their precision up to 38 digits;
+    ``NUMERIC(p,s)`` and ``BIGNUMERIC(p,s)`` of at most 38 digits become decimals; a wider
+    one, and plain ``BIGNUMERIC``, stays text, since no Spark number holds all its values.
     ``STRING(n)`` and ``BYTES(n)`` drop the length.
     """
     name = warehouse_type.strip().upper()
@@ -31,7 +32,7 @@ def spark_type_of(warehouse_type: str) -> str | None:
     if base in ("NUMERIC", "BIGNUMERIC", "DECIMAL") and args:
         sizes = [int(x) for x in args.rstrip(")").split(",")]
         precision, scale = sizes[0], sizes[1] if len(sizes) > 1 else 0
-        return f"decimal({min(precision, 38)},{min(scale, 38)})"
+        return f"decimal({precision},{scale})" if precision <= 38 else "string"
     return _WAREHOUSE_TO_SPARK.get(base)
 
 

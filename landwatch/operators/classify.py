@@ -12,6 +12,7 @@ from landwatch.functions.types import spark_type_of
 from landwatch.operators.drift import (
     COLLATERAL_CONFIDENCE,
     attribute_collateral_reorder,
+    REVIEW_THRESHOLD,
     ordinal_delta,
 )
 from landwatch.operators.model import build_prompts, run_model, validate_classification
@@ -102,8 +103,10 @@ def classify_changes(
     if model_fn is None:
         return _by_rules(described)
     prompts = build_prompts(described, "change", keys)
-    replies = run_model(prompts, model_fn)
-    return validate_classification(replies).drop("prompt", "raw")
+    replies = validate_classification(run_model(prompts, model_fn)).drop("prompt", "raw")
+    # A rename the model is unsure of must not put one column's values under another's name.
+    doubtful = (F.col("change_type") == "RENAME") & (F.col("classification_conf") < REVIEW_THRESHOLD)
+    return replies.withColumn("remediation_sql", F.when(doubtful, F.lit("")).otherwise(F.col("remediation_sql")))
 
 
 def _by_rules(described: DataFrame) -> DataFrame:
@@ -134,7 +137,9 @@ def _by_rules(described: DataFrame) -> DataFrame:
         {
             "classification_conf": confidence.cast("double"),
             "rationale": rationale,
-            "remediation_sql": shim_text(F.col("table_schema")),
+            "remediation_sql": F.when(
+                (F.col("change_type") == "RENAME") & (similarity < REVIEW_THRESHOLD), F.lit("")
+            ).otherwise(shim_text(F.col("table_schema"))),
             "is_valid": F.lit(True),
             "error": F.lit(None).cast("string"),
         }

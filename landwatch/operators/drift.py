@@ -127,37 +127,19 @@ def _lone(matched: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, list[st
     return lone.join(sizes, group), group
 
 
-def diff_unpaired(matched: DataFrame, keys: tuple[str, ...] = ("connection_id",)) -> DataFrame:
-    """NEW_FIELD and DEPRECATION: one-sided columns with no same-type counterpart."""
-    lone, _ = _lone(matched, keys)
-    added = F.col("after").isNotNull() & (F.col("n_removed") == 0)
-    removed = F.col("before").isNotNull() & (F.col("n_added") == 0)
-    return (
-        lone.withColumn("change_type", F.when(added, "NEW_FIELD").when(removed, "DEPRECATION"))
-        .filter(F.col("change_type").isNotNull())
-        .select(*keys, *_PLACE, "change_type", "before", "after")
-    )
-
-
-def diff_new_field(matched: DataFrame, keys: tuple[str, ...] = ("connection_id",)) -> DataFrame:
-    return diff_unpaired(matched, keys).filter(F.col("change_type") == "NEW_FIELD")
-
-
-def diff_deprecation(matched: DataFrame, keys: tuple[str, ...] = ("connection_id",)) -> DataFrame:
-    return diff_unpaired(matched, keys).filter(F.col("change_type") == "DEPRECATION")
-
-
 def diff_rename_candidates(
     matched: DataFrame,
     keys: tuple[str, ...] = ("connection_id",),
+    threshold: float = REVIEW_THRESHOLD,
     pairs_per_task: int = PAIRS_PER_TASK,
 ) -> DataFrame:
-    """Every removed column with every added column of the same table and type.
+    """Removed and added columns of one table and type whose names are each other's best match.
 
-    All pairs are the result here: the reviewer is offered each candidate, whatever its
-    ordinal. The output is bounded by the width of one landed table; a group whose pairs
-    exceed ``pairs_per_task`` is split: its removed columns are spread over shards and its
-    added columns copied to each, so no task builds more than about that many pairs.
+    A pair is plausible when its name similarity reaches ``threshold``; ties go to the smaller
+    name. Each column is in at most one pair, so a table that renames every column gives as
+    many rows as it has columns. Names are compared within a table and type only; a group with
+    more than ``pairs_per_task`` comparisons is spread over shards, and every comparison is
+    reduced to the best one per column before it is moved.
     """
     lone, group = _lone(matched, keys)
     shards = F.least(
@@ -170,11 +152,53 @@ def diff_rename_candidates(
     added = paired.filter(F.col("after").isNotNull()).select(
         *group, "after", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")
     )
-    return removed.join(added, [*group, "shard"]).select(
-        *keys, *_PLACE, F.lit("RENAME").alias("change_type"), "before", "after"
+    similarity = name_similarity(F.col("before.column_name"), F.col("after.column_name"))
+    pairs = removed.join(added, [*group, "shard"]).withColumn("_similarity", similarity).filter(F.col("_similarity") >= threshold)
+
+    def best(own: str, other: str) -> DataFrame:
+        order = F.struct(-F.col("_similarity"), F.col(f"{other}.column_name"))
+        return pairs.groupBy(*group, F.col(f"{own}.column_name").alias(f"_{own}")).agg(
+            F.min_by(F.struct("before", "after"), order).alias("pair")
+        )
+
+    chosen = best("before", "after").select(*group, "_before", F.col("pair.after.column_name").alias("_after"), "pair")
+    agreed = best("after", "before").select(*group, F.col("pair.before.column_name").alias("_before"), "_after")
+    return chosen.join(agreed, [*group, "_before", "_after"], "left_semi").select(
+        *keys, *_PLACE, F.lit("RENAME").alias("change_type"), "pair.before", "pair.after"
     )
 
 
+def diff_one_sided(matched: DataFrame, keys: tuple[str, ...] = ("connection_id",)) -> DataFrame:
+    """RENAME, DEPRECATION and NEW_FIELD: every one-sided column in exactly one change."""
+    renames = materialize(diff_rename_candidates(matched, keys), "renames")
+    return renames.unionByName(_unpaired(matched, renames, keys))
+
+
+def _unpaired(matched: DataFrame, renames: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    place = [*keys, *_PLACE, "column_name", "is_after"]
+    sides = F.array(
+        F.struct(F.col("before.column_name").alias("column_name"), F.lit(False).alias("is_after")),
+        F.struct(F.col("after.column_name").alias("column_name"), F.lit(True).alias("is_after")),
+    )
+    used = renames.select(*keys, *_PLACE, F.explode(sides).alias("s")).select(*keys, *_PLACE, "s.*")
+    lone = matched.filter(F.col("before").isNull() | F.col("after").isNull()).withColumn("is_after", F.col("after").isNotNull())
+    kind = F.when(F.col("is_after"), "NEW_FIELD").otherwise("DEPRECATION")
+    return lone.join(used, place, "left_anti").select(*keys, *_PLACE, kind.alias("change_type"), "before", "after")
+
+
+def diff_unpaired(matched: DataFrame, keys: tuple[str, ...] = ("connection_id",)) -> DataFrame:
+    """NEW_FIELD and DEPRECATION: one-sided columns that are in no plausible rename."""
+    return diff_one_sided(matched, keys).filter(F.col("change_type") != "RENAME")
+
+
+def diff_new_field(matched: DataFrame, keys: tuple[str, ...] = ("connection_id",)) -> DataFrame:
+    return diff_unpaired(matched, keys).filter(F.col("change_type") == "NEW_FIELD")
+
+
+def diff_deprecation(matched: DataFrame, keys: tuple[str, ...] = ("connection_id",)) -> DataFrame:
+    return diff_unpaired(matched, keys).filter(F.col("change_type") == "DEPRECATION")
+
+
 def diff_columns(
     prior: DataFrame,
     current: DataFrame,
@@ -196,8 +220,7 @@ def changes_from(
     """All candidate changes of matched columns."""
     changes = (
         diff_kept(matched, keys)
-        .unionByName(diff_rename_candidates(matched, keys))
-        .unionByName(diff_unpaired(matched, keys))
+        .unionByName(diff_one_sided(matched, keys))
     )
     if ordered:
         rank = (
@@ -265,7 +288,8 @@ def rank_rename_candidates(
     changes: DataFrame, keys: tuple[str, ...] = ("connection_id",)
 ) -> DataFrame:
     """Add ``name_similarity`` and ``rename_rank`` (1 = most plausible per removed column) to
-    the RENAME candidates. All candidates stay."""
+    the RENAME rows. From ``diff_columns`` each column has one; a list merged from several
+    sources, such as reviewers' own pairs, is ranked as it is."""
     by_removed = Window.partitionBy(*keys, *_PLACE, "before.column_name").orderBy(
         F.desc("name_similarity"), "after.column_name"
     )
@@ -282,7 +306,9 @@ def needs_human_review(events: DataFrame, threshold: float = REVIEW_THRESHOLD) -
 
 
 def autonomy_filter(events: DataFrame, level: str = "STRICT") -> DataFrame:
-    """Add ``auto_apply``: whether the autonomy level lets the event be applied unapproved."""
+    """Add ``auto_apply``: whether the autonomy level lets the event be applied unapproved.
+
+    An event that needs review, by its confidence or a ``needs_review`` column, never is."""
     rules = {
         "STRICT": F.lit(False),
         "TRUSTED_ADDITIVE": F.col("change_type") == "NEW_FIELD",
@@ -290,7 +316,10 @@ def autonomy_filter(events: DataFrame, level: str = "STRICT") -> DataFrame:
     }
     if level not in rules:
         raise ValueError(f"unknown autonomy level: {level}")
-    return events.withColumn("auto_apply", rules[level])
+    sure = F.coalesce(F.col("classification_conf") >= REVIEW_THRESHOLD, F.lit(False))
+    if "needs_review" in events.columns:
+        sure = sure & ~F.coalesce("needs_review", F.lit(True))
+    return events.withColumn("auto_apply", rules[level] & sure)
 
 
 def list_proposed(events: DataFrame, ordered: bool = True) -> DataFrame:

@@ -68,20 +68,24 @@ def connector_status_errors(status: DataFrame, k: int = TOP_ERRORS) -> DataFrame
     """Errors read from live connector status, for connections without logged failures.
 
     ``status`` has ``connection_id, sync_state, tasks array<struct<code, message>>``. A
-    connection in an error state or with open tasks yields one error per task, at most
-    ``k``, or one for the state itself; any other connection yields none.
+    connection in an error state or with open tasks yields one error per task, the first
+    ``k`` of them, or one for the state itself; any other connection yields none.
+    ``total_errors`` counts all of a connection's errors, listed or not.
     """
     tasks = F.coalesce("tasks", F.array().cast("array<struct<code:string,message:string>>"))
     state_error = F.array(
         F.struct(F.upper("sync_state").alias("code"), F.lit("Connection is in error state").alias("message"))
     )
     errors = (
-        F.when(F.size(tasks) > 0, F.slice(tasks, 1, k))
+        F.when(F.size(tasks) > 0, tasks)
         .when(F.col("sync_state").isin(*ERROR_STATES), state_error)
         .otherwise(F.array().cast("array<struct<code:string,message:string>>"))
     )
-    return status.select("connection_id", F.posexplode(errors).alias("pos", "e")).select(
+    counted = status.select("connection_id", errors.alias("errors"))
+    listed = F.posexplode(F.slice("errors", 1, k)).alias("pos", "e")
+    return counted.select("connection_id", F.size("errors").cast("bigint").alias("total_errors"), listed).select(
         "connection_id",
+        "total_errors",
         F.coalesce("e.code", F.lit("UNKNOWN")).alias("error_code"),
         F.lit(1).cast("bigint").alias("count"),
         F.coalesce("e.message", F.lit("")).alias("sample_message"),

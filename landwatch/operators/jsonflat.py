@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landwatch.functions.json_text import (
@@ -87,16 +87,13 @@ def infer_json_structure(
     return out.unionByName(placeholder.filter(n_found == 0))
 
 
-def structure_to_list(structure: DataFrame, max_keys: int = 5_000) -> list[tuple[str, str]]:
-    """The structure as an ordered list for building a projection.
+def structure_to_list(structure: DataFrame) -> list[tuple[str, str]]:
+    """The structure as an ordered list, for ``flatten_json``.
 
-    A projection's columns must be known to the driver. A payload with more than
-    ``max_keys`` distinct keys cannot become a table and is an error, never truncated.
+    Collects one row per key: call it where the payload is a record whose keys become columns.
+    For a payload that is a map, with keys as many as its data, use ``flatten_json_long``.
     """
-    rows = structure.orderBy("key_order", "key").limit(max_keys + 1).collect()
-    if len(rows) > max_keys:
-        raise ValueError(f"more than {max_keys} top-level keys; this payload is a map, not a record")
-    return [(r["key"], r["json_type"]) for r in rows]
+    return [(r["key"], r["json_type"]) for r in structure.orderBy("key_order", "key").collect()]
 
 
 def _column_names(keys: list[str], taken: list[str]) -> list[str]:
@@ -112,14 +109,14 @@ def _column_names(keys: list[str], taken: list[str]) -> list[str]:
     return out
 
 
-def flatten_json(df: DataFrame, column: str, structure: list[tuple[str, str]] | DataFrame) -> DataFrame:
-    """Replace a JSON text column by one typed column per top-level key.
+def flatten_json(df: DataFrame, column: str, structure: list[tuple[str, str]]) -> DataFrame:
+    """Replace a JSON text column by one typed column per top-level key of a given list.
 
     The text is parsed once per row into a map; each key is cast safely (a value that does
     not fit gives NULL). Lists and objects stay JSON text, and a nested value under a scalar
     key gives NULL. A projection only: no shuffle.
     """
-    keys = structure_to_list(structure) if isinstance(structure, DataFrame) else list(structure)
+    keys = list(structure)
     kept = [c for c in df.columns if c != column]
     names = _column_names([k for k, _ in keys], kept)
     parsed = df.withColumn("_object", json_object_map(F.col(f"`{column}`")))
@@ -135,24 +132,45 @@ def flatten_json(df: DataFrame, column: str, structure: list[tuple[str, str]] |
     return parsed.select(*[F.col(f"`{c}`") for c in kept], *fields)
 
 
-def flatten_view_sql(
-    dataset: str, table: str, column: str, structure: list[tuple[str, str]]
-) -> dict[str, str | int]:
-    """The warehouse view that does the same: ``view_name``, ``view_sql``, ``estimated_columns``."""
+def flatten_json_long(df: DataFrame, column: str) -> DataFrame:
+    """Replace a JSON text column by ``key``, ``json_type`` and ``value``, one row per top-level key.
+
+    Every key of every row is there, whatever their number, and none is known beforehand:
+    nothing is sampled, collected or shuffled. ``value`` is text; nested values stay JSON. Rows
+    that hold no object, or an empty one, give no rows.
+    """
+    kept = [F.col(f"`{c}`") for c in df.columns if c != column]
+    taken = {c.lower() for c in df.columns if c != column} & {"key", "json_type", "value"}
+    if taken:
+        raise ValueError(f"columns already exist: {sorted(taken)}")
+    pairs = df.select(*kept, F.explode(json_object_map(F.col(f"`{column}`"))).alias("key", "_v"))
+    return pairs.select(*kept, "key", json_kind(F.col("_v")).alias("json_type"), variant_text(F.col("_v")).alias("value"))
+
+
+def _view_item(column: str, key: Column, kind: Column) -> Column:
+    """How the warehouse reads one key of the payload."""
+    quoted = F.replace(F.replace(F.replace(key, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit('"'), F.lit('\\"'))
+    path = F.concat(F.lit("'$.\""), quoted, F.lit("\"'"))
+    name = F.concat(F.lit(" AS `"), key, F.lit("`"))
+    scalar = F.concat(F.lit(f"JSON_VALUE({column}, "), path, F.lit(")"))
+    types = F.create_map(*[F.lit(x) for pair in KIND_TO_WAREHOUSE.items() for x in pair])
+    return F.concat(
+        F.when(kind.isin("list", "dict"), F.concat(F.lit(f"JSON_QUERY({column}, "), path, F.lit(")")))
+        .when(kind.isin("str", "NoneType"), scalar)
+        .otherwise(F.concat(F.lit("SAFE_CAST("), scalar, F.lit(" AS "), types[kind], F.lit(")"))),
+        name,
+    )
+
+
+def flatten_view(dataset: str, table: str, column: str, structure: DataFrame) -> DataFrame:
+    """One row with the warehouse view that does the same: ``view_name``, ``view_sql``, ``estimated_columns``."""
     source = f"{dataset}.{table.split('.', 1)[-1]}"
-    items = []
-    for key, kind in structure:
-        quoted = key.replace("\\", "\\\\").replace("'", "\\'").replace('"', '\\"')
-        path = f"'$.\"{quoted}\"'"
-        if kind in ("list", "dict"):
-            items.append(f"JSON_QUERY({column}, {path}) AS `{key}`")
-        elif kind in ("str", "NoneType"):
-            items.append(f"JSON_VALUE({column}, {path}) AS `{key}`")
-        else:
-            items.append(f"SAFE_CAST(JSON_VALUE({column}, {path}) AS {KIND_TO_WAREHOUSE[kind]}) AS `{key}`")
+    item = F.struct("key_order", "key", _view_item(column, F.col("key"), F.col("json_type")).alias("text"))
+    items = F.transform(F.sort_array(F.collect_list(item)), lambda x: x["text"])
     view = f"{source}_flat"
-    return {
-        "view_name": view,
-        "view_sql": f"CREATE OR REPLACE VIEW {view} AS SELECT * EXCEPT({column}), {', '.join(items)} FROM {source}",
-        "estimated_columns": len(structure),
-    }
+    head = f"CREATE OR REPLACE VIEW {view} AS SELECT * EXCEPT({column}), "
+    return structure.agg(items.alias("items")).select(
+        F.lit(view).alias("view_name"),
+        F.concat(F.lit(head), F.array_join("items", ", "), F.lit(f" FROM {source}")).alias("view_sql"),
+        F.size("items").alias("estimated_columns"),
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -138,8 +139,12 @@ def mask_columns(df: DataFrame, plan: dict[str, str | dict], salt: str) -> DataF
     ``plan`` maps a column to a strategy name or to ``{"strategy": ..., options}``:
     HASH gives sha256 of salt and value; REDACT gives NULL or the option ``value``;
     TOKENIZE gives a keyed token that ``build_token_vault`` can resolve; GENERALIZE rounds
-    numbers down to a multiple of ``bucket``, truncates times to ``unit``, or keeps the
-    first ``prefix`` characters of a text.
+    numbers down to a multiple of ``bucket`` (whole or fractional, above 0), truncates times
+    to ``unit``, or keeps the first ``prefix`` characters of a text. A generalized column
+    keeps its type; one of another type, such as a boolean, is an error.
+
+    The salt is a literal of the plan and so of the query's event log: restrict who reads
+    that log, or set ``spark.sql.redaction.string.regex`` to a pattern that covers the salt.
     """
     unknown = [c for c in plan if c not in df.columns]
     if unknown:
@@ -162,12 +167,31 @@ def mask_columns(df: DataFrame, plan: dict[str, str | dict], salt: str) -> DataF
             masked[name] = F.date_trunc(options.get("unit", "month"), c).cast(df.schema[name].dataType)
         elif kind in ("string", "varchar", "char"):
             masked[name] = F.substring(c, 1, int(options.get("prefix", 1)))
+        elif kind in ("byte", "short", "integer", "long", "float", "double", "decimal"):
+            masked[name] = _rounded_down(c, str(options.get("bucket", 10)), kind).cast(df.schema[name].dataType)
         else:
-            bucket = options.get("bucket", 10)
-            masked[name] = (F.floor(c / F.lit(bucket)) * F.lit(bucket)).cast("bigint")
+            raise ValueError(f"{name}: a {kind} column cannot be generalized")
     return df.withColumns(masked)
 
 
+def _rounded_down(value: Column, bucket: str, kind: str) -> Column:
+    """The largest multiple of ``bucket`` that is not above the value.
+
+    Whole numbers and decimals are computed as decimals, so a bucket of 0.1 is exactly that;
+    floating-point values that hold no decimal (NaN, very large ones) become NULL.
+    """
+    size = Decimal(bucket)
+    if size <= 0:
+        raise ValueError("the bucket must be above 0")
+    scale = max(0, -size.as_tuple().exponent)
+    if kind in ("byte", "short", "integer", "long") and scale == 0:
+        step = F.lit(int(size)).cast("bigint")
+        return value.cast("bigint") - F.pmod(value.cast("bigint"), step)
+    exact = value.try_cast(f"decimal(38,{max(scale, 12)})")
+    step = F.lit(bucket).cast(f"decimal({len(size.as_tuple().digits) + scale + 1},{scale})")
+    return exact - F.pmod(exact, step)
+
+
 def token_of(value: Column, key: str) -> Column:
     return F.concat(F.lit("tok_"), F.substring(hmac_sha256_hex(value.cast("string"), key.encode()), 1, 32))
 

@@ -25,7 +25,7 @@ from landwatch.sources.state import (
     append_state,
     insert_drift_event,
     read_state,
-    write_sync_log,
+    write_new_syncs,
 )
 
 PAIR = ("connection_id", "from_snapshot_id", "to_snapshot_id")
@@ -156,9 +156,10 @@ def detect_drift(
     model could not classify go to ``drift_rejected`` for ``retry_rejected``.
     """
     spark = syncs.sparkSession
-    write_sync_log(syncs, root)
+    write_new_syncs(syncs, root)
     user_columns = exclude_system_columns(landed, *system_columns)
-    snapshots = read_state(spark, root, "schema_snapshots")
+    # The newest header is the same whether a replay wrote it once or twice.
+    snapshots = read_state(spark, root, "schema_snapshots", deduplicate=False)
     gated = gate_connections(syncs, user_columns, snapshots, connections, default_schema)
     # One row per synced connection, read by every later step: fixed once.
     opened = materialize(gated.filter(F.col("gate_state") != "UNCHANGED"), "opened")
@@ -197,10 +198,14 @@ def detect_drift(
         F.col("current_hash").alias("content_hash"),
     )
     append_state(headers, root, "schema_snapshots")
-    new_ids = opened.select(F.col("snapshot_id").alias("to_snapshot_id"))
+    # Events carry the time of their snapshot, so only the partitions of this run are read.
+    new_ids = prunable(
+        opened.select(F.col("snapshot_id").alias("to_snapshot_id"), F.to_date("captured_at").alias("detected_at_date")),
+        "detected_at_date",
+    )
     written = read_state(spark, root, "drift_events", deduplicate=False)
     return (
-        written.join(new_ids, "to_snapshot_id", "left_semi")
+        written.join(new_ids, ["to_snapshot_id", "detected_at_date"], "left_semi")
         .dropDuplicates(["drift_id"])
         .select(*STATE_TABLES["drift_events"].schema.names)
     )

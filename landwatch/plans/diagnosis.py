@@ -47,19 +47,24 @@ def diagnose_failures(
         .withColumn("_live", F.lit(None).cast(_ERRORS))
     )
     if connector_status is not None:
-        live = _error_list(connector_status_errors(connector_status), "_live")
+        errors_now = connector_status_errors(connector_status)
+        live = _error_list(errors_now, "_live").join(
+            errors_now.groupBy("connection_id").agg(F.max("total_errors").alias("_live_count")), "connection_id"
+        )
         facts = facts.drop("_live").join(live, "connection_id", "left")
+    else:
+        facts = facts.withColumn("_live_count", F.lit(None).cast("bigint"))
     errors = F.coalesce("_log", "_live")
     source = F.when(F.col("_log").isNotNull(), "log").when(F.col("_live").isNotNull(), "status")
     facts = facts.withColumns(
         {
             "top_errors": errors,
             "source": source,
-            "failure_count": F.coalesce("failure_count", F.nullif(F.size("_live"), F.lit(-1)), F.lit(0)).cast("bigint"),
+            "failure_count": F.coalesce("failure_count", "_live_count", F.lit(0)).cast("bigint"),
             "status": F.when(errors.isNull(), "no_failures").otherwise("failures"),
             "period_days": F.lit(days),
         }
-    ).drop("_log", "_live")
+    ).drop("_log", "_live", "_live_count")
     by_count = severity_from_count(F.col("failure_count"))
     failed = F.col("status") == "failures"
     if model_fn is not None:

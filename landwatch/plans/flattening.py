@@ -8,11 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landwatch.functions.text import stable_id
-from landwatch.operators.jsonflat import (
-    flatten_view_sql,
-    infer_json_structure,
-    structure_to_list,
-)
+from landwatch.operators.jsonflat import flatten_view, infer_json_structure
 from landwatch.operators.model import build_prompts, run_model
 
 
@@ -23,27 +19,27 @@ def generate_flattener(
     table_key: str,
     column: str,
     generated_at: str,
-    mode: str = "sample",
+    mode: str = "full",
     order_by: str | list[str] | None = None,
     model_fn: Callable[[str], str] | None = None,
 ) -> DataFrame:
     """Audit row of a flatten view for one landed column, ready for ``write_flattener_log``,
-    with ``estimated_columns`` added."""
-    spark = rows.sparkSession
-    structure = structure_to_list(infer_json_structure(rows, column, mode, order_by))
-    view = flatten_view_sql(dataset, table_key, column, structure)
-    base = spark.range(1).select(
+    with ``estimated_columns`` added.
+
+    The structure is that of all rows unless ``mode="sample"`` is asked for."""
+    structure = infer_json_structure(rows, column, mode, order_by)
+    base = flatten_view(dataset, table_key, column, structure).select(
         F.lit(connection_id).alias("connection_id"),
         F.lit(table_key).alias("table_name"),
         F.lit(column).alias("column_name"),
-        F.lit(view["view_name"]).alias("view_name"),
-        F.lit(view["view_sql"]).alias("view_sql"),
+        "view_name",
+        "view_sql",
         F.lit(generated_at).cast("timestamp").alias("generated_at"),
         F.lit(False).alias("deployed"),
-        F.lit(view["estimated_columns"]).alias("estimated_columns"),
+        "estimated_columns",
     )
     if model_fn is not None:
-        asked = base.withColumn("keys", F.lit(str(dict(structure))))
+        asked = base.withColumn("keys", F.regexp_extract("view_sql", r"SELECT \* EXCEPT\(.*?\), (.*) FROM ", 1))
         said = run_model(build_prompts(asked, "flatten"), model_fn)
         reply = F.nullif(F.trim("raw"), F.lit(""))
         base = said.withColumn("view_sql", F.coalesce(reply, F.col("view_sql"))).drop("keys", "prompt", "raw")

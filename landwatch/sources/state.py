@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StructField, StructType
 
+from landwatch.sources.snapshots import prunable
 from landwatch.schemas import (
     DRIFT_UPDATE_FIELDS,
     DRIFT_UPDATES,
@@ -93,6 +94,19 @@ def write_sync_log(rows: DataFrame, root: str) -> None:
     append_state(rows, root, "sync_log")
 
 
+def write_new_syncs(batch: DataFrame, root: str) -> None:
+    """Append the syncs of ``batch`` that the log does not hold yet, each once.
+
+    Ids are built from content, so a repeat has the date of the row it repeats: only the log's
+    partitions of the batch's own dates are read.
+    """
+    once = batch.dropDuplicates(["log_id"]).withColumn("_date", F.to_date("synced_at"))
+    days = once.select("_date").distinct()
+    stored = read_state(batch.sparkSession, root, "sync_log", deduplicate=False)
+    known = stored.join(prunable(days, "_date"), F.col("synced_at_date") == F.col("_date"), "left_semi").select("log_id")
+    write_sync_log(once.join(known, "log_id", "left_anti").drop("_date"), root)
+
+
 def write_flattener_log(rows: DataFrame, root: str) -> None:
     append_state(rows, root, "json_flattener_log")
 
@@ -175,12 +189,13 @@ def fold_drift_events(inserted: DataFrame, updates: DataFrame | None) -> DataFra
 
 
 def drift_events_current(
-    spark: SparkSession, root: str, committed_only: bool = False
+    spark: SparkSession, root: str, committed_only: bool = True
 ) -> DataFrame:
     """Drift events as they stand after all stored updates.
 
-    ``committed_only`` leaves out events whose newer snapshot has no header: those of a
-    detection run that died before its end and was not repeated on the same columns.
+    Events whose newer snapshot has no header are left out: those of a detection run that
+    died before its end and was not repeated on the same columns. ``committed_only=False``
+    shows them too, and events that did not come from a detection run.
     """
     inserted = read_state(spark, root, "drift_events")
     if committed_only:

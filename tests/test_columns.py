@@ -74,6 +74,17 @@ def test_masking_and_reading_back(spark):
         lw.mask_columns(df, {"nope": "HASH"}, "s")
 
 
+def test_generalized_numbers_keep_their_type(spark):
+    df = spark.sql("SELECT 0.37D AS d, -0.37D AS m, 12.34BD AS x, 7 AS i, true AS b, CAST('NaN' AS DOUBLE) AS n")
+    plan = {c: {"strategy": "GENERALIZE", "bucket": 0.1} for c in ("d", "m", "x", "n")} | {"i": {"strategy": "GENERALIZE", "bucket": 5}}
+    masked = lw.mask_columns(df, plan, "s")
+    assert masked.dtypes == df.dtypes
+    assert [str(v) for v in masked.first()] == ["0.3", "-0.4", "12.30", "5", "True", "None"]
+    for bad in ({"b": "GENERALIZE"}, {"i": {"strategy": "GENERALIZE", "bucket": 0}}):
+        with pytest.raises(ValueError):
+            lw.mask_columns(df, bad, "s")
+
+
 @pytest.mark.parametrize("name", ["metadata", "properties", "attributes", "payload", "details", "extras", "config", "context", "user_metadata", "Event_Payload_v2"])
 def test_payload_names(spark, name):
     assert lw.detect_json_columns(landed(spark, ("c", "t", name, "STRING"))).count() == 1
@@ -115,14 +126,18 @@ def test_flatten_casts_safely_and_renames_clashes(spark):
     ]
 
 
-def test_too_many_keys_is_an_error_not_a_cut(spark):
-    df = payloads(spark, json.dumps({f"k{i}": i for i in range(12)}))
-    with pytest.raises(ValueError, match="top-level keys"):
-        structure_to_list(lw.infer_json_structure(df, "p", mode="full"), max_keys=10)
+def test_long_form_keeps_every_key_of_every_row(spark):
+    texts = [json.dumps({f"k{i}_{j}": j for j in range(300)}) for i in range(20)] + ['{"late": {"x": [1]}, "n": null}', "[1]", "broken", "{}", None]
+    out = lw.flatten_json_long(payloads(spark, *texts), "p")
+    assert out.columns == ["id", "key", "json_type", "value"] and out.select("key").distinct().count() == 6002
+    assert [tuple(r) for r in out.filter("id = 20").orderBy("key").collect()] == [(20, "late", "dict", '{"x":[1]}'), (20, "n", "NoneType", None)]
+    with pytest.raises(ValueError):
+        lw.flatten_json_long(out.withColumnRenamed("id", "p"), "p")
 
 
 def test_flatten_view_text(spark):
-    view = lw.flatten_view_sql("ds", "public.events", "data", [("user_id", "int"), ("tags", "list"), ("page", "str")])
+    structure = spark.createDataFrame([("tags", "list", 2), ("user_id", "int", 1), ("page", "str", 3)], "key string, json_type string, key_order int")
+    view = lw.flatten_view("ds", "public.events", "data", structure).first().asDict()
     assert view["view_name"] == "ds.events_flat" and view["estimated_columns"] == 3
     assert "SAFE_CAST(JSON_VALUE(data, '$.\"user_id\"') AS INT64) AS `user_id`" in view["view_sql"] and "JSON_QUERY(data" in view["view_sql"] and "* EXCEPT(data)" in view["view_sql"]
 
@@ -209,3 +224,11 @@ def test_merge_never_multiplies_rows(spark):
     base = spark.createDataFrame([("a",), ("b",)], "k string")
     said = spark.createDataFrame([("a", "x"), ("a", "y")], "k string, v string")
     assert sorted(tuple(r) for r in lw.merge_model_rows(base, said, ["k"], {"v": "UNKNOWN"}).collect()) == [("a", "y"), ("b", "UNKNOWN")]
+
+
+def test_wide_decimals_stay_text():
+    from landwatch.functions.types import spark_type_of
+
+    assert [spark_type_of(t) for t in ("BIGNUMERIC", "BIGNUMERIC(76,38)", "BIGNUMERIC(38,10)", "NUMERIC(10)", "NUMERIC")] == [
+        "string", "string", "decimal(38,10)", "decimal(10,0)", "decimal(38,9)"
+    ]

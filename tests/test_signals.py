@@ -121,6 +121,15 @@ def test_diagnosis_counts_all_failures_and_uses_live_status(spark):
     assert {got[x].status for x in "def"} == {"no_failures"} and got["d"].severity is None
 
 
+def test_all_open_tasks_count_and_five_are_listed(spark):
+    status = spark.createDataFrame([("a", "error", [(f"T{i}", "m") for i in range(12)])], "connection_id string, sync_state string, tasks array<struct<code string, message string>>")
+    rows = lw.connector_status_errors(status).collect()
+    assert [r.total_errors for r in rows] == [12] * 5
+    none = failures(spark, ("z", "E", "m", "2024-01-30"))
+    row = lw.diagnose_failures(ids(spark, "a"), none, AS_OF, connector_status=status).collect()[0]
+    assert (row.failure_count, row.severity, len(row.top_errors)) == (12, "CRITICAL", 5)
+
+
 def test_model_is_asked_only_about_failures_and_its_level_is_checked(spark):
     reply = lambda level: lambda p: '{"diagnosis": "d", "recommended_actions": ["x"], "severity": "%s"}' % level
     frame = failures(spark, ("a", "E", "m", "2024-01-30"))

@@ -65,10 +65,10 @@ def test_crash_before_the_header_is_repeated_without_doubles(spark, root, monkey
     monkeypatch.setattr(detect, "append_state", dying)
     with pytest.raises(RuntimeError):
         detect.detect_drift(day2, landed(spark, *NEXT), root, SYSTEM)
-    assert lw.drift_events_current(spark, root, committed_only=True).count() == 0
+    assert lw.drift_events_current(spark, root).count() == 0
     monkeypatch.setattr(detect, "append_state", real)
     assert detect.detect_drift(day2, landed(spark, *NEXT), root, SYSTEM).count() == 2
-    assert lw.drift_events_current(spark, root, committed_only=True).count() == 2
+    assert lw.drift_events_current(spark, root).count() == 2
     assert lw.read_state(spark, root, "schema_snapshots").count() == 2
 
 
@@ -92,7 +92,7 @@ def test_connection_without_columns_and_hot_history(spark, root):
     header = lw.read_state(spark, root, "schema_snapshots").collect()[0]
     import hashlib
 
-    assert (header.column_count, header.content_hash) == (0, hashlib.sha256(b"[]").hexdigest())
+    assert (header.column_count, header.content_hash) == (0, "2:" + hashlib.sha256(b"0|0|0").hexdigest())
 
 
 def event(spark, root, drift_id="d1"):
@@ -118,14 +118,14 @@ def test_lifecycle_is_folded_from_the_log(spark, root):
     )
     lw.update_drift_event(lifecycle_updates(steps), root)
     lw.update_drift_event(lifecycle_updates(steps), root)
-    now = lw.drift_events_current(spark, root).collect()
+    now = lw.drift_events_current(spark, root, committed_only=False).collect()
     assert [(e.remediation_status, e.approved_by, e.transformation_id, str(e.updated_at)) for e in now] == [("VERIFIED", "ann", "tf1", "2024-01-04 00:00:00")]
     assert now[0].classification_conf == 0.5
 
 
 def test_any_order_is_taken_unless_strict(spark, root):
     event(spark, root)
-    current = lw.drift_events_current(spark, root)
+    current = lw.drift_events_current(spark, root, committed_only=False)
     verify = transitions(spark, ("d1", "verify", None, None, "2024-01-02"))
     assert lw.drift_lifecycle(current, verify).collect()[0].remediation_status == "VERIFIED"
     assert lw.drift_lifecycle(current, verify, strict=True).collect()[0].remediation_status == "PROPOSED"
@@ -141,12 +141,12 @@ def test_updates_check_their_fields(spark, root):
         lw.update_drift_event(base.withColumns({"colour": F.lit("red"), "updated_at": at}), root)
     cleared = base.withColumns({"classification_conf": F.lit(None).cast("double"), "updated_at": at, "set_fields": F.array(F.lit("classification_conf"))})
     lw.update_drift_event(cleared, root)
-    assert lw.drift_events_current(spark, root).collect()[0].classification_conf is None
+    assert lw.drift_events_current(spark, root, committed_only=False).collect()[0].classification_conf is None
 
 
 def test_list_proposed_orders_and_renders_json(spark, root):
     event(spark, root)
-    row = lw.list_proposed(lw.drift_events_current(spark, root)).collect()[0]
+    row = lw.list_proposed(lw.drift_events_current(spark, root, committed_only=False)).collect()[0]
     assert row.column_before is None and row.remediation_status == "PROPOSED" and len(row) == 12
 
 

@@ -70,6 +70,17 @@ def test_stream_equals_batch_and_drops_redeliveries(spark, root, tmp_path):
     assert lw.read_state(spark, root, "sync_log", deduplicate=False).count() == len(stored)
 
 
+def test_late_and_future_syncs_are_all_stored_once(spark, root, tmp_path):
+    path = str(tmp_path / "events")
+    days = [[9, 30, 1], [4, 9, 2, 28], [3, 4, 30]]  # landed out of order in three runs, some delivered again
+    for run in days:
+        land(spark, path, *[signed(body(sync_id=f"s{d}", created=f"2024-01-{d:02d}T03:00:00Z")) for d in run], signed(body(sync_id="far", created="2031-01-01T00:00:00Z")))
+        stream = lw.stream_sync_log(lw.sync_event_source(spark, path), KEY)
+        write_sync_log_stream(stream, root, f"{root}-cp", available_now=True).awaitTermination()
+    stored = [r.sync_id for r in lw.read_state(spark, root, "sync_log", deduplicate=False).collect()]
+    assert sorted(stored) == sorted({f"s{d}" for run in days for d in run} | {"far"})
+
+
 def test_rejected_stream_and_latency(spark, root, tmp_path):
     path = str(tmp_path / "events")
     land(spark, path, signed(body()), signed(body(connector_id=...)))
