@@ -8,7 +8,17 @@ import uuid
 from pyspark.sql import functions as F
 
 import landwatch as lw
-from fleet.drift_queries import _COLLATERAL, _PLACE, _WITH_DIFF, changes_of, flat, new_root
+from fleet.drift_queries import (
+    _CLASSIFIED,
+    _CLASSIFIED_COLUMNS,
+    _COLLATERAL,
+    _DIFF,
+    _PLACE,
+    _WITH_DIFF,
+    changes_of,
+    flat,
+    new_root,
+)
 from fleet.inputs import AS_OF, SALT, SIGNING_KEY, ctes, stored, table
 from fleet.registry import register
 from fleet.signal_queries import _ACTIVE, _SIGNALS, _inputs
@@ -457,10 +467,17 @@ def route_sync_events(spark, sf):
     return lw.route_sync_events(_raw_events(spark, sf), _KEY).select("event_id", "route", "http_status", "reply")
 
 
+def _land(spark, sf, path, part=None):
+    """The raw events as JSON files, as a receiver would land them: all, or those of one half."""
+    events = _raw_events(spark, sf)
+    if part is not None:
+        events = events.filter(F.col("event_id") % 4 >= 1 if part else F.col("event_id") % 4 <= 1)
+    events.select("body", "signature", F.col("received_at").cast("timestamp").alias("received_at")).write.mode("append").json(path)
+
+
 def _landing(spark, sf):
-    """The raw events as JSON files, as a receiver would land them."""
     path = f"{shared_dir(spark).rstrip('/')}/landwatch/landing-{uuid.uuid4().hex}"
-    _raw_events(spark, sf).select("body", "signature", F.col("received_at").cast("timestamp").alias("received_at")).write.json(path)
+    _land(spark, sf, path)
     return path
 
 
@@ -471,32 +488,42 @@ def sync_event_source(spark, sf):
 
 
 _ACCEPTED = f"""{_ROUTED}, accepted AS (SELECT DISTINCT json_extract_string(body, '$.connector_id') AS connection_id,
-  nullif(json_extract_string(body, '$.sync_id'), '') AS sync_id, timestamp '2024-01-02 03:04:05' AS synced_at
+  nullif(json_extract_string(body, '$.sync_id'), '') AS sync_id, left(json_extract_string(body, '$.created'), 19)::TIMESTAMP AS synced_at
   FROM routed WHERE route = 'accepted')"""
 
 
 @register("stream_sync_log", ctes("bodies") + f", {_ACCEPTED} SELECT * FROM accepted")
 def stream_sync_log(spark, sf):
-    """Files of signed events streamed into the sync log, each sync once."""
-    root = new_root(spark)
-    stream = lw.stream_sync_log(lw.sync_event_source(spark, _landing(spark, sf)), _KEY)
-    write_sync_log_stream(stream, root, f"{root}-checkpoint", available_now=True).awaitTermination()
+    """Signed events with times all over a month, landed out of order in two runs that share
+    some of them: every sync is in the log once."""
+    root, path = new_root(spark), f"{new_root(spark)}-landing"
+    for part in (0, 1):
+        _land(spark, sf, path, part)
+        stream = lw.stream_sync_log(lw.sync_event_source(spark, path), _KEY)
+        write_sync_log_stream(stream, root, f"{root}-checkpoint", available_now=True).awaitTermination()
     in_utc = F.to_utc_timestamp("synced_at", F.current_timezone())
-    return lw.read_state(spark, root, "sync_log").select(
+    return lw.read_state(spark, root, "sync_log", deduplicate=False).select(
         "connection_id", "sync_id", in_utc.cast("timestamp_ntz").alias("synced_at")
     )
 
 
-@register("stream_detect_drift", ctes("bodies", "named") + f""", {_ACCEPTED},
-active AS (SELECT DISTINCT connection_id FROM accepted)
-SELECT a.connection_id, count(n.connection_id) AS column_count FROM active a LEFT JOIN d_named n USING (connection_id) GROUP BY a.connection_id""")
+@register("stream_detect_drift", ctes("prior", "current", "bodies") + "," + _DIFF + f""", {_ROUTED},
+synced AS (SELECT json_extract_string(body, '$.connector_id') AS connection_id FROM routed WHERE route = 'accepted'
+  GROUP BY 1 HAVING bool_or(event_id % 4 <= 1) AND bool_or(event_id % 4 >= 1))"""
+  + _CLASSIFIED + f" SELECT {_CLASSIFIED_COLUMNS} FROM classified WHERE connection_id IN (SELECT connection_id FROM synced)")
 def stream_detect_drift(spark, sf):
-    """Streamed events drive detection; the first run stores every connection's baseline."""
-    root = new_root(spark)
-    stream = lw.stream_sync_log(lw.sync_event_source(spark, _landing(spark, sf)), _KEY)
-    lw.stream_detect_drift(
-        stream, lambda s: table(s, sf, "named"), root, f"{root}-checkpoint", ("_sys_", "_sys_id"), available_now=True
-    ).awaitTermination()
-    return lw.read_state(spark, root, "schema_snapshots").select("connection_id", "column_count")
+    """Streamed events drive detection: a first run stores the baseline of the connections that
+    synced, a second one finds what changed in those that sync again."""
+    root, path = new_root(spark), f"{new_root(spark)}-landing"
+    for part, side in ((0, "prior"), (1, "current")):
+        _land(spark, sf, path, part)
+        stream = lw.stream_sync_log(lw.sync_event_source(spark, path), _KEY)
+        lw.stream_detect_drift(
+            stream, lambda s, side=side: stored(s, sf, side), root, f"{root}-checkpoint", ("_sys_", "_sys_id"), available_now=True
+        ).awaitTermination()
+    return lw.drift_events_current(spark, root).select(
+        "connection_id", "table_schema", "table_name", "change_type", F.col("column_before.column_name").alias("before_name"),
+        F.col("column_after.column_name").alias("after_name"), "classification_conf", "remediation_sql",
+    )
 
 

@@ -163,7 +163,8 @@ DERIVED: dict[str, str] = {
                CASE WHEN value < 1 THEN '{{broken'
                     WHEN value < 2 THEN '{{"event":"sync_end","sync_id":"s","data":{{"status":"SUCCESSFUL"}}}}'
                     ELSE '{{"event":"' || CASE event_type WHEN 'click' THEN 'sync_start' ELSE 'sync_end' END
-                      || '","created":"2024-01-02T03:04:05.000Z","connector_id":"conn_' || cast(user_id AS string)
+                      || '","created":"2024-01-' || lpad(cast(1 + cast(floor(event_id / 2.0) AS bigint) * 11 % 28 AS string), 2, '0')
+                      || 'T03:04:05.000Z","connector_id":"conn_' || cast(user_id AS string)
                       || '","connector_name":"name","sync_id":"' || CASE WHEN value < 3 THEN '' ELSE cast(cast(floor(event_id / 2.0) AS bigint) AS string) END
                       || '","data":{{"status":"' || CASE event_type WHEN 'error' THEN 'FAILURE' ELSE 'SUCCESSFUL' END || '"}}}}'
                END AS body,
