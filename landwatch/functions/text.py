@@ -46,18 +46,6 @@ def required_token(name: Column) -> Column:
     return F.replace(match_token(name), F.lit(" "), F.lit(""))
 
 
-def substrings(text: Column) -> Column:
-    """Every distinct substring of ``text``, the empty one included."""
-    n = F.length(text)
-    starts = F.transform(
-        F.sequence(F.lit(1), n),
-        lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(text, i, k)),
-    )
-    return F.when(n > 0, F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(starts)))).otherwise(
-        F.array(F.lit(""))
-    )
-
-
 def name_similarity(a: Column, b: Column) -> Column:
     """Similarity of two names in [0, 1]: the better of edit similarity and token overlap."""
     la, lb = F.lower(a), F.lower(b)

@@ -18,8 +18,6 @@ from landwatch.functions.text import table_key
 from landwatch.schemas import CHANGE_TYPES
 from landwatch.session import materialize
 
-COLUMNS_PER_PROMPT = 500
-
 _ASK = {
     "change": "A landed table changed between two snapshots. Decide which of "
     + ", ".join(CHANGE_TYPES)
@@ -34,10 +32,10 @@ _ASK = {
     "volatility": "Judge how stable this connection's schema is. Reply with one JSON object "
     "with the keys stability_class (STABLE, VOLATILE or CRITICAL), narrative and "
     "recommendation.",
-    "docs": "Describe each column of this table in one plain sentence. Reply with a JSON array "
+    "docs": "Describe this column of the named table in one plain sentence. Reply with a JSON array "
     "of objects with the keys column_name and description.",
-    "sensitivity": "Classify each column of this table as PII, FINANCIAL, HEALTH or SAFE and "
-    "choose HASH, REDACT, TOKENIZE or GENERALIZE for those that are not SAFE. Reply with a "
+    "sensitivity": "Classify this column of the named table as PII, FINANCIAL, HEALTH or SAFE and "
+    "choose HASH, REDACT, TOKENIZE or GENERALIZE for it unless it is SAFE. Reply with a "
     "JSON array of objects with the keys table, column, sensitivity_class and "
     "masking_strategy.",
     "requirements": "List the data entities and fields this use case needs. Reply with a JSON "
@@ -59,18 +57,14 @@ def build_prompts(
 ) -> DataFrame:
     """Add a ``prompt`` column: what is asked, then the row's data as JSON.
 
-    One prompt per row. Column-level questions (``docs``, ``sensitivity``) take landed
-    columns and ask once per table, and once per ``COLUMNS_PER_PROMPT`` columns of a wider
-    one: neither a prompt nor the group it is collected from grows with the data.
+    One prompt per row. Column-level questions (``docs``, ``sensitivity``) take landed columns
+    and ask about each column by itself, with its table as context: a question does not depend
+    on how wide the table is, and nothing is collected.
     """
     if kind not in _ASK:
         raise ValueError(f"unknown prompt kind: {kind}")
     if kind in ("docs", "sensitivity"):
-        column = F.struct("ordinal_position", "column_name", "data_type")
-        part = F.floor((F.col("ordinal_position") - 1) / COLUMNS_PER_PROMPT).alias("part")
-        df = df.groupBy(*keys, table_key().alias("table_key"), part).agg(
-            F.sort_array(F.collect_list(column)).alias("columns")
-        )
+        df = df.select(*keys, table_key().alias("table_key"), "ordinal_position", "column_name", "data_type")
     facts = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
     return df.withColumn("prompt", F.concat(F.lit(_ASK[kind] + "\n\nDATA:\n"), facts))
 

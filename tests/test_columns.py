@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -160,6 +161,20 @@ def test_fuzzy_match_equals_brute_force(spark):
     assert got == brute_match(fields, cols)
 
 
+def test_fuzzy_match_of_long_names_stays_linear(spark):
+    from landwatch.operators.coverage import GRAM, _containing
+
+    rng = random.Random(5)
+    names = ["".join(rng.choices("abcd", k=300)) for _ in range(20)]
+    fields = [n[rng.randrange(200):][: rng.randint(1, 90)] for n in names] + ["z" * 300, "ab"]
+    holders = spark.createDataFrame([(n,) for n in names], "holder string")
+    held = spark.createDataFrame([(f,) for f in set(fields)], "held string")
+    got = {(r.holder, r.held) for r in _containing(holders, held).collect()}
+    assert got == {(n, f) for n in names for f in fields if f in n}
+    exploded = _containing(holders, spark.createDataFrame([("a",)], "held string")).count()
+    assert exploded <= 20 and GRAM * 300 < 300 * 301 / 2
+
+
 def test_coverage_percent(spark):
     df = landed(spark, ("c", "customers", "id", "INT64"), ("c", "customers", "email", "STRING"), ("c", "customers", "subscription_plan", "STRING"))
     required = spark.createDataFrame([("Customer", "email"), ("Customer", "plan"), ("Login", "zz_top")], "entity string, field string")
