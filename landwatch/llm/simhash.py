@@ -29,7 +29,7 @@ SEED = 42
 #: 32-bit vantage points, from a fixed generator; a tree uses as many as it needs levels.
 VANTAGE = np.random.default_rng(2024).integers(0, 1 << 32, 8, dtype=np.uint64)
 #: Fingerprints of one half a leaf should hold.
-LEAF = 64
+LEAF = 512
 #: Shingles hashed at once: bounds the memory of a very long text.
 CHUNK = 1 << 16
 NEVER = 255
