@@ -125,8 +125,7 @@ def slot(term: str) -> int:
 def _table(terms: DataFrame) -> np.ndarray:
     """Which of the ``SLOTS`` slots any term falls in: one bit each, whatever the number of terms."""
     marks = np.zeros(SLOTS, bool)
-    for r in terms.select((F.crc32("term") % SLOTS).alias("s")).distinct().collect():
-        marks[r["s"]] = True
+    marks[terms.select((F.crc32("term") % SLOTS).alias("s")).distinct().toArrow()["s"].to_numpy()] = True
     return marks
 
 
