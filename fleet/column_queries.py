@@ -288,13 +288,19 @@ def entity_overlaps(spark, sf):
 @register("entity_overlap_pairs", _WITH_ENTITIES + """,
 cols AS (SELECT DISTINCT entity, connection_id, table_key, name FROM profile),
 tabs AS (SELECT entity, connection_id, table_key, count(*) AS n FROM cols GROUP BY ALL),
-anchors AS (SELECT * FROM tabs QUALIFY row_number() OVER (PARTITION BY entity ORDER BY connection_id, table_key) = 1),
-common AS (SELECT c.entity, c.connection_id, c.table_key, count(*) AS n_common FROM cols c JOIN anchors a ON a.entity = c.entity
-  JOIN cols x ON x.entity = a.entity AND x.connection_id = a.connection_id AND x.table_key = a.table_key AND x.name = c.name GROUP BY ALL)
-SELECT t.entity, a.connection_id AS anchor_connection_id, a.table_key AS anchor_table_key, t.connection_id, t.table_key,
-  coalesce(n_common, 0) AS n_common, round(coalesce(n_common, 0)::DOUBLE / (t.n + a.n - coalesce(n_common, 0)), 4) AS jaccard
-FROM tabs t JOIN anchors a ON a.entity = t.entity AND a.connection_id <> t.connection_id
-LEFT JOIN common c ON c.entity = t.entity AND c.connection_id = t.connection_id AND c.table_key = t.table_key""")
+first AS (SELECT * FROM tabs QUALIFY row_number() OVER (PARTITION BY entity ORDER BY connection_id, table_key) = 1),
+second AS (SELECT t.* FROM tabs t JOIN first f ON f.entity = t.entity AND f.connection_id <> t.connection_id
+  QUALIFY row_number() OVER (PARTITION BY t.entity ORDER BY t.connection_id, t.table_key) = 1),
+linked AS (SELECT t.*, a.connection_id AS anchor_connection_id, a.table_key AS anchor_table_key, a.n AS anchor_n
+  FROM tabs t JOIN first a ON a.entity = t.entity AND a.connection_id <> t.connection_id
+  UNION ALL SELECT t.*, b.connection_id, b.table_key, b.n FROM tabs t JOIN first a ON a.entity = t.entity AND a.connection_id = t.connection_id
+  JOIN second b ON b.entity = t.entity),
+common AS (SELECT l.entity, l.connection_id, l.table_key, count(*) AS n_common FROM linked l
+  JOIN cols c ON c.entity = l.entity AND c.connection_id = l.connection_id AND c.table_key = l.table_key
+  JOIN cols x ON x.entity = l.entity AND x.connection_id = l.anchor_connection_id AND x.table_key = l.anchor_table_key AND x.name = c.name GROUP BY ALL)
+SELECT entity, anchor_connection_id, anchor_table_key, connection_id, table_key, coalesce(n_common, 0) AS n_common,
+  round(coalesce(n_common, 0)::DOUBLE / (n + anchor_n - coalesce(n_common, 0)), 4) AS jaccard
+FROM linked LEFT JOIN common USING (entity, connection_id, table_key)""")
 def entity_overlap_pairs(spark, sf):
     return lw.entity_overlap_pairs(stored(spark, sf, "named"))
 

@@ -117,37 +117,41 @@ def entity_occurrences(landed: DataFrame) -> DataFrame:
 
 
 def entity_overlap_pairs(landed: DataFrame) -> DataFrame:
-    """Each table of an entity with the entity's anchor table in another connection, and the
-    Jaccard similarity of their column names.
+    """Each table of an entity with an anchor table of the entity in another connection, and
+    the Jaccard similarity of their column names.
 
     Pairing every table with every other of its entity would grow with the square of the
-    group. One anchor per entity (the first by connection and table) links the whole group
-    with one row per table; tables of the anchor's own connection are no overlap.
+    group. Two anchors per entity, the first table by connection and name and the first one
+    outside that table's connection, link the whole group with one row per table: tables of the
+    first anchor's connection go to the second anchor, all others to the first. Every table with a
+    counterpart in another connection has a row.
     """
     columns = _table_profile(landed).select("entity", "connection_id", "table_key", "name").distinct()
-    place = F.struct("connection_id", "table_key")
+    place, table = F.struct("connection_id", "table_key"), F.struct("connection_id", "table_key", "n")
     tables = columns.groupBy("entity", "connection_id", "table_key").agg(F.count(F.lit(1)).alias("n"))
-    anchors = tables.groupBy("entity").agg(F.min_by(F.struct("connection_id", "table_key", "n"), place).alias("a"))
-    anchor_columns = (
-        columns.join(anchors.select("entity", "a.connection_id", "a.table_key"), ["entity", "connection_id", "table_key"], "left_semi")
-        .select("entity", "name")
-        .withColumn("in_anchor", F.lit(True))
+    first = tables.groupBy("entity").agg(F.min_by(table, place).alias("a"))
+    elsewhere = tables.join(first, "entity").filter(F.col("connection_id") != F.col("a.connection_id"))
+    second = elsewhere.groupBy("entity").agg(F.min_by(table, place).alias("b"))
+    anchors = first.join(second, "entity")
+    slots = anchors.select(
+        "entity", F.posexplode(F.array("a", "b")).alias("slot", "anchor")
     )
+    of_anchors = columns.join(
+        slots.select("entity", "slot", "anchor.connection_id", "anchor.table_key"), ["entity", "connection_id", "table_key"]
+    ).select("entity", "slot", "name", F.lit(True).alias("in_anchor"))
+    slot = F.when(F.col("connection_id") == F.col("a.connection_id"), 1).otherwise(0).alias("slot")
+    placed = columns.join(anchors.select("entity", "a"), "entity").select("entity", "connection_id", "table_key", "name", slot)
     common = (
-        columns.join(anchor_columns, ["entity", "name"], "left")
-        .groupBy("entity", "connection_id", "table_key")
+        placed.join(of_anchors, ["entity", "slot", "name"], "left")
+        .groupBy("entity", "slot", "connection_id", "table_key")
         .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("in_anchor").isNotNull()).alias("n_common"))
     )
-    return (
-        common.join(anchors, "entity")
-        .filter(F.col("connection_id") != F.col("a.connection_id"))
-        .select(
-            "entity",
-            F.col("a.connection_id").alias("anchor_connection_id"),
-            F.col("a.table_key").alias("anchor_table_key"),
-            "connection_id",
-            "table_key",
-            "n_common",
-            F.round(F.col("n_common") / (F.col("n") + F.col("a.n") - F.col("n_common")), 4).alias("jaccard"),
-        )
+    return common.join(slots, ["entity", "slot"]).select(
+        "entity",
+        F.col("anchor.connection_id").alias("anchor_connection_id"),
+        F.col("anchor.table_key").alias("anchor_table_key"),
+        "connection_id",
+        "table_key",
+        "n_common",
+        F.round(F.col("n_common") / (F.col("n") + F.col("anchor.n") - F.col("n_common")), 4).alias("jaccard"),
     )

@@ -207,7 +207,17 @@ def test_entity_modes(spark):
     assert [(r.entity_name, r.analysis_mode) for r in one] == [("Customer", "single_connection")]
     assert lw.entity_overlaps(landed(spark, *a).limit(0)).count() == 0
     pairs = lw.entity_overlap_pairs(landed(spark, *a, *b)).collect()
-    assert [(p.anchor_table_key, p.table_key, p.n_common, p.jaccard) for p in pairs] == [("public.users", "public.accounts", 2, 0.5)]
+    assert sorted((p.anchor_table_key, p.table_key, p.n_common, p.jaccard) for p in pairs) == [
+        ("public.accounts", "public.users", 2, 0.5), ("public.users", "public.accounts", 2, 0.5)
+    ]
+
+
+def test_every_table_with_a_counterpart_elsewhere_has_a_row(spark):
+    a = [("c1", t, n, "STRING") for t in ("customers", "clients") for n in ("id", "email")] + [("c2", "users", "id", "STRING"), ("c3", "orders", "id", "STRING")]
+    pairs = lw.entity_overlap_pairs(landed(spark, *a)).collect()
+    assert sorted((p.table_key, p.anchor_table_key) for p in pairs) == [
+        ("public.clients", "public.users"), ("public.customers", "public.users"), ("public.users", "public.clients")
+    ]
 
 
 def test_schema_docs(spark):
