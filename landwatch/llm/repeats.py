@@ -38,7 +38,6 @@ BLOCK = 1 << 20
 FLUSH = 1 << 20
 LEVELS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 STEP = np.uint64(0xE7037ED1A0B428DB)
-ROWS = "name long, whole long, doc_id long, at long, later boolean"
 
 
 def gram_names(raw: np.ndarray) -> np.ndarray:
@@ -85,15 +84,22 @@ def runs_of(raw: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarr
 
 
 def _first_rows(rows: dict[str, np.ndarray]) -> pd.DataFrame:
-    """Rows in order of (name, whole, position), those after the first of equal (name, whole) marked ``later``."""
-    order = np.lexsort((rows["at"], rows["doc_id"], rows["whole"], rows["name"]))
+    """The rows with ``at`` doubled, plus one where equal names stand earlier among them.
+
+    Such a row is settled: its names are blanked. Rows keep their order, document by document,
+    which is how they shuffle smallest.
+    """
+    order = np.lexsort((rows["at"], rows["doc_id"], rows.get("whole", rows["name"]), rows["name"]))
     out = {c: x[order] for c, x in rows.items()}
     later = np.zeros(len(order), bool)
     if len(order):
-        same = (out["name"][1:] == out["name"][:-1]) & (out["whole"][1:] == out["whole"][:-1])
+        same = out["name"][1:] == out["name"][:-1]
+        if "whole" in out:
+            same &= out["whole"][1:] == out["whole"][:-1]
         head = np.maximum.accumulate(np.where(np.concatenate(([True], ~same)), np.arange(len(order)), 0))
-        later = (out["doc_id"] != out["doc_id"][head]) | (out["at"] != out["at"][head])
-    return pd.DataFrame({**out, "later": later})
+        later[order] = (out["doc_id"] != out["doc_id"][head]) | (out["at"] != out["at"][head])
+    names = {c: np.where(later, 0, rows[c]) for c in ("name", "whole") if c in rows}
+    return pd.DataFrame({**names, "doc_id": rows["doc_id"], "at": rows["at"] * 2 + later})
 
 
 def _combined(parts: Iterable[dict[str, np.ndarray]]) -> Iterator[pd.DataFrame]:
@@ -111,18 +117,20 @@ def _combined(parts: Iterable[dict[str, np.ndarray]]) -> Iterator[pd.DataFrame]:
 def rerank(rows: DataFrame) -> DataFrame:
     """doc_id, at, status of the rows that aren't unique: 1 if equal (name, whole) stand earlier, 2 if only the name repeats.
 
-    Rows are sorted by Spark and read as a stream: a name with very many rows is never held.
+    ``rows``: name, perhaps whole, doc_id and at as ``_first_rows`` gives them. They are sorted by
+    Spark and read as a stream: a name with very many rows is never held.
     """
-    spread = F.when(F.col("later"), F.xxhash64("doc_id", "at")).otherwise(F.col("name"))
+    spread = F.when(F.col("at") % 2 == 1, F.xxhash64("doc_id", "at")).otherwise(F.col("name"))
 
     def scan(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         head = None  # (name, whole, doc_id, at) of the first row of the current (name, whole)
         waiting = None  # (doc_id, at) of the first row of the current name, while it has one variant only
         for pdf in batches:
-            doc, at = pdf["doc_id"].to_numpy(), pdf["at"].to_numpy()
-            later = pdf["later"].to_numpy().astype(bool)
+            doc, at = pdf["doc_id"].to_numpy(), pdf["at"].to_numpy() >> 1
+            later = pdf["at"].to_numpy() % 2 == 1
             out = [(doc[later], at[later], np.ones(int(later.sum()), np.int32))]
-            name, whole, doc, at = pdf["name"].to_numpy()[~later], pdf["whole"].to_numpy()[~later], doc[~later], at[~later]
+            name, doc, at = pdf["name"].to_numpy()[~later], doc[~later], at[~later]
+            whole = pdf["whole"].to_numpy()[~later] if "whole" in pdf else np.zeros(len(name), np.int64)
             if len(name):
                 if head is not None:
                     name, whole = np.append(head[0], name), np.append(head[1], whole)
@@ -154,7 +162,7 @@ def rerank(rows: DataFrame) -> DataFrame:
             yield pd.DataFrame({c: np.concatenate([o[i] for o in out]) for i, c in enumerate(("doc_id", "at", "status"))})
 
     return (
-        rows.repartition(spread).sortWithinPartitions("later", "name", "whole", "doc_id", "at")
+        rows.repartition(spread).sortWithinPartitions(*rows.columns)
         .mapInPandas(scan, "doc_id long, at long, status int")
     )
 
@@ -178,7 +186,7 @@ def _unpacked(packed: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(packed) if packed else b""
 
 
-def _encode(start: np.ndarray, n: np.ndarray, at: np.ndarray | int = 0) -> np.ndarray:
+def _encode(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     """A run of windows as one number that sorts by its first window; a run has fewer than 2 ** 12 windows."""
     return (start << 12) | n
 
@@ -199,7 +207,9 @@ def removal_runs(documents: DataFrame, length: int = 100, text_col: str = "text"
 
         return _combined(parts())
 
-    rows = texts.select(F.col(key_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(first_round, ROWS)
+    rows = texts.select(F.col(key_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(
+        first_round, "name long, whole long, doc_id long, at long"
+    )
     ranked = stage(rerank(rows), "repeat-runs")
     edges = ranked.where("status = 2").groupBy("doc_id").agg(F.collect_list("at").alias("runs"))
 
@@ -217,11 +227,11 @@ def removal_runs(documents: DataFrame, length: int = 100, text_col: str = "text"
                             names = gram_names(raw[lo : lo + BLOCK + 4096 + length])
                             at = np.concatenate([np.arange(s, s + k) for s, k in zip(start[own], n[own])])
                             full = joined_names(names, at - lo, length, -(-length // GRAM))
-                            yield {"name": full.view(np.int64), "whole": np.zeros(len(at), np.int64), "doc_id": np.full(len(at), doc, np.int64), "at": _encode(at, np.ones(len(at), np.int64))}
+                            yield {"name": full.view(np.int64), "doc_id": np.full(len(at), doc, np.int64), "at": _encode(at, np.ones(len(at), np.int64))}
 
         return _combined(parts())
 
-    windows = _packed(texts, text_col, key_col).join(edges, "doc_id").mapInPandas(last_round, ROWS)
+    windows = _packed(texts, text_col, key_col).join(edges, "doc_id").mapInPandas(last_round, "name long, doc_id long, at long")
     return ranked.where("status = 1").select("doc_id", F.col("at").alias("run")).union(
         rerank(windows).where("status = 1").select("doc_id", F.col("at").alias("run"))
     )
