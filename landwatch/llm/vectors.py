@@ -157,7 +157,9 @@ def spanning(names: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int,
 
 
 def tile_links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
-    """(kind, a, b): kind 0: class a is linked to b vectors of other classes; kind 1: a and b are linked, enough for components."""
+    """Compare all pairs of tiles that may hold a link; tiles travel as blocks, not row by row.
+
+    Returns (kind, a, b): kind 0: class a is linked to b vectors of other classes; kind 1: a and b are linked, enough for components."""
     n = classes.count()
     q = rotation(classes, dim)
     share = min(1.0, SAMPLE / max(1, n))
@@ -193,24 +195,26 @@ def tile_links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
                     partners[u].append((pair, 1))
     sent = [np.array(p, np.int64).reshape(-1, 2) for p in partners]
 
+    element = dict(classes.dtypes)["v"]
+    kind = np.float32 if element == "array<float>" else np.float64
+
     def deal(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
-            t = cells.tile(keys_of(unit(np.stack(pdf["v"])), q))
+            v = np.stack(pdf["v"]).astype(kind, copy=False)
+            t = cells.tile(keys_of(unit(v), q))
             for tile in np.unique(t):
-                own = pdf[t == tile]
-                for lo in range(0, len(sent[tile]), 64):
-                    to = sent[tile][lo : lo + 64]
-                    out = own.iloc[np.tile(np.arange(len(own)), len(to))].reset_index(drop=True)
-                    out.insert(0, "pair", np.repeat(to[:, 0], len(own)))
-                    out.insert(1, "side", np.repeat(to[:, 1], len(own)).astype(np.int32))
-                    yield out
+                own = t == tile
+                block = [np.ascontiguousarray(x[own]).tobytes() for x in (pdf["id"].to_numpy(), pdf["n"].to_numpy(), v)]
+                to = sent[tile]
+                yield pd.DataFrame({"pair": to[:, 0], "side": to[:, 1].astype(np.int32), "id": block[0], "n": block[1], "v": block[2]})
 
     def compare(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for g in sorted_groups(batches, "pair"):
-            cut = int((g["side"] == 0).sum())
-            x = unit(np.stack(g["v"]))
+            ids, ns = (np.concatenate([np.frombuffer(b, np.int64) for b in g[c]]) for c in ("id", "n"))
+            x = unit(np.concatenate([np.frombuffer(b, kind).reshape(-1, dim) for b in g["v"]]))
+            cut = sum(len(b) // 8 for b, side in zip(g["id"], g["side"]) if side == 0)
             same = cut == len(x)
             left, right = x[:cut], x if same else x[cut:]
             shift = 0 if same else cut
@@ -218,17 +222,16 @@ def tile_links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
             for i, j in close_pairs(left, right, q, threshold):
                 keep = i < j if same else slice(None)
                 i, j = i[keep], j[keep] + shift
-                linked += np.bincount(i, g["n"][j], len(x)).astype(np.int64) + np.bincount(j, g["n"][i], len(x)).astype(np.int64)
+                linked += np.bincount(i, ns[j], len(x)).astype(np.int64) + np.bincount(j, ns[i], len(x)).astype(np.int64)
                 found += spanning(names, i, j)
             at = np.flatnonzero(linked)
             ends = np.array(found, np.int64).reshape(-1, 2)
             yield pd.DataFrame({
                 "kind": np.repeat(np.array([0, 1], np.int32), [len(at), len(ends)]),
-                "a": np.concatenate((g["id"][at], g["id"][ends[:, 0]])), "b": np.concatenate((linked[at], g["id"][ends[:, 1]])),
+                "a": np.concatenate((ids[at], ids[ends[:, 0]])), "b": np.concatenate((linked[at], ids[ends[:, 1]])),
             })
 
-    element = dict(classes.dtypes)["v"]
-    dealt = classes.select("id", "n", "v").mapInPandas(deal, f"pair long, side int, id long, n long, v {element}")
+    dealt = classes.select("id", "n", "v").mapInPandas(deal, "pair long, side int, id binary, n binary, v binary")
     return dealt.repartition("pair").sortWithinPartitions("pair", "side").mapInPandas(compare, "kind int, a long, b long")
 
 
