@@ -30,6 +30,9 @@ def best_boundaries(counts: np.ndarray, k: int) -> list[int]:
     ``counts[n]``: segments of length n. The last width is the longest length present. The widths
     are lengths that occur; among equal choices the smaller one is taken. No rows: one width of 1.
     """
+    counts = np.array(counts)
+    if len(counts) > 1:  # no bucket is narrower than 1: empty segments fill the width-1 places
+        counts[1], counts[0] = counts[1] + counts[0], 0
     lengths = np.flatnonzero(counts)
     if not len(lengths):
         return [1]
