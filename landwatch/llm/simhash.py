@@ -231,43 +231,108 @@ def simhash_groups(documents: DataFrame, shingle_words: int = 3, max_bits: int =
     return prints.join(named, "code").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-#: Fingerprints over single words that index a text: more of them lose fewer similar pairs.
-INDEX = ("w0", "w1", "w2", "w3", "w4", "w5")
-#: Most differing bits, of 64, of two word fingerprints and two shingle fingerprints of similar texts.
-WORD_BITS, SHINGLE_BITS = 18, 22
-ODD = np.random.default_rng(99).integers(0, 1 << 63, len(INDEX), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SIGNATURE = "digest long, digest2 long, n_shingles long, s long, " + ", ".join(f"{w} long" for w in INDEX)
+#: Texts whose shingles tell frequent from rare, and the most frequent ones kept: they shape the work, not the result.
+SAMPLE, FREQUENT = 4096, 1 << 18
+#: Compared pairs for each row left, above which links to one text of each group are tried before all pairs.
+PAIRS = 20
+#: Rows of a block of shingles given to Spark at once.
+BLOCK = 1 << 19
+PREFIXES = "id long, digest long, digest2 long, n int, token long, pos int"
 
 
-def _remixed(h: np.ndarray, factor: np.uint64) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * factor
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(32))
+def shingles_of(words: list[bytes], k: int) -> np.ndarray:
+    return np.unique(np.concatenate(list(shingle_hashes(words, k))))
 
 
-def signature(text: str | None, k: int) -> list[int]:
-    """Digest of the word sequence, distinct shingles, shingle fingerprint and word fingerprints; all zero without a word."""
-    words = words_of(text)
-    if not words:
-        return [0] * (4 + len(INDEX))
-    shingles = np.unique(np.concatenate(list(shingle_hashes(words, k))))
-    distinct = np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(words)], np.uint64)
-    joined = xxhash.xxh128_intdigest(b" ".join(words))
-    prints = [majority([shingles]), *(majority([_remixed(distinct, f)]) for f in ODD)]
-    return [signed(joined & ((1 << 64) - 1)), signed(joined >> 64), len(shingles), *map(signed, prints)]
+def fewest(n: np.ndarray, similarity: float) -> np.ndarray:
+    """The fewest common shingles of a set of ``n`` and a set as similar as ``similarity``; rounding only ever lowers it."""
+    return np.ceil(similarity * n - 1e-6).astype(np.int64)
+
+
+def prefix(shingles: np.ndarray, frequent: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """The shingles that decide: the first of the set in the global order from rare to frequent.
+
+    Of two similar sets, one lacks at most n - ``fewest`` of the other's n shingles, so among one
+    more than that, taken from the front, both hold the first shingle they share. Any order that is the same for all sets will do.
+    """
+    order = np.zeros(len(shingles), np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
+        order = np.where(frequent[at] == shingles, rank[at], 0)
+    return shingles[np.lexsort((shingles, order))][: len(shingles) - int(fewest(np.int64(len(shingles)), similarity)) + 1]
+
+
+def _frequent(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles of about ``SAMPLE`` texts in order of their number, and how often each occurs there."""
+
+    def sampled(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for pdf in batches:
+            for t in pdf["text"]:
+                words = words_of(t)
+                if words:
+                    yield pd.DataFrame({"token": shingles_of(words, k).view(np.int64)})
+
+    spread = F.pmod(F.xxhash64("doc_id", F.lit("shingles")), F.lit(1 << 32))
+    some = rows.where(spread < SAMPLE / max(1, rows.count()) * (1 << 32)).mapInPandas(sampled, "token long")
+    counts = some.groupBy("token").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
+    token = counts["token"].to_numpy().view(np.uint64)
+    by_token = np.argsort(token)
+    return token[by_token], counts["n"].to_numpy()[by_token]
+
+
+def prefixes(rows: DataFrame, k: int, similarity: float) -> DataFrame:
+    """A row for every prefix shingle of every text with a word, at its place ``pos`` in the order; digests name the word sequence."""
+    frequent, rank = _frequent(rows, k)
+
+    def cut(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        held: list[tuple] = []
+        size = 0
+
+        def block() -> pd.DataFrame:
+            each = np.array([len(h[4]) for h in held])
+            columns = {c: np.repeat(np.array([h[i] for h in held], np.int64), each) for i, c in enumerate(("id", "digest", "digest2", "n"))}
+            return pd.DataFrame({**columns, "token": np.concatenate([h[4] for h in held]).view(np.int64), "pos": np.concatenate([np.arange(m) for m in each])})
+
+        for pdf in batches:
+            for doc, t in zip(pdf["doc_id"], pdf["text"]):
+                words = words_of(t)
+                if not words:
+                    continue
+                joined = xxhash.xxh128_intdigest(b" ".join(words))
+                shingles = shingles_of(words, k)
+                first = prefix(shingles, frequent, rank, similarity)
+                held.append((doc, signed(joined & ((1 << 64) - 1)), signed(joined >> 64), len(shingles), first))
+                size += len(first)
+                if size >= BLOCK:
+                    yield block()
+                    held, size = [], 0
+        if held:
+            yield block()
+
+    return rows.mapInPandas(cut, PREFIXES)
+
+
+def _may_be_similar(similarity: float) -> Column:
+    """Whether x and y can still be similar if the shingle they share here is their first: sizes, and shingles left from there on."""
+    left = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    near = (F.col("y.n") >= similarity * F.col("x.n") - 1e-6) & (F.col("x.n") >= similarity * F.col("y.n") - 1e-6)
+    return near & (left >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-6)
 
 
 def similar_pairs(edges: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
     """The edges (a, b) whose texts' sets of ``k``-word shingles have at least the Jaccard ``similarity``, read in full."""
 
     def shingles(packed: bytes) -> np.ndarray:
-        return np.unique(np.concatenate(list(shingle_hashes(zstandard.ZstdDecompressor().decompress(packed).split(), k))))
+        return shingles_of(zstandard.ZstdDecompressor().decompress(packed).split(), k)
 
     def compare(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        last, v = None, None
         for pdf in batches:
             keep = []
-            for x, y in zip(pdf["x"], pdf["y"]):
-                u, v = shingles(x), shingles(y)
+            for b, x, y in zip(pdf["b"], pdf["x"], pdf["y"]):
+                if b != last:
+                    last, v = b, shingles(y)
+                u = shingles(x)
                 both = len(np.intersect1d(u, v, assume_unique=True))
                 keep.append(both >= similarity * (len(u) + len(v) - both))
             yield pdf.loc[np.array(keep, bool), ["a", "b"]]
@@ -277,44 +342,76 @@ def similar_pairs(edges: DataFrame, texts: DataFrame, k: int, similarity: float)
     return edges.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(compare, "a long, b long")
 
 
+def _joined(x: DataFrame, y: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of ``x`` and ``y`` that agree on the columns, as x and y."""
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in on]
+    return x.alias("x").join(y.alias("y"), same)
+
+
+def _open(held: DataFrame, found: DataFrame) -> DataFrame:
+    """The prefix rows with their present component c, of the shingles that still stand in two components."""
+    now = held.join(found, "id", "left").select("token", "id", "n", "pos", F.coalesce("component", "id").alias("c"))
+    shared = now.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("token")
+    return stage(now.join(shared, "token"), "open-prefixes")
+
+
 def similar_groups(documents: DataFrame, similarity: float = 0.8, shingle_words: int = 5, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
     """(doc_id, component_id) of the documents that are not the smallest doc_id of their group.
 
     Two texts are similar if their sets of ``shingle_words``-word shingles (A-Z lower-cased) have
-    a Jaccard similarity of at least ``similarity``. That is far more than 3 of 64 bits, so trees
-    stand over several fingerprints of the texts' single words, which an edit changes least; what
-    meets in a leaf is linked nearest first by its fingerprints, and every link is then checked on
-    the whole texts. Equal word sequences are one class. Texts without a word, and rows with a
-    NULL doc_id, are in no group; rows repeated under one doc_id are one document.
+    a Jaccard similarity of at least ``similarity``. Similar texts share a shingle of their
+    prefixes, so no pair is lost. Every link is checked on the whole texts before it joins
+    anything: first links to one text of each shingle and size, then all pairs that share a
+    prefix shingle, may be similar by size and place, and are in two components still. Equal word
+    sequences are one class. Texts without a word, and rows with a NULL doc_id, are in no group;
+    rows repeated under one doc_id are one document.
     """
 
-    @F.pandas_udf(SIGNATURE)
-    def signatures(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([signature(t, shingle_words) for t in texts], columns=[c.split()[0] for c in SIGNATURE.split(", ")], dtype="int64")
-
     @F.pandas_udf("binary")
     def pack(texts: pd.Series) -> pd.Series:
         z = zstandard.ZstdCompressor(level=1)
         return pd.Series([z.compress(b" ".join(words_of(t))) for t in texts])
 
-    def distance(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
-        word = np.bitwise_count(a["code"][:, None] ^ b["code"])
-        shingle = np.bitwise_count(a["s"][:, None] ^ b["s"])
-        x, y = a["n_shingles"].astype(np.float64)[:, None], b["n_shingles"].astype(np.float64)
-        far = (word > WORD_BITS) | (shingle > SHINGLE_BITS) | (x < similarity * y) | (y < similarity * x)
-        return np.where(far, np.uint8(NEVER), word + shingle)
-
     rows = documents.where(F.col(key_col).isNotNull()).select(F.col(key_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed_rows = stage(rows.select("doc_id", signatures("text").alias("f")).select("doc_id", "f.*").where("n_shingles > 0"), "signatures")
-    values = ["n_shingles", "s", *INDEX]
-    classes = stage(signed_rows.groupBy("digest", "digest2").agg(F.min("doc_id").alias("id"), *[F.min(c).alias(c) for c in values]), "classes")
-    links = tree_links(classes, list(INDEX), distance, WORD_BITS + SHINGLE_BITS, ("s", "n_shingles"))
-    edges = stage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    ends = edges.select(F.col("a").alias("doc_id")).union(edges.select("b")).distinct()
+    every = stage(prefixes(rows, shingle_words, similarity), "prefixes")
+    named_rows = every.where("pos = 0").select(F.col("id").alias("doc_id"), "digest", "digest2")
+    classes = stage(named_rows.groupBy("digest", "digest2").agg(F.min("doc_id").alias("id")), "classes")
+    # A shingle of one class only, however many rows it has, joins nothing.
+    shared = every.groupBy("token").agg(*[f(c).alias(f"{c}_{f.__name__}") for c in ("digest", "digest2") for f in (F.min, F.max)])
+    shared = shared.where("digest_min < digest_max OR digest2_min < digest2_max").select("token")
+    held = every.select("token", "id", "n", "pos").join(shared, "token").join(classes.select("id"), "id", "left_semi")
+    held = stage(held.distinct(), "shared-prefixes")
+    ends = held.select(F.col("id").alias("doc_id")).distinct()
     texts = stage(rows.select("doc_id", pack("text").alias("packed")).join(ends, "doc_id").groupBy(F.col("doc_id").alias("id")).agg(F.first("packed").alias("packed")), "texts")
-    found = components(similar_pairs(edges, texts, shingle_words, similarity))
+
+    def checked(pairs: DataFrame, name: str) -> DataFrame:
+        tried = stage(pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct(), f"{name}-pairs")
+        return stage(similar_pairs(tried, texts, shingle_words, similarity), f"{name}-links")
+
+    links = found = None
+    near = _may_be_similar(similarity)
+    size = F.floor(F.log("n") / -math.log(similarity)) if similarity < 1 else F.col("n")
+    still = stage(held.withColumn("c", F.col("id")), "open-prefixes")
+    for turn in range(8):
+        per = still.groupBy("token", "c").agg(F.count("*").cast("double").alias("m")).groupBy("token").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"))
+        n, pairs = per.agg(F.sum("m"), F.sum(F.col("m") * F.col("m") - F.col("own")) / 2).first()
+        if turn and (not n or pairs <= PAIRS * n):
+            break
+        sized = still.withColumn("size", size)
+        # Another text each turn, so that what is far from one can be near the next.
+        one = F.min_by(F.struct("id", "n", "pos", "c"), F.xxhash64("c", F.lit(turn)) if turn else F.col("id"))
+        star = sized.groupBy("token", "size").agg(one.alias("y")).select("token", "size", "y.*")
+        new = checked(_joined(sized, star, ["token", "size"]).where(F.col("x.c") != F.col("y.c")).where(near), "star")
+        if new.isEmpty():
+            break
+        links = new if links is None else links.union(new)
+        found = stage(components(links), "found")
+        still = _open(held, found)
+    pairs = _joined(still, still, ["token"]).where(F.col("x.c") != F.col("y.c")).where(near).where("x.n > y.n OR x.n = y.n AND x.id > y.id")
+    links = checked(pairs, "all") if links is None else links.union(checked(pairs, "all"))
+    found = components(links)
     named = stage(classes.join(found, "id", "left").select("digest", "digest2", F.coalesce("component", "id").alias("component_id")), "components")
-    return signed_rows.join(named, ["digest", "digest2"]).where(F.col("doc_id") != F.col("component_id")).select("doc_id", "component_id")
+    return named_rows.join(named, ["digest", "digest2"]).where(F.col("doc_id") != F.col("component_id")).select("doc_id", "component_id")
 
 
 def drop_similar(documents: DataFrame, similarity: float = 0.8, shingle_words: int = 5, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:

@@ -79,3 +79,40 @@ def test_empty_table_null_ids_and_repeated_rows(spark, docs_of):
     assert S.simhash_groups(docs_of([])).collect() == []
     got = S.simhash_groups(docs_of([(None, "a b c"), (4, "a b c"), (4, "a b c"), (2, "A B C")])).collect()
     assert len(got) == 4 and {r["component_id"] for r in got} == {2}
+
+
+def shingle_set(text, k=5):
+    words = text.split()
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
+
+
+def similar_at(texts, similarity=0.8):
+    sets = {i: shingle_set(t) for i, t in texts}
+    return {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])}
+
+
+def kept_by_brute_force(texts):
+    pairs = similar_at(texts)
+    name = brute_components([i for i, _ in texts], lambda a, b: (min(a, b), max(a, b)) in pairs)
+    return {i for i, c in name.items() if i == c}
+
+
+def test_appended_and_removed_blocks_are_found(spark, docs_of, monkeypatch):
+    """Copies with one new or missing block, at 0.80 to 0.85: the fingerprints are some ten bits apart.
+
+    Trees, if any, are as deep as over millions of texts.
+    """
+    monkeypatch.setattr(S, "LEAF", 0.05)
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(5000)]
+    texts = []
+    for i in range(0, 240, 2):
+        words = rng.choices(vocabulary, k=rng.randint(60, 300))
+        n = len(words) - 4
+        if i % 4:
+            other = words + rng.choices(vocabulary, k=int(n * rng.uniform(0.18, 0.25)))
+        else:
+            other = words[: len(words) - int(n * rng.uniform(0.15, 0.2))]
+        texts += [(i, " ".join(words)), (i + 1, " ".join(other))]
+    assert len(similar_at(texts)) >= 110 and not similar_at(texts, 0.86)
+    assert {r["doc_id"] for r in S.drop_similar(docs_of(texts)).collect()} == kept_by_brute_force(texts)
