@@ -116,3 +116,24 @@ def test_appended_and_removed_blocks_are_found(spark, docs_of, monkeypatch):
         texts += [(i, " ".join(words)), (i + 1, " ".join(other))]
     assert len(similar_at(texts)) >= 110 and not similar_at(texts, 0.86)
     assert {r["doc_id"] for r in S.drop_similar(docs_of(texts)).collect()} == kept_by_brute_force(texts)
+
+
+def around_the_threshold(seed=4, templates=24):
+    """Groups of edited copies, half of whose pairs are just above and half just below 0.8."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(5000)]
+    texts = []
+    for _ in range(templates):
+        words = rng.choices(vocabulary, k=rng.randint(80, 250))
+        for _ in range(10):
+            copy = list(words)
+            for at in rng.sample(range(5, len(copy) - 5), max(1, round(len(copy) / 90 * rng.uniform(0.6, 1.5)))):
+                copy[at] = rng.choice(vocabulary)
+            texts.append((len(texts), " ".join(copy)))
+    return texts
+
+
+def test_links_below_the_threshold_hide_no_link_above_it(spark, docs_of):
+    """A text close to two others by fingerprint, but similar to neither, must not stand for the link between them."""
+    texts = around_the_threshold()
+    assert {r["doc_id"] for r in S.drop_similar(docs_of(texts)).collect()} == kept_by_brute_force(texts)
