@@ -96,6 +96,20 @@ def entity(kind: str, value: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{kind}:{plain}".encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
+def outside(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
+    """The terms of the text that overlap no span."""
+    ordered = sorted((lo, hi) for _, lo, hi in spans)
+    out, k, reach = [], 0, -1
+    for m in WORD.finditer(text):
+        lo, hi = m.span()
+        while k < len(ordered) and ordered[k][0] < hi:
+            reach = max(reach, ordered[k][1])
+            k += 1
+        if reach <= lo:
+            out.append((lo, hi))
+    return out
+
+
 def contexts(text: str, spans: list[tuple[str, int, int]]) -> Iterable[tuple[int, int, str]]:
     """(entity, context, term) for the terms beside each span; equal surroundings are one context."""
     if not spans:
@@ -147,9 +161,9 @@ def detect(documents: DataFrame, text_col: str = "text", key_col: str = "doc_id"
 def disclosing_terms(documents: DataFrame, support: int = 3, disclose: float = 0.9, remove: float = 0.98, text_col: str = "text") -> DataFrame:
     """term, disclosure, action: the terms that reveal some entity, over all documents.
 
-    p(e|t) is the number of different contexts of e with t over the number of documents with t, so
-    copies of one passage do not make its words disclosing. Below ``support`` contexts a term says
-    nothing. Counts are combined in the tasks before each shuffle; a name in a third of all
+    p(e|t) is the number of documents with e and t over the number of documents with t, and p(e)
+    that of documents with e over all, each row of ``documents`` counted. Below ``support``
+    different contexts a term says nothing, so copies of one passage do not make its words disclosing. Counts are combined in the tasks before each shuffle; a name in a third of all
     documents is one row per task. Corpus-wide only words that share a slot with a term in
     question are counted, and equal terms are joined exactly afterwards.
     """
@@ -159,20 +173,35 @@ def disclosing_terms(documents: DataFrame, support: int = 3, disclose: float = 0
 
     def beside(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for pdf in batches:
-            rows = {r for t in pdf["text"] if t for r in contexts(t, base_spans(t))}
-            yield pd.DataFrame(list(rows), columns=["entity", "context", "term"])
+            counts: Counter[tuple[int, int, str]] = Counter()
+            for t in pdf["text"]:
+                found: dict[tuple[int, str], int] = {}
+                for code, place, term in contexts(t or "", base_spans(t or "")):
+                    counts[code, place, term] += 0
+                    found.setdefault((code, term), place)
+                # A document counts once for each entity and term, at the first of its contexts.
+                counts.update((code, place, term) for (code, term), place in found.items())
+            yield pd.DataFrame([(*r, n) for r, n in counts.items()], columns=["entity", "context", "term", "n"])
+
+    def named(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for pdf in batches:
+            counts = Counter(e for t in pdf["text"] if t for e in {entity(kind, t[lo:hi]) for kind, lo, hi in base_spans(t)})
+            yield pd.DataFrame(list(counts.items()), columns=["entity", "n"])
 
-    seen = stage(texts.mapInPandas(beside, "entity long, context long, term string").distinct(), "pii-contexts")
-    pairs = stage(seen.groupBy("entity", "term").agg(F.count("*").alias("together")).where(F.col("together") >= support), "pii-pairs")
-    entities = seen.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("times"))
+    seen = texts.mapInPandas(beside, "entity long, context long, term string, n long").groupBy("entity", "context", "term").agg(F.sum("n").alias("n"))
+    pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("together"))
+    pairs = stage(pairs.where(F.col("contexts") >= support), "pii-pairs")
+    entities = texts.mapInPandas(named, "entity long, n long").groupBy("entity").agg(F.sum("n").alias("times"))
     marks = _table(pairs)
 
     def frequencies(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         counts: Counter[str] = Counter()
         for pdf in batches:
             for t in pdf["text"]:
-                if t:
-                    counts.update(w for w in set(WORD.findall(t.lower())) if marks[slot(w)])
+                held = {w for w in map(str.lower, set(WORD.findall(t or ""))) if marks[slot(w)]}
+                if held and (spans := base_spans(t)):
+                    held &= {t[lo:hi].lower() for lo, hi in outside(t, spans)}
+                counts.update(held)
             if len(counts) > 200_000:
                 yield pd.DataFrame(list(counts.items()), columns=["term", "n"])
                 counts.clear()

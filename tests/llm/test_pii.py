@@ -61,3 +61,11 @@ def test_empty_table_null_ids_and_repeated_rows(spark, docs_of):
     assert P.digest(P.personal_data(docs_of([]))).collect() == []
     got = P.digest(P.personal_data(docs_of([(None, "a@b.cc"), (1, "a@b.cc"), (1, "a@b.cc")]))).collect()
     assert [r["spans"] for r in got] == ["email:0:6"] * 3
+
+
+def test_copies_of_every_document_change_no_term(spark, docs_of):
+    fillers = [" ".join(f"{chr(97 + i // 26)}{chr(97 + i % 26)}{chr(97 + j)}abcd" for j in range(20)) for i in range(60)]
+    rows = [(i, f"{fillers[i]} zorgulan writes from jo@zo.org here. {fillers[i]}") for i in range(3)] + [(i, fillers[i]) for i in range(3, 60)]
+    once = {tuple(r) for r in P.disclosing_terms(docs_of(rows)).collect()}
+    copied = {tuple(r) for r in P.disclosing_terms(docs_of(rows * 10)).collect()}
+    assert {t for t, *_ in once} == {"zorgulan", "writes", "from", "here"} and once == copied
