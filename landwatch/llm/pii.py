@@ -1,7 +1,8 @@
 """Information-theoretic sanitisation of personal data.
 
 Patterns find the protected entities: e-mail and IP addresses, card and phone numbers. Over the
-whole corpus, the words beside each entity are counted: a term t discloses an entity e to the
+whole corpus, the terms of each entity's documents are counted: a term t (any run of letters and
+digits outside the protected values) discloses an entity e to the
 degree PMI(t, e) / IC(e) = log(p(e|t) / p(e)) / log(1 / p(e)), which is 1 where the term is only
 ever seen with the entity. Terms at or above ``disclose`` are masked wherever they occur, also in
 documents that do not name the entity: generalised, or removed at or above ``remove``.
@@ -12,8 +13,9 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
@@ -30,11 +32,15 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 IP = re.compile(r"(?<![0-9])[0-9]++\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-WORD = re.compile(r"[^\W\d_]{4,}")
+WORD = re.compile(r"[^\W_]+")
 #: Slots of the fixed-size table that tells words which may be terms in question from all others.
 SLOTS = 1 << 20
-#: Terms on each side of an entity that count as its context.
-REACH = 8
+#: Words of four letters and more on each side of an entity or term that make its surroundings.
+REACH, LETTERS = 8, 4
+#: Documents that tell common words, and the most such words kept: a lower bound of a word's documents spares pairs that cannot disclose.
+SAMPLE, COMMON = 4096, 1 << 17
+#: Pairs a task counts before it hands them on.
+HELD = 200_000
 
 
 def luhn(digits: str) -> bool:
@@ -86,10 +92,6 @@ def read(spans: str) -> list[tuple[str, int, int]]:
     return [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in spans.split(",") if s)]
 
 
-def _overlaps(lo: int, hi: int, spans: list[tuple[str, int, int]]) -> bool:
-    return any(lo < b and a < hi for _, a, b in spans)
-
-
 def entity(kind: str, value: str) -> int:
     """A protected value as a number: its letters and digits only, so spellings of one number agree."""
     plain = "".join(c for c in value.lower() if c.isalnum() or c in "@.") if kind in ("email", "ip") else "".join(c for c in value if c in "0123456789")
@@ -110,26 +112,53 @@ def outside(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int
     return out
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]]) -> Iterable[tuple[int, int, str]]:
-    """(entity, context, term) for the terms beside each span; equal surroundings are one context."""
-    if not spans:
+def _hashed(words: Iterable[str]) -> int:
+    return int.from_bytes(hashlib.blake2b(" ".join(words).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def contexts(text: str, spans: list[tuple[str, int, int]], most: Callable[[int], float], common: dict[str, int]) -> Iterable[tuple[int, str, set[int]]]:
+    """(entity, term, contexts) for every entity and term of the document that can disclose.
+
+    ``most`` gives the documents that a term of an entity may have, 0 for an entity out of
+    question; ``common`` a lower bound of a term's. A term beside the entity has the entity's
+    surroundings as context, one further off both surroundings; equal surroundings are one context.
+    """
+    limits = {(lo, hi): (code, limit) for kind, lo, hi in spans for code in (entity(kind, text[lo:hi]),) if (limit := most(code)) > 0}
+    if not limits:
         return
-    words = [(m.start(), m.end()) for m in WORD.finditer(text)]
-    starts = np.array([w[0] for w in words], np.int64)
-    for kind, lo, hi in spans:
-        k = int(np.searchsorted(starts, lo))
-        beside, left, right = [], k - 1, k
-        for step, at in ((-1, left), (1, right)):
-            taken = 0
-            while 0 <= at < len(words) and taken < REACH:
-                if not _overlaps(*words[at], spans):
-                    beside.append(text[slice(*words[at])].lower())
-                    taken += 1
-                at += step
-        code = entity(kind, text[lo:hi])
-        place = int.from_bytes(hashlib.blake2b(" ".join(beside).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-        for term in set(beside):
-            yield code, place, term
+    words = outside(text, spans)
+    names = [text[lo:hi].lower() for lo, hi in words]
+    starts = [lo for lo, _ in words]
+    long = [i for i, w in enumerate(names) if len(w) >= LETTERS and w.isalpha()]
+
+    def around(i: int) -> tuple[int, int, int]:
+        """Surroundings of the place before term i, and the terms they reach over."""
+        at = bisect_left(long, i)
+        lo, hi = at - REACH, at + REACH
+        return _hashed(names[j] for j in long[max(lo, 0) : hi]), long[lo] if lo >= 0 else 0, long[hi - 1] + 1 if hi <= len(long) else len(names)
+
+    near: dict[int, dict[str, set[int]]] = {}
+    known: dict[int, tuple[float, int]] = {}
+    for (lo, _), (code, limit) in sorted(limits.items()):
+        place, left, right = around(bisect_left(starts, lo))
+        known.setdefault(code, (limit, place))
+        beside = near.setdefault(code, {})
+        for term in set(names[left:right]):
+            beside.setdefault(term, set()).add(place)
+    first: dict[str, int] = {}
+    for i, w in enumerate(names):
+        first.setdefault(w, i)
+    places: dict[str, int] = {}
+    for code, (limit, place) in known.items():
+        for term, i in first.items():
+            if common.get(term, 0) > limit:
+                continue
+            here = near[code].get(term)
+            if here is None:
+                if term not in places:
+                    places[term] = around(i)[0]
+                here = {_hashed((str(place), str(places[term])))}
+            yield code, term, here
 
 
 def slot(term: str) -> int:
@@ -158,40 +187,77 @@ def detect(documents: DataFrame, text_col: str = "text", key_col: str = "doc_id"
     return documents.select(F.col(key_col).alias("doc_id"), found(F.col(text_col)).alias("_found")).select("doc_id", "_found.*")
 
 
+def _common(texts: DataFrame, total: int) -> dict[str, int]:
+    """The most frequent words of about ``SAMPLE`` texts, with the number of these texts that hold them outside protected values."""
+
+    def words(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for pdf in batches:
+            counts = Counter(w for t in pdf["text"] if t for w in {t[lo:hi].lower() for lo, hi in outside(t, base_spans(t))})
+            yield pd.DataFrame(list(counts.items()), columns=["term", "n"])
+
+    some = texts.where(F.pmod(F.xxhash64("text", F.lit("common")), F.lit(1 << 32)) < SAMPLE / total * (1 << 32))
+    counts = some.mapInPandas(words, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where("n > 3")
+    return {r["term"]: r["n"] for r in counts.orderBy(F.desc("n"), "term").limit(COMMON).collect()}
+
+
 def disclosing_terms(documents: DataFrame, support: int = 3, disclose: float = 0.9, remove: float = 0.98, text_col: str = "text") -> DataFrame:
     """term, disclosure, action: the terms that reveal some entity, over all documents.
 
     p(e|t) is the number of documents with e and t over the number of documents with t, and p(e)
     that of documents with e over all, each row of ``documents`` counted. Below ``support``
     different contexts a term says nothing, so copies of one passage do not make its words disclosing. Counts are combined in the tasks before each shuffle; a name in a third of all
-    documents is one row per task. Corpus-wide only words that share a slot with a term in
+    documents is one row per task. Entities with fewer spans than ``support``, and words that by a
+    sample stand in too many documents to disclose the entity, are left out of the pairs, which
+    changes no result. Corpus-wide only words that share a slot with a term in
     question are counted, and equal terms are joined exactly afterwards.
     """
     if not 0 < disclose <= remove:
         raise ValueError("0 < disclose <= remove is required")
     texts = documents.select(F.col(text_col).alias("text"))
 
-    def beside(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+    def named(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for pdf in batches:
-            counts: Counter[tuple[int, int, str]] = Counter()
+            rows: dict[int, list[int]] = {}
             for t in pdf["text"]:
-                found: dict[tuple[int, str], int] = {}
-                for code, place, term in contexts(t or "", base_spans(t or "")):
-                    counts[code, place, term] += 0
-                    found.setdefault((code, term), place)
-                # A document counts once for each entity and term, at the first of its contexts.
-                counts.update((code, place, term) for (code, term), place in found.items())
-            yield pd.DataFrame([(*r, n) for r, n in counts.items()], columns=["entity", "context", "term", "n"])
+                for code, times in Counter(entity(kind, t[lo:hi]) for kind, lo, hi in base_spans(t or "")).items():
+                    row = rows.setdefault(code, [0, 0])
+                    row[0] += 1
+                    row[1] += times
+            yield pd.DataFrame([(code, *row) for code, row in rows.items()], columns=["entity", "n", "times"])
+
+    entities = texts.mapInPandas(named, "entity long, n long, times long").groupBy("entity").agg(F.sum("n").alias("times"), F.sum("times").alias("spans"))
+    entities = stage(entities.where(F.col("spans") >= support).drop("spans"), "pii-entities")
+    total = max(documents.count(), 2)
+    # p(e|t) >= p(e) ** (1 - disclose) bounds the documents of t by those of e; each slot has the largest bound of its entities.
+    bound = (F.pow("times", F.lit(disclose)) * float(total) ** (1 - disclose)) * (1 + 1e-6)
+    bounds = entities.groupBy(F.pmod("entity", F.lit(SLOTS)).alias("s")).agg(F.max(bound).alias("most")).toArrow()
+    limits = np.zeros(SLOTS)
+    limits[bounds["s"].to_numpy()] = bounds["most"].to_numpy()
+    common = _common(texts, total)
 
-    def named(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for pdf in batches:
-            counts = Counter(e for t in pdf["text"] if t for e in {entity(kind, t[lo:hi]) for kind, lo, hi in base_spans(t)})
-            yield pd.DataFrame(list(counts.items()), columns=["entity", "n"])
+    def beside(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        held: dict[tuple[int, str], list] = {}
+
+        def rows() -> pd.DataFrame:
+            # More contexts than the support asks for change nothing.
+            out = [(e, t, c, n if k == 0 else 0) for (e, t), (n, cs) in held.items() for k, c in enumerate(sorted(cs)[:support])]
+            return pd.DataFrame(out, columns=["entity", "term", "context", "n"])
 
-    seen = texts.mapInPandas(beside, "entity long, context long, term string, n long").groupBy("entity", "context", "term").agg(F.sum("n").alias("n"))
+        for pdf in batches:
+            for t in pdf["text"]:
+                for code, term, places in contexts(t or "", base_spans(t or ""), lambda e: limits[e % SLOTS], common):
+                    pair = held.setdefault((code, term), [0, set()])
+                    pair[0] += 1
+                    if len(pair[1]) < support:
+                        pair[1] |= places
+                if len(held) >= HELD:
+                    yield rows()
+                    held = {}
+        yield rows()
+
+    seen = texts.mapInPandas(beside, "entity long, term string, context long, n long").groupBy("entity", "term", "context").agg(F.sum("n").alias("n"))
     pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("together"))
     pairs = stage(pairs.where(F.col("contexts") >= support), "pii-pairs")
-    entities = texts.mapInPandas(named, "entity long, n long").groupBy("entity").agg(F.sum("n").alias("times"))
     marks = _table(pairs)
 
     def frequencies(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
@@ -210,8 +276,7 @@ def disclosing_terms(documents: DataFrame, support: int = 3, disclose: float = 0
     if not marks.any():
         return pairs.select("term", F.lit(0.0).alias("disclosure"), F.lit("").alias("action")).limit(0)
     holding = texts.mapInPandas(frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("documents"))
-    total = documents.count()
-    prior = F.col("times") / F.lit(float(max(total, 2)))
+    prior = F.col("times") / F.lit(float(total))
     given = F.least(F.col("together") / F.col("documents"), F.lit(1.0))
     share = F.when(prior >= 1, F.lit(0.0)).otherwise(F.log(given / prior) / -F.log(prior))
     scored = pairs.join(holding, "term").join(entities, "entity").select("term", share.alias("disclosure")).where(F.col("disclosure") >= disclose)
@@ -236,8 +301,8 @@ def term_spans(documents: DataFrame, terms: DataFrame, text_col: str = "text", k
                     if known[w]:
                         hits.append((doc, m.start(), m.end(), w))
                 if hits:
-                    spans = base_spans(t)
-                    rows += [h for h in hits if not _overlaps(h[1], h[2], spans)]
+                    free = set(outside(t, base_spans(t)))
+                    rows += [h for h in hits if (h[1], h[2]) in free]
             yield pd.DataFrame(rows, columns=["doc_id", "lo", "hi", "term"])
 
     rows = documents.where(F.col(key_col).isNotNull()).select(F.col(key_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

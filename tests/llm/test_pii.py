@@ -69,3 +69,20 @@ def test_copies_of_every_document_change_no_term(spark, docs_of):
     once = {tuple(r) for r in P.disclosing_terms(docs_of(rows)).collect()}
     copied = {tuple(r) for r in P.disclosing_terms(docs_of(rows * 10)).collect()}
     assert {t for t, *_ in once} == {"zorgulan", "writes", "from", "here"} and once == copied
+
+
+def test_far_short_and_alphanumeric_terms(spark, docs_of):
+    """A heading's names and the number of a file disclose the address in the footer."""
+    fillers = [" ".join(f"{chr(97 + i // 26)}{chr(97 + i % 26)}{chr(97 + j)}abcd" for j in range(20)) for i in range(60)]
+    rows = [(i, f"{fillers[i]} zorgulan Bo 王小 K7x9 {fillers[i]} {fillers[i]} end of letter jo@zo.org") for i in range(5)]
+    rows += [(i, f"{fillers[i]} end of letter") for i in range(5, 60)] + [(60, "Bo k7X9 only")]
+    docs = docs_of(rows)
+    assert {r["term"] for r in P.disclosing_terms(docs).collect()} == {"zorgulan", "bo", "王小", "k7x9"}
+    assert {r["text"] for r in P.sanitise(docs).where("doc_id = 60").collect()} == {"[TERM] [TERM] only"}
+
+
+def test_far_words_of_one_passage_disclose_nothing(spark, docs_of):
+    """A long passage shared by otherwise different documents is one context for the words in its middle."""
+    passage = " ".join(f"{chr(97 + i)}{chr(97 + j)}passage" for i in range(6) for j in range(10))
+    rows = [(i, f"front{i}x {passage} quokkas {passage} to an@im.al {passage}") for i in range(20)] + [(i, "nothing of it") for i in range(20, 90)]
+    assert "quokkas" not in {r["term"] for r in P.disclosing_terms(docs_of(rows)).collect()}
