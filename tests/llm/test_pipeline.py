@@ -55,6 +55,16 @@ def test_stages_take_effect(spark):
     assert {r[0]: r[1] for r in packed} == words
 
 
+def test_mixing_learns_only_domains_of_its_input(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id % 2 = 0")
+    seen = []
+    monkeypatch.setattr(C.mixing, "mix", lambda docs, labels, domain, targets: seen.append((labels.collect(), targets)))
+    C.mix_domains(spark, docs, SF)
+    (labels, targets), = seen
+    assert set(targets) == {"clean", "noisy"} == {r["domain"] for r in labels}
+    assert all(r["doc_id"] % 2 == 0 for r in labels)
+
+
 @pytest.mark.parametrize("name", ["op1_toxicity", "op2_language"])
 def test_held_out_rows(spark, name):
     divisor, left = (4, 2) if name == "op1_toxicity" else (3, 1)
