@@ -16,7 +16,7 @@ def shingles(text, k=5):
 
 
 def test_every_operator_is_registered():
-    assert {q.split("_")[0] for q in entry.queries() if q.startswith("op")} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in entry.queries() if q.startswith("op")} == {f"op{n}" for n in range(1, 14)}
     assert entry.queries()["pipeline"] is C.run and set(queries.ORACLES) <= set(queries.QUERIES)
 
 
