@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landwatch.llm import bestfit, language, mixing, packing, pii, quality, repeats, simhash, tokens, toxicity, vectors
+from landwatch.llm import align, bestfit, language, mixing, packing, pii, quality, repeats, simhash, tokens, toxicity, vectors
 from landwatch.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,11 +84,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle_words=3, max_bits=3)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers in every document, with the corpus-wide counts of the linked pairs."""
+    return align.align_tokens(table(spark, sf_dir, "documents"))
+
+
 def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sequence and place for every piece of every document."""
     return bestfit.pack_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_language, op3_packing, op4_repeats, op5_vectors, op6_quality, op7_simhash, op8_personal_data, op9_mixing, op10_token_counts,
-                                                      op13_best_fit)}
+                                                      op12_alignment, op13_best_fit)}
 ORACLES: dict[str, str] = {"op6_quality": quality.judge_sql()}

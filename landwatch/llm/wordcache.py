@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterable
+from itertools import chain
 
 import numpy as np
 
@@ -21,7 +22,7 @@ CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Runs of blanks that are cut by hand.
 BLANKS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{1000,}")
 #: Remembered words and their characters, at most, between two texts.
-MAX_WORDS, MAX_CHARS = 400_000, 16_000_000
+MAX_WORDS, MAX_CHARS = 800_000, 16_000_000
 
 
 class Ragged:
@@ -51,6 +52,11 @@ class Ragged:
         return self.flat[np.repeat(self.start[rows] - ends + sizes, sizes) + np.arange(ends[-1])]
 
 
+def is_loose(word: str) -> bool:
+    """Whether a blank beside the word has a blank on its other side too, and is no place to cut."""
+    return not word or word[0].isspace() or word[-1].isspace()
+
+
 class Words:
     """Numbers of words. ``learn(words, joined)`` is told each new word once, in the order of its number.
 
@@ -63,34 +69,30 @@ class Words:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.loose: list[bool] = []
+        self.loose: set[str] = set()
         self.chars = 0
         self.forget()
 
-    def _numbers(self, words: list[str]) -> np.ndarray:
-        found = list(map(self.number.get, words))
-        if None in found:
-            new = [w for w in dict.fromkeys(words) if w not in self.number]
-            loose = [not w or w[0].isspace() or w[-1].isspace() for w in new]
-            for group, joined in (([w for w, x in zip(new, loose) if not x], True), ([w for w, x in zip(new, loose) if x], False)):
-                if group:
-                    self.learn(group, joined)
-                    self.number.update(zip(group, range(len(self.number), len(self.number) + len(group))))
-                    self.loose += [not joined] * len(group)
-                    self.chars += sum(map(len, group))
-            found = list(map(self.number.get, words))
-        return np.array(found, np.int64)
-
-    def of(self, text: str) -> np.ndarray:
-        """Numbers of the text's words; numbers of earlier texts may have changed their meaning."""
+    def of(self, texts: list[str]) -> list[np.ndarray]:
+        """Numbers of the words of each text; numbers of earlier calls may have changed their meaning."""
         if len(self.number) > MAX_WORDS or self.chars > MAX_CHARS:
             self.clear()
-        words = text.split(" ")
-        if "" not in words:
-            found = self._numbers(words)
-            if not any(map(self.loose.__getitem__, found.tolist())):
-                return found
-        return self._numbers(CUT.split(text))
+        cut = [text.split(" ") for text in texts]
+        new = set(chain.from_iterable(cut)) - self.number.keys()
+        loose = self.loose | set(filter(is_loose, new))
+        if loose and (again := [k for k, words in enumerate(cut) if not loose.isdisjoint(words)]):
+            for k in again:
+                cut[k] = CUT.split(texts[k])
+            new = set(chain.from_iterable(cut)) - self.number.keys()
+        alone = set(filter(is_loose, new))
+        for words in (sorted(new - alone), sorted(alone)):
+            if words:
+                self.learn(words, words[0] not in alone)
+                self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
+                self.chars += sum(map(len, words))
+        self.loose |= alone
+        get = self.number.__getitem__
+        return [np.fromiter(map(get, words), np.int64, len(words)) for words in cut]
 
 
 def byte_alphabet() -> dict[str, int]:

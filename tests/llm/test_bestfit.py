@@ -115,7 +115,7 @@ def test_plan_does_not_grow_with_the_corpus():
     counts = np.concatenate(([0], rng.integers(0, 50, 2048)))
     few, many = B.plan(counts, 2048), B.plan(counts * 10**9, 2048)
     assert len(many) < 2 * len(few) + 2048
-    assert sum(k for _, k in many) <= 1.01 * (counts * np.arange(2049)).sum() * 1e9 / 2048
+    assert sum(k for _, k in many) <= 1.02 * (counts * np.arange(2049)).sum() * 1e9 / 2048
 
 
 def test_empty_table(spark, docs_of):
