@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landwatch.llm import align, bestfit, language, mixing, packing, pii, quality, repeats, simhash, tokens, toxicity, vectors
+from landwatch.llm import align, bestfit, dialogue, language, mixing, packing, pii, quality, repeats, simhash, tokens, toxicity, vectors
 from landwatch.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle_words=3, max_bits=3)
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, least cost and least audit of every conversation, and a digest of its repaired rows."""
+    given = table(spark, sf_dir, "conversations")
+    return dialogue.digest(*dialogue.repair(dialogue.damage(given), given.select("conv_id")))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of two tokenizers in every document, with the corpus-wide counts of the linked pairs."""
     return align.align_tokens(table(spark, sf_dir, "documents"))
@@ -95,5 +101,5 @@ def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_language, op3_packing, op4_repeats, op5_vectors, op6_quality, op7_simhash, op8_personal_data, op9_mixing, op10_token_counts,
-                                                      op12_alignment, op13_best_fit)}
-ORACLES: dict[str, str] = {"op6_quality": quality.judge_sql()}
+                                                      op11_conversations, op12_alignment, op13_best_fit)}
+ORACLES: dict[str, str] = {"op6_quality": quality.judge_sql(), "op11_conversations": dialogue.digest_sql()}
