@@ -4,21 +4,27 @@ A classifier learned from a labelled table (naive Bayes over hashed words) gives
 posterior over domains. Each document gets a nonnegative rate, its expected number of copies, so
 that the expected domain totals of tokens, sum of rate * posterior * tokens, match the targets in
 the least-squares sense; a small penalty keeps rates near 1 where the targets leave a choice.
-Projected gradient steps depend on a document through its posterior alone, so documents are first
-summed into cells of (rounded) posterior, and each step is one aggregate over the cells.
+Documents of like posterior are first summed into cells, with their exact posteriors, and share a rate.
+
+The rates are those that a projected gradient step leaves unchanged: from 1, against the gradient,
+onto the nonnegative numbers. The gradient is a weighted sum of one slope per domain, so the steps
+move the few slopes by the curvature of the cells not held at zero, until the step leaves the
+rates where they are. Each step is one aggregate over the cells, whatever came before it.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from math import log
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landwatch.llm.common import labelled_sample, sampled_texts, stage
 
 BUCKETS = 4096
-#: Posteriors are rounded to this many steps, which bounds the number of cells whatever the corpus.
+#: Cells are posteriors rounded to this many steps, which bounds their number whatever the corpus.
 STEPS = 64
 #: A text counts as evidence of at most this many words: posteriors of long texts stay soft.
 EVIDENCE = 200
@@ -46,7 +52,7 @@ class Classifier:
         self.domains, self.log_prior, self.log_word = domains, log_prior, log_word
 
     def posterior(self, documents: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-        """Columns ``keep``, n_tokens (words) and q (posterior in whole steps of 1 / ``STEPS``, summing to q_sum).
+        """Columns ``keep``, n_tokens (words), p (posterior) and q (the posterior in whole steps of 1 / ``STEPS``).
 
         A NULL or empty text has the prior as posterior.
         """
@@ -60,8 +66,8 @@ class Classifier:
         rows = rows.select(*keep, "n_tokens", F.array(*logs).alias("_logs"))
         rows = rows.select(*keep, "n_tokens", F.transform("_logs", lambda x: F.exp(x - F.array_max("_logs"))).alias("_e"))
         total = F.aggregate("_e", F.lit(0.0), lambda s, x: s + x)
-        rows = rows.select(*keep, "n_tokens", F.transform("_e", lambda x: F.round(x / total * STEPS).cast("int")).alias("q"))
-        return rows.withColumn("q_sum", F.aggregate("q", F.lit(0), lambda s, x: s + x))
+        rows = rows.select(*keep, "n_tokens", F.transform("_e", lambda x: x / total).alias("p"))
+        return rows.withColumn("q", F.transform("p", lambda x: F.round(x * STEPS).cast("int")))
 
 
 def fit(documents: DataFrame, labels: DataFrame, domain: str, per_domain: int = 2000, max_chars: int = 20_000,
@@ -90,34 +96,107 @@ def fit(documents: DataFrame, labels: DataFrame, domain: str, per_domain: int =
     return Classifier([r["d"] for r in rows], [log(r["n"] / total) for r in rows], [[v - m for v, m in zip(t, means)] for t in log_word])
 
 
-def membership(k: int) -> list[Column]:
-    return [F.get("q", F.lit(i)) / F.col("q_sum") for i in range(k)]
+@dataclass
+class Solution:
+    """Slopes of the domains, from which every rate follows, and what they reach.
+
+    ``reached``: shares of the domains at these rates; ``distance``: the largest share by which a
+    projected gradient step would still move a domain (0 at the optimum); ``missed``: the largest
+    difference between a reached and a wanted share.
+    """
+
+    slopes: list[float]
+    reached: list[float]
+    distance: float
+    missed: float
+    largest_rate: float
+    steps: int
+    penalty: float
+    max_rate: float | None
+
+    def rate(self, shares: list[Column]) -> Column:
+        """Rate of a cell with these mean memberships."""
+        pull = sum((x * F.lit(float(g)) for x, g in zip(shares, self.slopes)), F.lit(0.0))
+        free = F.greatest(F.lit(0.0), 1 - pull / self.penalty)
+        return free if self.max_rate is None else F.least(F.lit(float(self.max_rate)), free)
 
 
-def solve(cells: DataFrame, targets: list[float], penalty: float = 1e-3, max_steps: int = 60, tolerance: float = 1e-5) -> Column:
-    """The rate of a row as a column of its q and q_sum: projected gradient over ``cells`` (q, q_sum, tokens).
+def membership(cells: DataFrame, k: int) -> list[Column]:
+    """Mean membership of a cell in each domain: ``mass`` over ``tokens``, or the rounded one where masses are not given."""
+    if "mass" in cells.columns:
+        return [F.when(F.col("tokens") > 0, F.get("mass", F.lit(i)) / F.col("tokens")).otherwise(F.get("q", F.lit(i)) / _total("q")) for i in range(k)]
+    return [F.get("q", F.lit(i)) / _total("q") for i in range(k)]
 
-    Residuals are scaled by each domain's present share, so a rare domain converges as fast as a
-    common one. ``targets`` are shares of the present total. A domain without tokens is left out.
+
+def _total(array: str) -> Column:
+    return F.greatest(F.lit(1), F.aggregate(array, F.lit(0), lambda s, x: s + x))
+
+
+def least_squares(cells: DataFrame, targets: list[float], penalty: float = 1e-3, max_steps: int = 60, tolerance: float = 1e-9,
+                  max_rate: float | None = None) -> Solution:
+    """The rates with the least squared distance to ``targets``, over ``cells`` (q, tokens, and mass: tokens by domain).
+
+    ``targets`` are shares of the present total; residuals are scaled by each domain's present share.
+    A domain without tokens is left out. Steps that overshoot are halved; the optimum is unique, and
+    the steps end when a projected gradient step would move no domain by more than ``tolerance``.
+    ``max_rate`` caps the rates inside the projection; ``missed`` then tells what it costs.
     """
-    p = membership(len(targets))
+    k = len(targets)
+    p = membership(cells, k)
     total, *now = cells.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * x) for x in p]).first()
-    rate: Column = F.lit(1.0)
-    if not total:
-        return rate
-    share = [(x or 0.0) / total for x in now]
-    wanted = sum(t for t, s in zip(targets, share) if s > 0)
-    targets = [t / wanted if s > 0 and wanted else 0.0 for t, s in zip(targets, share)]
-    step = 1 / (1 + penalty)
-    sums = share
-    for _ in range(max_steps):
-        slope = [(s - t) / h if h > 0 else 0.0 for s, t, h in zip(sums, targets, share)]
-        pull = sum((x * F.lit(g) for x, g in zip(p, slope)), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate * (1 - step * penalty) + step * penalty - step * pull)
-        before, sums = sums, [x / total for x in cells.agg(*[F.sum(F.col("tokens") * rate * x) for x in p]).first()]
-        if max(abs(a - b) for a, b in zip(before, sums)) < tolerance:
-            break
-    return rate
+    here = [j for j in range(k) if (now[j] or 0.0) > 0] if total else []
+    wanted = sum(targets[j] for j in here)
+    if not here or not wanted:
+        return Solution([0.0] * k, [0.0] * k, 0.0, 0.0, 1.0, 0, penalty, max_rate)
+    share = np.array([now[j] / total for j in here])
+    aim = np.array([targets[j] / wanted for j in here])
+    pairs = [(a, b) for a in range(len(here)) for b in range(a + 1)]
+
+    def spread(slopes: np.ndarray) -> list[float]:
+        full = [0.0] * k
+        for j, g in zip(here, slopes):
+            full[j] = float(g)
+        return full
+
+    def at(slopes: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, float]:
+        """Dual cost, its gradient, its curvature, and the largest rate."""
+        rate = Solution(spread(slopes), [], 0.0, 0.0, 0.0, 0, penalty, max_rate).rate(p)
+        pull = sum((p[j] * F.lit(float(g)) for j, g in zip(here, slopes)), F.lit(0.0))
+        free = (F.col("_r") > 0) if max_rate is None else (F.col("_r") > 0) & (F.col("_r") < max_rate)
+        rows = cells.select((F.col("tokens") / float(total)).alias("_w"), rate.alias("_r"), pull.alias("_pull"), *[p[j].alias(f"_p{i}") for i, j in enumerate(here)])
+        found = rows.agg(
+            F.sum(F.col("_w") * (F.col("_r") * F.col("_pull") + penalty / 2 * (F.col("_r") - 1) ** 2)), F.max("_r"),
+            *[F.sum(F.col("_w") * F.col("_r") * F.col(f"_p{i}")) for i in range(len(here))],
+            *[F.sum(F.when(free, F.col("_w") * F.col(f"_p{a}") * F.col(f"_p{b}")).otherwise(0.0)) for a, b in pairs],
+        ).first()
+        sums = np.array(found[2 : 2 + len(here)])
+        curve = np.diag(share)
+        for (a, b), x in zip(pairs, found[2 + len(here) :]):
+            curve[a, b] += x / penalty
+            curve[b, a] = curve[a, b]
+        cost = 0.5 * float(share @ slopes**2) + float(aim @ slopes) - found[0]
+        return cost, share * slopes + aim - sums, curve, found[1]
+
+    slopes, steps = np.zeros(len(here)), 0
+    cost, gradient, curve, largest = at(slopes)
+    while np.abs(gradient).max() > tolerance and steps < max_steps:
+        step, size = -np.linalg.solve(curve, gradient), 1.0
+        while steps < max_steps:
+            steps += 1
+            after = at(slopes + size * step)
+            if after[0] <= cost + 1e-4 * size * float(gradient @ step) + 1e-15 * abs(cost):
+                break
+            size /= 2
+        slopes = slopes + size * step
+        cost, gradient, curve, largest = after
+    reached = share * slopes + aim - gradient
+    return Solution(spread(slopes), spread(reached), float(np.abs(gradient).max()), float(np.abs(reached - aim).max()), float(largest), steps, penalty, max_rate)
+
+
+def solve(cells: DataFrame, targets: list[float], penalty: float = 1e-3, max_steps: int = 60, tolerance: float = 1e-9,
+          max_rate: float | None = None) -> Column:
+    """The rate of a row of ``cells`` by ``least_squares``."""
+    return least_squares(cells, targets, penalty, max_steps, tolerance, max_rate).rate(membership(cells, len(targets)))
 
 
 def _wanted(domains: list[str], targets: dict[str, float]) -> list[float]:
@@ -133,35 +212,49 @@ def _copies(rate: Column, key: Column) -> Column:
     return (F.floor(rate) + F.when(drawn < rate - F.floor(rate), 1).otherwise(0)).cast("long")
 
 
-def _cells(rows: DataFrame) -> DataFrame:
-    return stage(rows.groupBy("q", "q_sum").agg(F.sum("n_tokens").alias("tokens")), "cells")
+def _rated(rows: DataFrame, targets: list[float], max_rate: float | None) -> DataFrame:
+    """(_llm_q, rate, largest_rate, target_distance) for each cell of ``rows`` (n_tokens, p, q); at most as many as roundings of a posterior."""
+    mass = [F.sum(F.col("n_tokens") * F.get("p", F.lit(i))) for i in range(len(targets))]
+    cells = stage(rows.groupBy("q").agg(F.sum("n_tokens").alias("tokens"), F.array(*mass).alias("mass")), "cells")
+    found = least_squares(cells, targets, max_rate=max_rate)
+    rate = found.rate(membership(cells, len(targets)))
+    return stage(cells.select(F.col("q").alias("_llm_q"), rate.alias("rate"), F.lit(found.largest_rate).alias("largest_rate"), F.lit(found.missed).alias("target_distance")), "cell-rates")
 
 
 def rates(documents: DataFrame, labels: DataFrame, domain: str, targets: dict[str, float], text_col: str = "text", key_col: str = "doc_id",
-          per_domain: int = 2000) -> DataFrame:
-    """doc_id, n_tokens, p_<domain>..., rate, n_copies for every row.
+          per_domain: int = 2000, max_rate: float | None = None) -> DataFrame:
+    """doc_id, n_tokens, p_<domain>..., rate, n_copies, largest_rate, target_distance for every row.
 
     Repeated rows fare alike, since ``n_copies`` draws from a hash of doc_id; rows with a NULL
-    doc_id share one draw. Texts without words have no tokens to add and get the rate of the prior.
+    doc_id share one draw. Texts without words, NULL among them, have no tokens to add and get the
+    rate of their cell. Long texts are read whole but weigh as ``EVIDENCE`` words in the posterior.
+    Rates have no upper limit unless ``max_rate`` sets one: a rare domain with a large target repeats
+    its few documents often. ``largest_rate`` and ``target_distance`` (the largest share missed) are
+    those of the whole table, on every row. An empty table gives no rows; other columns are not read.
     """
     model = fit(documents, labels, domain, per_domain, text_col=text_col, key_col=key_col)
     texts = documents.select(F.col(key_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = stage(model.posterior(texts, ["doc_id"]), "posteriors")
-    rate = solve(_cells(rows), _wanted(model.domains, targets))
-    shares = [x.alias(f"p_{d}") for d, x in zip(model.domains, membership(len(model.domains)))]
-    return rows.select("doc_id", "n_tokens", *shares, rate.alias("rate")).withColumn("n_copies", _copies(F.col("rate"), F.col("doc_id")))
+    rated = _rated(rows, _wanted(model.domains, targets), max_rate)
+    shares = [F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(model.domains)]
+    return (
+        rows.join(rated, F.col("q") == F.col("_llm_q"))
+        .select("doc_id", "n_tokens", *shares, "rate", _copies(F.col("rate"), F.col("doc_id")).alias("n_copies"), "largest_rate", "target_distance")
+    )
 
 
-def mix(documents: DataFrame, labels: DataFrame, domain: str, targets: dict[str, float], text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
+def mix(documents: DataFrame, labels: DataFrame, domain: str, targets: dict[str, float], text_col: str = "text", key_col: str = "doc_id",
+        max_rate: float | None = None) -> DataFrame:
     """``documents`` with each row repeated by its number of copies (0 drops it); the columns stay.
 
-    Rows are scored in place, so equal ids, NULL ids and extra columns need no join.
+    Rows are scored in place, so equal ids, NULL ids and extra columns need no join by id; what
+    ``rates`` says of odd rows holds here too. Only the cells' rates are joined, by posterior.
     """
     model = fit(documents, labels, domain, text_col=text_col, key_col=key_col)
     packed = documents.select(
         F.struct(*[F.col(c) for c in documents.columns]).alias("_llm_row"), F.col(text_col).alias("_llm_text"), F.col(key_col).alias("_llm_key")
     )
-    rate = solve(_cells(model.posterior(packed, [], "_llm_text")), _wanted(model.domains, targets))
-    scored = model.posterior(packed, ["_llm_row", "_llm_key"], "_llm_text").withColumn("_llm_rate", rate)
-    times = F.explode(F.array_repeat(F.lit(1), _copies(F.col("_llm_rate"), F.col("_llm_key")).cast("int")))
+    rated = _rated(model.posterior(packed, [], "_llm_text"), _wanted(model.domains, targets), max_rate)
+    scored = model.posterior(packed, ["_llm_row", "_llm_key"], "_llm_text").join(rated, F.col("q") == F.col("_llm_q"))
+    times = F.explode(F.array_repeat(F.lit(1), _copies(F.col("rate"), F.col("_llm_key")).cast("int")))
     return scored.select("_llm_row", times.alias("_llm_copy")).select("_llm_row.*")
