@@ -22,7 +22,7 @@ CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Runs of blanks that are cut by hand.
 BLANKS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{1000,}")
 #: Remembered words and their characters, at most, between two texts.
-MAX_WORDS, MAX_CHARS = 800_000, 16_000_000
+MAX_WORDS, MAX_CHARS = 500_000, 8_000_000
 
 
 class Ragged:
