@@ -354,7 +354,7 @@ SELECT connection_id, table_schema || '.' || table_name AS table_key, ordinal_po
   CASE WHEN ordinal_position % 2 = 1 THEN 'about ' || column_name ELSE '' END AS description FROM d_current""")
 def schema_docs_model(spark, sf):
     model = _facts_model(lambda f: json.dumps(
-        [{"column_name": c["column_name"], "description": "about " + c["column_name"]} for c in f["columns"] if c["ordinal_position"] % 2]
+        [{"column_name": f["column_name"], "description": "about " + f["column_name"]}] if f["ordinal_position"] % 2 else []
     ))
     return lw.schema_docs(table(spark, sf, "current"), model)
 

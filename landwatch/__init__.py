@@ -42,6 +42,7 @@ from landwatch.operators.jsonflat import (
 )
 from landwatch.operators.lifecycle import drift_lifecycle
 from landwatch.operators.model import (
+    RememberedModel,
     build_prompts,
     merge_model_rows,
     run_model,

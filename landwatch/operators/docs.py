@@ -34,8 +34,8 @@ def default_description(name: Column, data_type: Column, table: Column) -> Colum
 def schema_docs(landed: DataFrame, model_fn: Callable[[str], str] | None = None) -> DataFrame:
     """``(connection_id, table_key, ordinal_position, column_name, data_type, description)``.
 
-    With a model there is one prompt per table and a column it does not describe gets an
-    empty text; without, the description comes from the name and type.
+    With a model there is one prompt per distinct column of a table name, asked once for all
+    connections that have it, and a column it does not describe gets an empty text; without, the description comes from the name and type.
     """
     base = landed.select(
         "connection_id", table_key().alias("table_key"), "ordinal_position", "column_name", "data_type",

@@ -6,17 +6,17 @@ by itself. Operators use deterministic rules when no model is given.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from landwatch.functions.json_text import extract_json
 from landwatch.functions.text import table_key
 from landwatch.schemas import CHANGE_TYPES
-from landwatch.session import materialize
+from landwatch.session import materialize, path_exists, shared_dir
 
 _ASK = {
     "change": "A landed table changed between two snapshots. Decide which of "
@@ -59,57 +59,81 @@ def build_prompts(
 
     One prompt per row. Column-level questions (``docs``, ``sensitivity``) take landed columns
     and ask about each column by itself, with its table as context: a question does not depend
-    on how wide the table is, and nothing is collected.
+    on how wide the table is, and nothing is collected. The keys are not part of such a
+    question, so connections with the same tables ask the same thing, and ``run_model`` asks
+    it once.
     """
     if kind not in _ASK:
         raise ValueError(f"unknown prompt kind: {kind}")
+    told = df.columns
     if kind in ("docs", "sensitivity"):
-        df = df.select(*keys, table_key().alias("table_key"), "ordinal_position", "column_name", "data_type")
-    facts = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+        told = ["table_key", "ordinal_position", "column_name", "data_type"]
+        df = df.select(*keys, table_key().alias("table_key"), *told[1:])
+    facts = F.to_json(F.struct(*told), {"ignoreNullFields": "false"})
     return df.withColumn("prompt", F.concat(F.lit(_ASK[kind] + "\n\nDATA:\n"), facts))
 
 
+class RememberedModel:
+    """A model whose replies are kept under ``root`` and reused by later runs.
+
+    ``name`` stands for the model and its settings: a question is asked again under another
+    name. Pass it wherever an operator takes a ``model_fn``.
+    """
+
+    def __init__(self, model_fn: Callable[[str], str], root: str, name: str = ""):
+        self.model_fn, self.name = model_fn, name
+        self.path = f"{root.rstrip('/')}/model_replies"
+
+    def __call__(self, prompt: str) -> str:
+        return self.model_fn(prompt)
+
+
+REPLIES = "question string, raw string"
+
+
 def run_model(
     prompts: DataFrame, model_fn: Callable[[str], str], partitions: int | None = None
 ) -> DataFrame:
     """Add the model's reply as ``raw``; NULL where the call raised or there is no prompt.
 
-    Calls run in the tasks, one Arrow batch of prompts at a time; ``partitions`` spreads the
-    prompts evenly over that many tasks, which bounds the number of parallel calls. Replies are written to the
-    shared folder at once: they are costly and may differ on a second call, so a lost
-    executor or a second reader must not repeat them.
+    Replies are stored by a digest of the question and joined back by it, so equal questions
+    are asked once however many rows have them, and a ``RememberedModel`` asks only what no
+    earlier run has asked. Failed calls are not stored and are tried again by the next run.
+    Calls run in the tasks, one Arrow batch of questions at a time; ``partitions`` spreads the
+    questions evenly over that many tasks, which bounds the number of parallel calls. Replies
+    are costly and may differ on a second call, so they are written at once: a lost executor or
+    a second reader does not repeat them. Of two replies to one question, which only runs at
+    the same time leave, the smaller counts.
     """
-    schema = StructType([*prompts.schema.fields, StructField("raw", StringType())])
     if "raw" in prompts.columns:
         raise ValueError("prompts already have a raw column")
+    spark = prompts.sparkSession
+    kept = isinstance(model_fn, RememberedModel)
+    path = model_fn.path if kept else f"{shared_dir(spark).rstrip('/')}/landwatch/replies-{uuid.uuid4().hex}"
+    model, name = (model_fn.model_fn, model_fn.name) if kept else (model_fn, "")
 
-    def reply(prompt: str | None) -> str | None:
-        if prompt is None:
-            return None
+    def reply(prompt: str) -> str | None:
         try:
-            answer = model_fn(prompt)
+            answer = model(prompt)
         except Exception:  # a failed call must not fail the other rows
             return None
         return None if answer is None else str(answer)
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(raw=pd.Series([reply(p) for p in batch["prompt"]], index=batch.index, dtype=object))
-
-    # Nested columns travel as JSON text: Arrow-to-pandas conversion of nested rows would
-    # otherwise change their shape on the way back.
-    nested = [f for f in prompts.schema.fields if not _is_plain(f)]
+            raw = pd.Series([reply(p) for p in batch["prompt"]], index=batch.index, dtype=object)
+            yield pd.DataFrame({"question": batch["question"], "raw": raw})[raw.notna()]
+
+    question = F.sha2(F.concat(F.lit(f"{len(name)}:{name}"), "prompt"), 256)
+    asked = materialize(prompts.withColumn("_question", question), "questions")
+    fresh = asked.where("prompt IS NOT NULL").groupBy(F.col("_question").alias("question")).agg(F.first("prompt").alias("prompt"))
+    if kept and path_exists(spark, path):
+        fresh = fresh.join(spark.read.schema(REPLIES).parquet(path), "question", "left_anti")
     if partitions is not None:
-        prompts = prompts.repartition(partitions)
-    flat = prompts.withColumns({f.name: F.to_json(f.name, {"ignoreNullFields": "false"}) for f in nested})
-    flat_schema = StructType([*flat.schema.fields, StructField("raw", StringType())])
-    out = flat.mapInPandas(call, flat_schema)
-    out = out.withColumns({f.name: F.from_json(f.name, f.dataType) for f in nested}) if nested else out
-    return materialize(out.select(*schema.names), "replies")
-
-
-def _is_plain(field: StructField) -> bool:
-    return field.dataType.typeName() not in ("struct", "array", "map")
+        fresh = fresh.repartition(partitions)
+    fresh.mapInPandas(call, REPLIES).write.mode("append").parquet(path)
+    replies = spark.read.schema(REPLIES).parquet(path).groupBy(F.col("question").alias("_question")).agg(F.min("raw").alias("raw"))
+    return asked.join(replies, "_question", "left").select(*prompts.columns, "raw")
 
 
 def validate_classification(replies: DataFrame) -> DataFrame:

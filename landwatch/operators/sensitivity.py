@@ -63,7 +63,7 @@ def classify_sensitivity(
     landed: DataFrame, model_fn: Callable[[str], str] | None = None
 ) -> DataFrame:
     """``(connection_id, table_key, column_name, sensitivity_class, masking_strategy)`` of
-    every landed column. With a model, one prompt per table; a column the model leaves out
+    every landed column. With a model, one prompt per distinct column; a column the model leaves out
     keeps the rule's answer."""
     name = F.col("column_name")
     ruled = landed.select(

@@ -38,6 +38,12 @@ def shared_dir(spark: SparkSession) -> str:
     return created
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything is stored under ``path``, in whatever file system it names."""
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop_path)
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StructField, StructType
 
+from landwatch.session import path_exists
 from landwatch.sources.snapshots import prunable
 from landwatch.schemas import (
     DRIFT_UPDATE_FIELDS,
@@ -64,7 +65,7 @@ def read_state(spark: SparkSession, root: str, table: str, deduplicate: bool = T
     """
     spec = _TABLES[table]
     path = _path(root, table)
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         empty = spark.createDataFrame([], spec.schema)
         return empty.withColumn(spec.date_column, F.to_date(spec.time_column))
     schema = StructType([*spec.schema.fields, StructField(spec.date_column, DateType())])
@@ -72,12 +73,6 @@ def read_state(spark: SparkSession, root: str, table: str, deduplicate: bool = T
     return df.dropDuplicates(list(spec.row_id)) if deduplicate else df
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hadoop_path)
-
-
 def write_snapshot(snapshots: DataFrame, columns: DataFrame, root: str) -> None:
     """Append snapshots with their columns. Columns go first: the header row is what makes
     a snapshot visible, so a failure between the two writes leaves nothing half-visible."""
