@@ -8,12 +8,25 @@ from pyspark.sql import functions as F
 from landwatch.session import materialize
 
 
+#: Bytes of one Arrow batch between Spark and Python; with Spark's own 64 MB each task holds several hundred MB outside the heap.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the size of Arrow batches in the session, unless it has been set to something else than Spark's default."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in ("64MB", "67108864b", str(64 << 20)):
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and outlives executors."""
+    small_batches(df.sparkSession)
     return materialize(df, f"llm-{name}")
 
 

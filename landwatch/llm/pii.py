@@ -40,7 +40,7 @@ REACH, LETTERS = 8, 4
 #: Documents that tell common words, and the most such words kept: a lower bound of a word's documents spares pairs that cannot disclose.
 SAMPLE, COMMON = 4096, 1 << 17
 #: Pairs a task counts before it hands them on.
-HELD = 200_000
+HELD = 50_000
 
 
 def luhn(digits: str) -> bool:

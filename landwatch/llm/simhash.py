@@ -236,7 +236,7 @@ SAMPLE, FREQUENT = 4096, 1 << 18
 #: Compared pairs for each row left, above which links to one text of each group are tried before all pairs.
 PAIRS = 20
 #: Rows of a block of shingles given to Spark at once.
-BLOCK = 1 << 19
+BLOCK = 1 << 17
 PREFIXES = "id long, digest long, digest2 long, n int, token long, pos int"
 
 
