@@ -13,9 +13,9 @@ BATCH_BYTES = 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Set the size of Arrow batches in the session, unless it has been set to something else than Spark's default."""
+    """Set the size of Arrow batches in the session, unless it has been set there."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name, None) in ("64MB", "67108864b", str(64 << 20)):
+    if spark.conf.get(name, None) is None:
         spark.conf.set(name, BATCH_BYTES)
 
 
