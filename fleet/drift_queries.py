@@ -161,10 +161,15 @@ pairs AS (SELECT {_PLACE}, r.column_name AS before_name, data_type AS before_typ
     r.ordinal_position AS before_ordinal, a.column_name AS after_name, data_type AS after_type, a.ordinal_position AS after_ordinal
   FROM removed r JOIN added a USING ({_PLACE}, data_type)),
 plausible AS (SELECT *, {_SIMILARITY} AS similarity FROM pairs WHERE {_SIMILARITY} >= 0.6),
-best AS (SELECT *, row_number() OVER (PARTITION BY {_PLACE}, before_type, before_name ORDER BY similarity DESC, after_name) AS of_before,
-    row_number() OVER (PARTITION BY {_PLACE}, before_type, after_name ORDER BY similarity DESC, before_name) AS of_after FROM plausible),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY {_PLACE}, before_type ORDER BY similarity DESC, before_name, after_name) AS k FROM plausible),
+walk AS (SELECT DISTINCT {_PLACE}, before_type, 0::BIGINT AS k, false AS taken, []::VARCHAR[] AS used_before, []::VARCHAR[] AS used_after FROM ranked
+  UNION ALL
+  SELECT {_PLACE}, before_type, r.k, NOT list_contains(used_before, before_name) AND NOT list_contains(used_after, after_name),
+    CASE WHEN list_contains(used_before, before_name) OR list_contains(used_after, after_name) THEN used_before ELSE list_append(used_before, before_name) END,
+    CASE WHEN list_contains(used_before, before_name) OR list_contains(used_after, after_name) THEN used_after ELSE list_append(used_after, after_name) END
+  FROM walk w JOIN ranked r USING ({_PLACE}, before_type) WHERE r.k = w.k + 1),
 renames AS (SELECT {_PLACE}, 'RENAME' AS change_type, before_name, before_type, before_ordinal, after_name, after_type, after_ordinal
-  FROM best WHERE of_before = 1 AND of_after = 1),
+  FROM ranked JOIN walk USING ({_PLACE}, before_type, k) WHERE taken),
 fresh AS (SELECT {_PLACE}, 'NEW_FIELD' AS change_type, NULL::VARCHAR AS before_name, NULL::VARCHAR AS before_type, NULL::BIGINT AS before_ordinal,
     column_name AS after_name, data_type AS after_type, ordinal_position AS after_ordinal
   FROM added ANTI JOIN (SELECT {_PLACE}, after_name AS column_name FROM renames) USING ({_PLACE}, column_name)),
@@ -172,7 +177,7 @@ gone AS (SELECT {_PLACE}, 'DEPRECATION' AS change_type, column_name AS before_na
     ordinal_position AS before_ordinal, NULL::VARCHAR AS after_name, NULL::VARCHAR AS after_type, NULL::BIGINT AS after_ordinal
   FROM removed ANTI JOIN (SELECT {_PLACE}, before_name AS column_name FROM renames) USING ({_PLACE}, column_name)),
 diff AS (FROM kept UNION ALL FROM renames UNION ALL FROM fresh UNION ALL FROM gone)"""
-_WITH_DIFF = ctes("prior", "current") + "," + _DIFF
+_WITH_DIFF = ctes("prior", "current").replace("WITH ", "WITH RECURSIVE ", 1) + "," + _DIFF
 
 
 def _sides(spark, sf):

@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landwatch.functions.hashing import content_hash, empty_hash  # noqa: F401  (public here)
-from landwatch.functions.text import name_similarity
+from landwatch.functions.text import name_similarity, name_tokens
 from landwatch.schemas import COLUMN_STRUCT
 from landwatch.session import materialize
 
-# Candidate pairs one task builds before a (table, type) group is split further.
-PAIRS_PER_TASK = 250_000
+# Comparisons of a (table, type) group up to which all of its names are compared directly.
+PAIRS_PER_TASK = 4096
 REVIEW_THRESHOLD = 0.6
 COLLATERAL_CONFIDENCE = 0.3
 
@@ -110,9 +110,9 @@ def diff_kept(matched: DataFrame, keys: tuple[str, ...] = ("connection_id",)) ->
     )
 
 
-def _lone(matched: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
-    """Columns on one side only, with how many same-type columns of the same table are on
-    each side."""
+def _paired(matched: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+    """Columns on one side only whose table and type has columns on the other side too, with
+    the number of comparisons in their group; stored, since every step below reads them."""
     names = [*keys, *_PLACE, "data_type"]
     lone = (
         matched.filter(F.col("before").isNull() | F.col("after").isNull())
@@ -120,11 +120,140 @@ def _lone(matched: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, list[st
         .withColumn("_digest", _digest(names))
     )
     group = ["_digest", *names]
-    sizes = lone.groupBy(*group).agg(
-        F.count_if(F.col("before").isNotNull()).alias("n_removed"),
-        F.count_if(F.col("after").isNotNull()).alias("n_added"),
+    removed, added = F.count_if(F.col("before").isNotNull()), F.count_if(F.col("after").isNotNull())
+    sizes = lone.groupBy(*group).agg((removed * added).alias("_pairs")).filter("_pairs > 0")
+    return materialize(lone.join(sizes, group).select(*group, "_pairs", "before", "after"), "one-sided"), group
+
+
+def _sides(lone: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame]:
+    removed = lone.filter(F.col("before").isNotNull()).select(*group, "before")
+    return removed, lone.filter(F.col("after").isNotNull()).select(*group, "after")
+
+
+def _scored(pairs: DataFrame, threshold: float) -> DataFrame:
+    similarity = name_similarity(F.col("before.column_name"), F.col("after.column_name"))
+    return pairs.withColumn("_similarity", similarity).filter(F.col("_similarity") >= threshold)
+
+
+def _matched_directly(lone: DataFrame, group: list[str], threshold: float) -> DataFrame:
+    """Greedy matching of groups of few comparisons: all plausible pairs of a group in order,
+    each taken if both of its names are still free."""
+    removed, added = _sides(lone, group)
+    pair = F.struct(
+        (-F.col("_similarity")).alias("o"), F.col("before.column_name").alias("b"), F.col("after.column_name").alias("a"), "before", "after"
+    )
+    ordered = _scored(removed.join(added, group), threshold).groupBy(*group).agg(F.array_sort(F.collect_list(pair)).alias("_pairs"))
+
+    def take(taken: Column, p: Column) -> Column:
+        free = ~F.array_contains(taken["b"], p["b"]) & ~F.array_contains(taken["a"], p["a"])
+        both = F.struct(F.array_append(taken["b"], p["b"]).alias("b"), F.array_append(taken["a"], p["a"]).alias("a"))
+        return F.when(free, both).otherwise(taken)
+
+    none = F.array().cast("array<string>")
+    taken = F.aggregate("_pairs", F.struct(none.alias("b"), none.alias("a")), take)
+    partner = lambda p: F.get(F.col("_taken")["a"], (F.array_position(F.col("_taken")["b"], p["b"]) - 1).cast("int"))
+    return (
+        ordered.withColumn("_taken", taken)
+        .select(*group, F.explode(F.filter("_pairs", lambda p: F.array_contains(F.col("_taken")["b"], p["b"]) & (partner(p) == p["a"]))).alias("p"))
+        .select(*group, "p.before", "p.after")
     )
-    return lone.join(sizes, group), group
+
+
+def _name_keys(side: DataFrame, group: list[str], own: str, similarity: float, q: int) -> DataFrame:
+    """What a name may share with a similar one: its pieces of ``q`` characters, end marks
+    counted in, each with its place, and its distinct tokens; and how many of either decide.
+
+    Of two names within an edit distance of (1 - s) l, l the longer length, each edit spoils up
+    to q pieces, so a name keeps all but q (1 - s) of its own length of them, each moved by at
+    most that distance. One piece more, taken from the rarest on, holds the first piece kept;
+    with token sets that overlap by s it is the same with the size less s times the size.
+    """
+    name = F.col(f"{own}.column_name")
+    marks = [F.lit(c * (q - 1)) for c in ("\x02", "\x03")]
+    marked = F.concat(marks[0], F.lower(name), marks[1])
+    size = F.greatest(F.length(name), F.length(F.lower(name)))
+    pieces = F.transform(F.sequence(F.lit(1), F.length(marked) - (q - 1)), lambda i: F.struct(F.substring(marked, i, F.lit(q)).alias("key"), i.alias("place")))
+    tokens = F.array_distinct(name_tokens(name))
+    kinds = F.array(
+        F.struct((F.floor(q * (1 - similarity) * size + 1e-9) + 1).cast("int").alias("n"), pieces.alias("keys")),
+        F.struct(
+            (F.size(tokens) - F.greatest(F.ceil(similarity * F.size(tokens) - 1e-9), F.lit(1)) + 1).cast("int").alias("n"),
+            F.transform(tokens, lambda t: F.struct(t.alias("key"), F.lit(0).alias("place"))).alias("keys"),
+        ),
+    )
+    return side.select(*group, own, F.posexplode(kinds).alias("kind", "k")).select(*group, own, "kind", "k.n", F.explode("k.keys").alias("k")).select(
+        *group, own, "kind", "n", "k.key", "k.place"
+    )
+
+
+def rename_comparisons(removed: DataFrame, added: DataFrame, group: list[str], similarity: float) -> DataFrame:
+    """The pairs of names that can reach ``similarity`` (above one half): those that share one
+    of their rarest pieces at about the same place, or one of their rarest tokens, rarity
+    counted in their group. No plausible pair is lost."""
+    loose = similarity - 1e-4  # similarities are rounded to four places
+    q = max(2, min(4, int(0.6 / (1 - loose))))
+    both = [(_name_keys(side, group, own, loose, q), own) for side, own in ((removed, "before"), (added, "after"))]
+    every = [keys.select(*group, "kind", "key") for keys, _ in both]
+    counts = materialize(every[0].unionByName(every[1]).groupBy(*group, "kind", "key").agg(F.count("*").alias("seen")), "name-keys")
+
+    def rarest(keys: DataFrame, own: str) -> DataFrame:
+        mine = keys.withColumn("_name", F.col(f"{own}.column_name")).join(counts, [*group, "kind", "key"]).groupBy(*group, "_name", "kind").agg(
+            F.first(own).alias(own), F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("seen", "key", "place"))).alias("keys")
+        )
+        return mine.select(*group, "kind", own, F.explode(F.slice("keys", F.lit(1), F.greatest("n", F.lit(1)))).alias("k")).select(
+            *group, "kind", own, F.col("k.key").alias("key"), F.col("k.place").alias(f"_{own}_place")
+        )
+
+    shared = rarest(*both[0]).join(rarest(*both[1]), [*group, "kind", "key"])
+    sizes = [F.greatest(F.length(n), F.length(F.lower(n))) for n in (F.col("before.column_name"), F.col("after.column_name"))]
+    moved = F.greatest(F.abs(F.col("_before_place") - F.col("_after_place")), F.abs(sizes[0] - sizes[1]))
+    near = shared.filter((F.col("kind") == 1) | (moved <= (1 - loose) * F.greatest(*sizes) + 1e-9))
+    named = [F.col("before.column_name").alias("_b"), F.col("after.column_name").alias("_a")]
+    return near.groupBy(*group, *named).agg(F.first("before").alias("before"), F.first("after").alias("after")).drop("_b", "_a")
+
+
+def _greedy_rounds(pairs: DataFrame, group: list[str]) -> DataFrame:
+    """Greedy matching by rounds of mutual best pairs, until no pair has both names free.
+
+    Pairs are in one strict order (similarity, then names), so the best pair left is mutual in
+    every round, and the outcome is that of taking the pairs one by one in that order.
+    """
+    b, a = F.col("before.column_name").alias("_b"), F.col("after.column_name").alias("_a")
+    left = pairs.select(*group, "before", "after", "_similarity", b, a)
+    found = None
+    while True:
+        best = lambda own, other: left.groupBy(*group, own).agg(F.min(F.struct((-F.col("_similarity")).alias("o"), other)).alias("m")).select(*group, own, F.col(f"m.{other}").alias(other))
+        mutual = best("_b", "_a").join(best("_a", "_b"), [*group, "_b", "_a"], "left_semi")
+        taken = materialize(left.join(mutual, [*group, "_b", "_a"], "left_semi"), "renames")
+        if taken.isEmpty():
+            return found if found is not None else taken.select(*group, "before", "after")
+        rows = taken.select(*group, "before", "after")
+        found = rows if found is None else found.unionByName(rows)
+        left = left.join(taken.select(*group, "_b"), [*group, "_b"], "left_anti").join(taken.select(*group, "_a"), [*group, "_a"], "left_anti")
+        left = materialize(left, "rename-pairs")
+
+
+def _matched_in_bands(lone: DataFrame, group: list[str], threshold: float) -> DataFrame:
+    """Greedy matching of large groups, the most similar names first.
+
+    What is matched at a high similarity leaves before lower ones are tried, where names have
+    to share less and more pairs are compared. Below one half nothing need be shared, and the
+    names that are left are all compared.
+    """
+    bands = [t for t in (0.9, 0.8, 0.7, 0.6) if t > threshold + 1e-9] + ([threshold] if threshold > 0.5 else [0.51, threshold])
+    found = None
+    for t in sorted(set(bands), reverse=True):
+        removed, added = _sides(lone, group)
+        compared = rename_comparisons(removed, added, group, t) if t > 0.5 else removed.join(added, group)
+        taken = _greedy_rounds(materialize(_scored(compared, t), "rename-pairs"), group)
+        found = taken if found is None else found.unionByName(taken)
+        side = F.array(F.struct(F.col("before.column_name").alias("_name"), F.lit(False).alias("_new")), F.struct(F.col("after.column_name").alias("_name"), F.lit(True).alias("_new")))
+        used = taken.select(*group, F.explode(side).alias("s")).select(*group, "s.*")
+        named = lone.withColumns({"_name": F.coalesce("before.column_name", "after.column_name"), "_new": F.col("after").isNotNull()})
+        lone = materialize(named.join(used, [*group, "_name", "_new"], "left_anti").drop("_name", "_new"), "one-sided")
+        if any(s.isEmpty() for s in _sides(lone, group)):
+            break
+    return found
 
 
 def diff_rename_candidates(
@@ -133,39 +262,20 @@ def diff_rename_candidates(
     threshold: float = REVIEW_THRESHOLD,
     pairs_per_task: int = PAIRS_PER_TASK,
 ) -> DataFrame:
-    """Removed and added columns of one table and type whose names are each other's best match.
+    """Removed and added columns of one table and type, paired by name similarity.
 
-    A pair is plausible when its name similarity reaches ``threshold``; ties go to the smaller
-    name. Each column is in at most one pair, so a table that renames every column gives as
-    many rows as it has columns. Names are compared within a table and type only; a group with
-    more than ``pairs_per_task`` comparisons is spread over shards, and every comparison is
-    reduced to the best one per column before it is moved.
+    A pair is plausible when its name similarity reaches ``threshold``. Plausible pairs are
+    taken from the most similar down, ties by the names, as long as both columns are free: each
+    column is in at most one pair, and no two columns that are left over are plausible. Groups
+    with up to ``pairs_per_task`` comparisons are compared as they are; in larger ones a name
+    meets only names that share one of its rarest pieces or tokens. Both ways give the same.
     """
-    lone, group = _lone(matched, keys)
-    shards = F.least(
-        F.ceil(F.col("n_removed") * F.col("n_added") / F.lit(float(pairs_per_task))), F.col("n_removed")
-    ).cast("int")
-    paired = lone.filter((F.col("n_removed") > 0) & (F.col("n_added") > 0)).withColumn("shards", shards)
-    removed = paired.filter(F.col("before").isNotNull()).select(
-        *group, "before", F.pmod(F.xxhash64("column_name"), F.col("shards")).cast("int").alias("shard")
-    )
-    added = paired.filter(F.col("after").isNotNull()).select(
-        *group, "after", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard")
-    )
-    similarity = name_similarity(F.col("before.column_name"), F.col("after.column_name"))
-    pairs = removed.join(added, [*group, "shard"]).withColumn("_similarity", similarity).filter(F.col("_similarity") >= threshold)
-
-    def best(own: str, other: str) -> DataFrame:
-        order = F.struct(-F.col("_similarity"), F.col(f"{other}.column_name"))
-        return pairs.groupBy(*group, F.col(f"{own}.column_name").alias(f"_{own}")).agg(
-            F.min_by(F.struct("before", "after"), order).alias("pair")
-        )
-
-    chosen = best("before", "after").select(*group, "_before", F.col("pair.after.column_name").alias("_after"), "pair")
-    agreed = best("after", "before").select(*group, F.col("pair.before.column_name").alias("_before"), "_after")
-    return chosen.join(agreed, [*group, "_before", "_after"], "left_semi").select(
-        *keys, *_PLACE, F.lit("RENAME").alias("change_type"), "pair.before", "pair.after"
-    )
+    lone, group = _paired(matched, keys)
+    found = _matched_directly(lone.filter(F.col("_pairs") <= pairs_per_task), group, threshold)
+    large = lone.filter(F.col("_pairs") > pairs_per_task)
+    if not large.isEmpty():
+        found = found.unionByName(_matched_in_bands(large, group, threshold))
+    return found.select(*keys, *_PLACE, F.lit("RENAME").alias("change_type"), "before", "after")
 
 
 def diff_one_sided(matched: DataFrame, keys: tuple[str, ...] = ("connection_id",)) -> DataFrame:

@@ -52,10 +52,10 @@ def brute_diff(a, b):
             out.append(("REORDER", k[2], k[3], k[3]))
     removed, added = p.keys() - c.keys(), c.keys() - p.keys()
     scored = [(r, n, similarity(r[3], n[3])) for r in removed for n in added if r[:3] == n[:3] and p[r][4] == c[n][4]]
-    scored = [x for x in scored if x[2] >= 0.6]
-    of_removed = {r: min((x for x in scored if x[0] == r), key=lambda x: (-x[2], x[1][3]))[1] for r, _, _ in scored}
-    of_added = {n: min((x for x in scored if x[1] == n), key=lambda x: (-x[2], x[0][3]))[0] for _, n, _ in scored}
-    pairs = [(r, n) for r, n in of_removed.items() if of_added[n] == r]
+    pairs = []
+    for r, n, _ in sorted((x for x in scored if x[2] >= 0.6), key=lambda x: (-x[2], x[0][3], x[1][3])):
+        if all(r != x and n != y for x, y in pairs):
+            pairs.append((r, n))
     out += [("RENAME", r[2], r[3], n[3]) for r, n in pairs]
     out += [("NEW_FIELD", n[2], None, n[3]) for n in added - {n for _, n in pairs}]
     out += [("DEPRECATION", r[2], r[3], None) for r in removed - {r for r, _ in pairs}]
@@ -132,6 +132,52 @@ def test_wide_rebuild_stays_linear_and_does_not_depend_on_the_split(spark):
     assert lw.diff_columns(frame(spark, a), frame(spark, b)).count() == 750 - len(got[0])
 
 
+def test_a_column_whose_first_choice_is_taken_gets_the_next(spark):
+    a = [col("order_total"), col("order_totals", ordinal=2)]
+    b = [col("order_total1"), col("order_totl_sum", ordinal=2)]
+    assert [r[0] for r in diff(spark, a, b)] == ["RENAME", "RENAME"]
+
+
+names = st.lists(st.text(alphabet="ab_1X", max_size=7), max_size=9, unique=True)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(names, names)
+def test_rare_keys_lose_no_pair(spark, a, b):
+    """Names that share bigrams and tokens many times, by the way of large groups, against all comparisons."""
+    matched = lw.changed_columns(frame(spark, [col(n, ordinal=1) for n in a]), frame(spark, [col(n, ordinal=1) for n in b]))
+    got = [sorted((r.before.column_name, r.after.column_name) for r in lw.diff_rename_candidates(matched, pairs_per_task=n).collect()) for n in (0, 10**9)]
+    assert got[0] == got[1]
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.75])
+def test_other_thresholds(spark, threshold):
+    rng = random.Random(8)
+    word = lambda: "_".join(rng.choice(["user", "usr", "id", "ids", "total", "x1"]) for _ in range(rng.randint(1, 3)))
+    a, b = sorted({word() for _ in range(14)}), sorted({word() + "s" for _ in range(14)})
+    matched = lw.changed_columns(frame(spark, [col(n, ordinal=1) for n in a]), frame(spark, [col(n, ordinal=1) for n in b]))
+    got = [sorted((r.before.column_name, r.after.column_name) for r in lw.diff_rename_candidates(matched, threshold=threshold, pairs_per_task=n).collect()) for n in (0, 10**9)]
+    assert got[0] == got[1]
+
+
+def test_ten_thousand_renamed_columns(spark):
+    """10,000 removed and 10,000 added columns of one type: few of the 100 million pairs are compared."""
+    from landwatch.operators.drift import _paired, _sides, rename_comparisons
+
+    rng = random.Random(11)
+    syllables = [x + y for x in "bcdfghklmnprstvw" for y in "aeiou"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(2, 4)))
+    stems = sorted({f"{word()}_{word()}_{word()}" for _ in range(10_500)})[:10_000]
+    a = [col(n, ordinal=i) for i, n in enumerate(stems)]
+    b = [col(n[:-1] + "q7" if i % 2 else f"{n}_v2", ordinal=i) for i, n in enumerate(stems)]
+    matched = lw.changed_columns(frame(spark, a), frame(spark, b))
+    lone, group = _paired(matched, ("connection_id",))
+    removed, added = _sides(lone, group)
+    assert rename_comparisons(removed, added, group, 0.9).count() < 400_000
+    renames = {(r.before.column_name, r.after.column_name) for r in lw.diff_rename_candidates(matched).collect()}
+    assert len(renames) == 10_000 and sum(y in (x[:-1] + "q7", f"{x}_v2") for x, y in renames) > 9_900
+
+
 def reference_hash(rows):
     digests = [hashlib.md5("".join(f"{len(str(x))}:{x}" for x in r[1:6]).encode()).hexdigest() for r in rows]
     sums = [sum(int(d[at : at + 15], 16) for d in digests) for at in (0, 16)]
