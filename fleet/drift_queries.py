@@ -324,23 +324,24 @@ def detect_drift(spark, sf):
 
 
 @register("write_snapshot", ctes("snapshots", "snapshot_column_rows") + """
-SELECT s.connection_id, s.snapshot_id, count(c.snapshot_id) AS n_columns, count(DISTINCT c.table_name || '.' || c.column_name) AS n_names
+SELECT s.connection_id, s.snapshot_id, cast(s.captured_at AS date) AS captured_on, count(c.snapshot_id) AS n_columns,
+  count(DISTINCT c.table_name || '.' || c.column_name) AS n_names
 FROM d_snapshots s LEFT JOIN d_snapshot_column_rows c USING (snapshot_id) GROUP BY ALL""")
 def write_snapshot(spark, sf):
+    """Every snapshot under the date it was captured on."""
     root = new_root(spark)
-    # One month of captures, so the store has a month of date partitions.
-    day = F.expr("timestamp_ntz'2024-01-01 00:00:00' + dayofmonth(captured_at) * interval '1' day")
-    snapshots = table(spark, sf, "snapshots").withColumn("captured_at", day)
+    snapshots = table(spark, sf, "snapshots")
     columns = table(spark, sf, "snapshot_column_rows").join(snapshots.select("snapshot_id", "captured_at"), "snapshot_id")
     lw.write_snapshot(snapshots, columns, root)
     stored = lw.read_state(spark, root, "column_snapshots", deduplicate=False)
-    per_snapshot = stored.groupBy("snapshot_id", "table_name", "column_name").agg(F.count(F.lit(1)).alias("n")).groupBy("snapshot_id").agg(
-        F.sum("n").alias("n_columns"), F.count(F.lit(1)).alias("n_names")
-    )
+    per_snapshot = stored.groupBy("snapshot_id", "captured_at_date", "table_name", "column_name").agg(F.count(F.lit(1)).alias("n")).groupBy(
+        "snapshot_id", "captured_at_date"
+    ).agg(F.sum("n").alias("n_columns"), F.count(F.lit(1)).alias("n_names"))
     return (
         lw.read_state(spark, root, "schema_snapshots")
-        .select("connection_id", "snapshot_id")
-        .join(per_snapshot, "snapshot_id", "left")
+        .select("connection_id", "snapshot_id", "captured_at_date")
+        .join(per_snapshot, ["snapshot_id", "captured_at_date"], "left")
+        .withColumnRenamed("captured_at_date", "captured_on")
         .fillna(0, ["n_columns", "n_names"])
     )
 
@@ -404,6 +405,60 @@ def drift_events_current(spark, sf):
     return _event_columns(lw.drift_events_current(spark, root, committed_only=False))
 
 
+_HEADED = "classification_conf < 0.7 OR classification_conf > 0.9"
+_COMMITTED = _FOLDED.format(actions="actions") + f" WHERE {_HEADED.replace('classification_conf', 'e.classification_conf')}"
+
+
+def _committed_store(spark, sf):
+    """A store whose events are headed but for those of runs that died, in two halves with a compaction between."""
+    from landwatch.operators.lifecycle import lifecycle_updates
+
+    root = new_root(spark)
+    events = table(spark, sf, "drift_events")
+    headers = events.filter(_HEADED).select(
+        F.col("to_snapshot_id").alias("snapshot_id"), "connection_id", F.lit("public").alias("destination_schema"),
+        F.col("detected_at").alias("captured_at"), F.lit("sync_end").alias("trigger_event"), F.lit("h").alias("content_hash"),
+    )
+    first = F.col("classification_conf") < 0.8
+    updates = lifecycle_updates(_actions(spark, sf))
+    lw.insert_drift_event(events.filter(first), root)
+    append_state(headers.filter("captured_at < timestamp_ntz'2024-01-15 00:00:00'"), root, "schema_snapshots")
+    lw.update_drift_event(updates.filter(F.col("updated_at") < F.lit("2024-01-15 00:00:00")), root)
+    lw.compact_state(spark, root)
+    lw.insert_drift_event(events.filter(~first), root)
+    append_state(headers, root, "schema_snapshots")  # a replay repeats the headers of the first half
+    lw.update_drift_event(updates, root)
+    return root
+
+
+@register("drift_events_committed", ctes("drift_events") + _ACTION_CTE + _COMMITTED)
+def drift_events_committed(spark, sf):
+    """The default reading: events of finished runs only, folded over a compacted base."""
+    return _event_columns(lw.drift_events_current(spark, _committed_store(spark, sf)))
+
+
+@register("drift_events_compacted", ctes("drift_events") + _ACTION_CTE + _COMMITTED)
+def drift_events_compacted(spark, sf):
+    """The same after two more compactions, when everything is in the base."""
+    root = _committed_store(spark, sf)
+    lw.compact_state(spark, root)
+    lw.compact_state(spark, root)
+    return _event_columns(lw.drift_events_current(spark, root))
+
+
+@register("head_snapshots", ctes("snapshots") + f""", {_LATEST} SELECT connection_id, snapshot_id, captured_at, content_hash FROM latest""")
+def head_snapshots(spark, sf):
+    """The newest header of each connection from a base and the headers written since."""
+    root = new_root(spark)
+    snapshots = table(spark, sf, "snapshots")
+    old = F.col("captured_at") < F.lit("1995-01-01").cast("timestamp_ntz")
+    append_state(snapshots.filter(old), root, "schema_snapshots")
+    lw.compact_state(spark, root)
+    append_state(snapshots.filter(~old), root, "schema_snapshots")
+    lw.compact_state(spark, root)
+    return lw.head_snapshots(spark, root).select("connection_id", "snapshot_id", F.col("captured_at").cast("timestamp_ntz").alias("captured_at"), "content_hash")
+
+
 @register("update_drift_event", ctes("drift_events") + """
 SELECT drift_id, connection_id, table_name, change_type, 1.0::DOUBLE AS classification_conf, remediation_status,
   'someone' AS approved_by, NULL::VARCHAR AS transformation_id, updated_at + interval '1' day AS updated_at FROM d_drift_events""")

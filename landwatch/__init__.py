@@ -89,8 +89,10 @@ from landwatch.sources.metadata import (
 from landwatch.sources.rows import failure_window_scan, json_sample, time_window_filter
 from landwatch.sources.snapshots import latest_snapshot, snapshot_columns, snapshot_pairs
 from landwatch.sources.state import (
+    compact_state,
     drift_events_current,
     entity_map_latest,
+    head_snapshots,
     insert_drift_event,
     read_state,
     update_drift_event,

@@ -23,6 +23,7 @@ from landwatch.sources.metadata import exclude_system_columns, resolve_destinati
 from landwatch.sources.snapshots import latest_snapshot, prunable
 from landwatch.sources.state import (
     append_state,
+    head_snapshots,
     insert_drift_event,
     read_state,
     write_new_syncs,
@@ -158,9 +159,7 @@ def detect_drift(
     spark = syncs.sparkSession
     write_new_syncs(syncs, root)
     user_columns = exclude_system_columns(landed, *system_columns)
-    # The newest header is the same whether a replay wrote it once or twice.
-    snapshots = read_state(spark, root, "schema_snapshots", deduplicate=False)
-    gated = gate_connections(syncs, user_columns, snapshots, connections, default_schema)
+    gated = gate_connections(syncs, user_columns, head_snapshots(spark, root), connections, default_schema)
     # One row per synced connection, read by every later step: fixed once.
     opened = materialize(gated.filter(F.col("gate_state") != "UNCHANGED"), "opened")
 

@@ -1,4 +1,4 @@
-"""State tables on shared storage: append, read, and fold of drift-event updates."""
+"""State tables on shared storage: append, read, fold of drift-event updates, and compaction."""
 
 from __future__ import annotations
 
@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StructField, StructType
 
 from landwatch.session import path_exists
-from landwatch.sources.snapshots import prunable
+from landwatch.sources.folded import (
+    STORE_OF,
+    close_generation,
+    generations,
+    new_base,
+    open_generation,
+    read_pointer,
+)
+from landwatch.sources.snapshots import latest_snapshot, prunable
 from landwatch.schemas import (
     DRIFT_UPDATE_FIELDS,
     DRIFT_UPDATES,
@@ -44,6 +52,9 @@ def append_state(df: DataFrame, root: str, table: str) -> None:
         else F.col(n)
         for n in spec.schema.names
     ]
+    path = _path(root, table)
+    if table in STORE_OF:
+        path += f"/generation={read_pointer(df.sparkSession, root, STORE_OF[table]).generation}"
     (
         df.select(*columns)
         .select(*checked)
@@ -52,24 +63,28 @@ def append_state(df: DataFrame, root: str, table: str) -> None:
         .sortWithinPartitions(spec.date_column, *spec.cluster_by)
         .write.mode("append")
         .partitionBy(spec.date_column)
-        .parquet(_path(root, table))
+        .parquet(path)
     )
 
 
-def read_state(spark: SparkSession, root: str, table: str, deduplicate: bool = True) -> DataFrame:
+def read_state(spark: SparkSession, root: str, table: str, deduplicate: bool = True, since: int | None = None) -> DataFrame:
     """A state table with its date partition column; rows a replay wrote twice appear once.
 
     Removing those rows shuffles the table by row id. Readers that repeats do not affect,
     such as the newest sync of freshness, pass ``deduplicate=False``. A table nothing was
-    written to yet is empty.
+    written to yet is empty. ``since`` limits a folded table to that generation and later ones;
+    other folders are not even listed.
     """
     spec = _TABLES[table]
     path = _path(root, table)
-    if not path_exists(spark, path):
+    paths = [path] if path_exists(spark, path) else []
+    if since is not None:
+        paths = generations(spark, path, since, read_pointer(spark, root, STORE_OF[table]).generation)
+    if not paths:
         empty = spark.createDataFrame([], spec.schema)
         return empty.withColumn(spec.date_column, F.to_date(spec.time_column))
     schema = StructType([*spec.schema.fields, StructField(spec.date_column, DateType())])
-    df = spark.read.schema(schema).parquet(path)
+    df = spark.read.schema(schema).option("basePath", path).parquet(*paths).select(*schema.names)
     return df.dropDuplicates(list(spec.row_id)) if deduplicate else df
 
 
@@ -142,45 +157,107 @@ def normalize_updates(updates: DataFrame) -> DataFrame | None:
     )
 
 
-def fold_drift_events(inserted: DataFrame, updates: DataFrame | None) -> DataFrame:
-    """Current state of every drift event: each field's latest set value over its insert.
+def _latest_sets(updates: DataFrame, fields: list[str]) -> DataFrame:
+    """Per event and field the latest value that an update sets, beside what makes it the latest.
 
     Ties in updated_at go to the further lifecycle status, then to a hash of the content, so
-    the fold does not depend on read order. Updates of unknown events change nothing.
+    the fold does not depend on read order.
     """
-    if updates is None:
-        return inserted
-    present = [c for c in DRIFT_UPDATE_FIELDS if c in updates.columns and c in inserted.columns]
     status_rank = F.lit(0)
     if "remediation_status" in updates.columns:
         status_rank = F.coalesce(
             F.array_position(
                 F.array(*map(F.lit, ("PROPOSED", "REJECTED", "APPROVED", "APPLIED", "VERIFIED"))),
                 F.col("remediation_status"),
-            ),
+            ).cast("int"),
             F.lit(0),
         )
     # Ties are broken by content, computed once per row.
-    content = F.xxhash64(F.array_join("set_fields", ","), *[F.col(c) for c in present])
+    content = F.xxhash64(F.array_join("set_fields", ","), *[F.col(c) for c in fields])
     updates = updates.withColumn("_order", F.struct("updated_at", status_rank.alias("r"), content.alias("h")))
     aggregates = []
-    for c in present:
+    for c in fields:
         if c == "updated_at":
             aggregates.append(F.max("updated_at").alias("_updated_at"))
             continue
         order = F.when(F.array_contains("set_fields", c), F.col("_order"))
-        aggregates.append(F.max_by(F.struct(F.col(c).alias("v")), order).alias(f"_{c}"))
-    latest = updates.groupBy("drift_id").agg(*aggregates)
-    joined = inserted.join(latest, "drift_id", "left")
+        aggregates.append(F.max_by(F.struct(F.col("_order").alias("o"), F.col(c).alias("v")), order).alias(f"_{c}"))
+    return updates.groupBy("drift_id").agg(*aggregates)
+
+
+def _with_sets(events: DataFrame, columns: list[str], fields: list[str]) -> DataFrame:
+    """The events' ``columns`` after the sets that stand beside them."""
     out = []
-    for c in inserted.columns:
-        if c == "updated_at" and "updated_at" in present:
+    for c in columns:
+        if c == "updated_at" and c in fields:
             out.append(F.coalesce(F.col("_updated_at"), F.col(c)).alias(c))
-        elif c in present:
+        elif c in fields:
             out.append(F.when(F.col(f"_{c}").isNotNull(), F.col(f"_{c}.v")).otherwise(F.col(c)).alias(c))
         else:
             out.append(F.col(c))
-    return joined.select(*out)
+    return events.select(*out)
+
+
+def fold_drift_events(inserted: DataFrame, updates: DataFrame | None) -> DataFrame:
+    """Current state of every drift event: each field's latest set value over its insert.
+    Updates of unknown events change nothing."""
+    if updates is None:
+        return inserted
+    present = [c for c in DRIFT_UPDATE_FIELDS if c in updates.columns and c in inserted.columns]
+    return _with_sets(inserted.join(_latest_sets(updates, present), "drift_id", "left"), inserted.columns, present)
+
+
+_SETS = list(DRIFT_UPDATE_FIELDS)
+_EVENT = [*STATE_TABLES["drift_events"].schema.names, STATE_TABLES["drift_events"].date_column]
+
+
+def _merged_sets(left: str, right: str) -> list:
+    """The later of two sets of each field, as columns of a join of ``left`` and ``right``."""
+    later = lambda c: F.greatest(F.col(f"{left}._{c}.o"), F.col(f"{right}._{c}.o")) == F.col(f"{right}._{c}.o")
+    return [
+        F.greatest(F.col(f"{left}._{c}"), F.col(f"{right}._{c}")).alias(f"_{c}") if c == "updated_at"
+        else F.when(F.coalesce(later(c), F.lit(False)), F.col(f"{right}._{c}")).otherwise(F.col(f"{left}._{c}")).alias(f"_{c}")
+        for c in _SETS
+    ]
+
+
+def _headed(events: DataFrame, spark: SparkSession, root: str) -> DataFrame:
+    """The events whose newer snapshot has a header. Repeated headers change nothing, so none are removed first."""
+    headers = read_state(spark, root, "schema_snapshots", deduplicate=False).select(F.col("snapshot_id").alias("to_snapshot_id"))
+    return events.join(headers, "to_snapshot_id", "left_semi").select(*events.columns)
+
+
+def _drift_state(spark: SparkSession, root: str) -> tuple[DataFrame | None, DataFrame, DataFrame]:
+    """(base, events of the tail, sets of the tail) of the drift store."""
+    at = read_pointer(spark, root, "drift")
+    events = read_state(spark, root, "drift_events", since=at.tail)
+    updates = read_state(spark, root, "drift_event_updates", since=at.tail).drop("updated_at_date")
+    base = spark.read.parquet(at.base) if at.base else None
+    return base, events, _latest_sets(updates, _SETS)
+
+
+def _events_with_sets(spark: SparkSession, root: str) -> DataFrame:
+    """All events with what their updates set, and ``_committed`` where compaction saw their header.
+
+    The base is joined with the tail alone; the tail's own events are those that a lookup of the
+    tail's ids in the base does not find, so the base is not moved while the tail is small.
+    """
+    base, events, sets = _drift_state(spark, root)
+    if base is None:
+        return events.join(sets, "drift_id", "left").withColumn("_committed", F.lit(False))
+    columns = [*_EVENT, *[f"_{c}" for c in _SETS], "_committed"]
+    old = base.alias("b").join(sets.alias("t"), "drift_id", "left").where("_known").select(
+        *[F.col(f"b.{c}") if c != "drift_id" else F.col(c) for c in _EVENT], *_merged_sets("b", "t"), "_committed"
+    )
+    ids = events.select("drift_id").union(sets.select("drift_id")).distinct()
+    met = base.join(ids, "drift_id", "left_semi").select("drift_id", "_known", *[f"_{c}" for c in _SETS])
+    new = events.join(met.where("_known"), "drift_id", "left_anti").join(sets, "drift_id", "left")
+    # Updates may have come, and been folded, before their event.
+    early = met.where("NOT _known").drop("_known")
+    new = new.alias("t").join(early.alias("b"), "drift_id", "left").select(
+        *[F.col(f"t.{c}") if c != "drift_id" else F.col(c) for c in _EVENT], *_merged_sets("b", "t"), F.lit(False).alias("_committed")
+    )
+    return old.select(*columns).unionByName(new.select(*columns))
 
 
 def drift_events_current(
@@ -190,16 +267,53 @@ def drift_events_current(
 
     Events whose newer snapshot has no header are left out: those of a detection run that
     died before its end and was not repeated on the same columns. ``committed_only=False``
-    shows them too, and events that did not come from a detection run.
+    shows them too, and events that did not come from a detection run. After ``compact_state``
+    only what was written since is folded, and only events without a header then are looked up.
     """
-    inserted = read_state(spark, root, "drift_events")
+    events = _events_with_sets(spark, root)
     if committed_only:
-        committed = read_state(spark, root, "schema_snapshots").select(
-            F.col("snapshot_id").alias("to_snapshot_id")
-        )
-        inserted = inserted.join(committed, "to_snapshot_id", "left_semi").select(*inserted.columns)
-    updates = read_state(spark, root, "drift_event_updates").drop("updated_at_date")
-    return fold_drift_events(inserted, updates)
+        events = events.where("_committed").unionByName(_headed(events.where("NOT _committed"), spark, root))
+    return _with_sets(events, _EVENT, _SETS)
+
+
+def head_snapshots(spark: SparkSession, root: str) -> DataFrame:
+    """The newest header of each connection: the base's, or a later one written since."""
+    at = read_pointer(spark, root, "heads")
+    names = STATE_TABLES["schema_snapshots"].schema.names
+    # The newest header is the same whether a replay wrote it once or twice.
+    headers = read_state(spark, root, "schema_snapshots", deduplicate=False, since=at.tail).select(*names)
+    if at.base:
+        headers = headers.unionByName(spark.read.parquet(at.base).select(*names))
+    return latest_snapshot(headers).select(*names)
+
+
+def compact_state(spark: SparkSession, root: str) -> None:
+    """Fold the drift events with their updates, and the newest headers, into new bases.
+
+    Logs are kept as they are; whoever reads the current state no longer reads the folded
+    generations. A run that dies on the way changes nothing but the generation written to.
+    """
+    before, during = open_generation(spark, root, "heads")
+    path = new_base(root, "heads")
+    head_snapshots(spark, root).write.parquet(path)
+    close_generation(spark, root, "heads", before, during, path)
+
+    before, during = open_generation(spark, root, "drift")
+    base, _, sets = _drift_state(spark, root)
+    events = _events_with_sets(spark, root)
+    committed = events.where("_committed").unionByName(
+        _headed(events.where("NOT _committed"), spark, root).withColumn("_committed", F.lit(True))
+    )
+    open_events = events.join(committed.select("drift_id"), "drift_id", "left_anti")
+    known = committed.unionByName(open_events).withColumn("_known", F.lit(True))
+    early = sets.join(events.select("drift_id"), "drift_id", "left_anti")
+    if base is not None:
+        waiting = base.where("NOT _known").join(events.select("drift_id"), "drift_id", "left_anti").select("drift_id", *[f"_{c}" for c in _SETS])
+        early = early.alias("t").join(waiting.alias("b"), "drift_id", "full").select("drift_id", *_merged_sets("b", "t"))
+    path = new_base(root, "drift")
+    early = early.withColumns({"_known": F.lit(False), "_committed": F.lit(False)})
+    known.unionByName(early, allowMissingColumns=True).write.parquet(path)
+    close_generation(spark, root, "drift", before, during, path)
 
 
 def entity_map_latest(entity_map: DataFrame) -> DataFrame:
