@@ -120,14 +120,14 @@ def json_sample(spark, sf):
 
 
 @register("infer_json_structure", ctes("payloads") + ", " + _SAMPLE.format(source="sample") + """
-SELECT key, arg_min(kind, row_no * 100000 + pos) AS json_type, min(row_no * 100000 + pos)::INTEGER AS key_order FROM kinds GROUP BY key""")
+SELECT key, arg_min(kind, row_no * 100000 + pos) AS json_type, min(row_no * 100000000 + pos)::BIGINT AS key_order FROM kinds GROUP BY key""")
 def infer_json_structure(spark, sf):
     return lw.infer_json_structure(table(spark, sf, "payloads"), "payload", order_by="event_id")
 
 
 @register("infer_json_structure_full", ctes("payloads") + ", everything AS (SELECT 0 AS row_no, payload FROM d_payloads WHERE payload IS NOT NULL), "
           + _SAMPLE.format(source="everything") + """
-SELECT key, max(kind) FILTER (kind <> 'NoneType') AS json_type, min(pos)::INTEGER AS key_order FROM kinds GROUP BY key""")
+SELECT key, max(kind) FILTER (kind <> 'NoneType') AS json_type, min(pos)::BIGINT AS key_order FROM kinds GROUP BY key""")
 def infer_json_structure_full(spark, sf):
     return lw.infer_json_structure(table(spark, sf, "payloads"), "payload", mode="full")
 
@@ -201,6 +201,26 @@ def column_completeness_nulls(spark, sf):
     return lw.column_completeness(table(spark, sf, "payloads")).drop("approx_distinct")
 
 
+@register("column_profiles", " UNION ALL ".join(
+    f"""SELECT '{c}' AS column_name, count(*) AS total_rows, count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS n_distinct, true AS is_near, true AS is_same
+    FROM lineitem""" for c in _LINE))
+def column_profiles(spark, sf):
+    """Profiles of parts, merged, beside the exact distinct counts: near them, and the same as a profile of all rows."""
+    lines = table(spark, sf, "lineitem")
+    part = F.col("l_linenumber") % 3
+    profiles = [lw.column_profiles(lines.filter(part == k)) for k in range(3)]
+    merged = lw.merge_profiles(lw.merge_profiles(profiles[0].unionByName(profiles[1])).unionByName(profiles[2]))
+    whole = lw.completeness_of(lw.column_profiles(lines)).select("column_name", F.col("approx_distinct").alias("_whole"))
+    exact = lines.agg(*[F.count_distinct(c).alias(c) for c in _LINE])
+    counted = exact.select(F.explode(F.create_map(*[x for c in _LINE for x in (F.lit(c), F.col(c))])).alias("column_name", "n_distinct"))
+    near = F.abs(F.col("approx_distinct") - F.col("n_distinct")) <= 0.08 * F.col("n_distinct")
+    # Sketches merged in another order may differ in the last digits of their estimate.
+    same = F.abs(F.col("approx_distinct") - F.col("_whole")) <= 0.02 * F.col("_whole")
+    return lw.completeness_of(merged).join(counted, "column_name").join(whole, "column_name").select(
+        "column_name", "total_rows", "null_count", "n_distinct", near.alias("is_near"), same.alias("is_same")
+    )
+
+
 _SHIMS = [
     {"change_type": "RENAME", "old_name": "total_amount", "new_name": "o_totalprice"},
     {"change_type": "TYPE_PROMOTION", "new_name": "o_custkey", "old_type": "STRING"},
@@ -285,6 +305,29 @@ def entity_overlaps(spark, sf):
     return lw.entity_overlaps(stored(spark, sf, "named")).withColumn("conflicts", F.array_join("conflicts", "|"))
 
 
+_NAMED_BY_MODEL = """, answered AS (SELECT o.*, split_part(table_key, '.', 2) AS t FROM occurrences o),
+keyed AS (SELECT DISTINCT connection_id, table_schema || '.' || table_name AS table_key FROM d_named WHERE column_name = 'customer_id'),
+found AS (SELECT upper(left(a.entity, 1)) || substr(a.entity, 2) AS entity_name, a.connection_id, a.table_key, conflicts, 'cross_connection' AS analysis_mode,
+  CASE WHEN t IN ('customers', 'accounts') AND k.table_key IS NOT NULL THEN 'customer_id' ELSE join_key_col END AS join_key_col,
+  CASE t WHEN 'customers' THEN 0.9 WHEN 'accounts' THEN 0.8 ELSE confidence END::DOUBLE AS confidence
+  FROM answered a LEFT JOIN keyed k ON k.connection_id = a.connection_id AND k.table_key = a.table_key)
+SELECT * FROM found
+WHERE confidence >= 0.5 AND entity_name IN (SELECT entity_name FROM found GROUP BY entity_name HAVING count(DISTINCT connection_id) > 1)"""
+
+
+@register("entity_overlaps_model", _WITH_ENTITIES + _NAMED_BY_MODEL)
+def entity_overlaps_model(spark, sf):
+    """A model that calls accounts clients: they meet the customers, whose tables have the same key."""
+    said = {"customers": ("Customer", 0.9), "accounts": ("Client", 0.8)}
+
+    def answer(facts):
+        name, sure = said[facts["table_name"]]  # no answer for other tables
+        return json.dumps({"entity_name": name, "join_key": "customer_id", "confidence": sure})
+
+    overlaps = lw.entity_overlaps(stored(spark, sf, "named"), _facts_model(answer))
+    return overlaps.withColumn("conflicts", F.array_join("conflicts", "|"))
+
+
 @register("entity_overlap_pairs", _WITH_ENTITIES + """,
 cols AS (SELECT DISTINCT entity, connection_id, table_key, name FROM profile),
 tabs AS (SELECT entity, connection_id, table_key, count(*) AS n FROM cols GROUP BY ALL),

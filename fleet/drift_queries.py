@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 import landwatch as lw
-from fleet.inputs import AS_OF, SYSTEM_PREFIX, SYSTEM_SUFFIX, ctes, stored, table
+from fleet.inputs import AS_OF, SYSTEM_PREFIX, SYSTEM_SUFFIX, TABLES, ctes, stored, table
 from fleet.registry import register
 from landwatch.session import shared_dir
 from landwatch.sources.state import append_state
@@ -41,6 +41,20 @@ def landed_columns(spark, sf):
     return lw.landed_columns_from_rows(table(spark, sf, "metadata_rows"))
 
 
+_GIVEN = ", ".join(f"'{t}'" for t in TABLES)
+
+
+@register("landed_columns_from_footers", f"""
+SELECT 'given' AS connection_id, 'public' AS table_schema, table_name, column_name,
+  CASE WHEN data_type IN ('BIGINT', 'INTEGER') THEN 'INT64' WHEN data_type IN ('DOUBLE', 'FLOAT') THEN 'FLOAT64' WHEN data_type = 'VARCHAR' THEN 'STRING'
+    WHEN data_type = 'TIMESTAMP' THEN 'DATETIME' WHEN data_type IN ('FLOAT[]', 'DOUBLE[]') THEN 'ARRAY<FLOAT64>' WHEN data_type = 'BOOLEAN' THEN 'BOOL' ELSE data_type END AS data_type,
+  cast(ordinal_position AS BIGINT) AS ordinal_position, true AS is_nullable
+FROM information_schema.columns WHERE table_name IN ({_GIVEN})""")
+def landed_columns_from_footers(spark, sf):
+    """The columns of the given tables, read by the tasks from the tables' own footers."""
+    return lw.landed_columns_from_footers(spark, sf, "table_name", connection_id="given")
+
+
 @register("normalize_column_rows", _NORMAL)
 def normalize_column_rows(spark, sf):
     return lw.normalize_column_rows(table(spark, sf, "metadata_rows"))
@@ -256,14 +270,19 @@ def shim_sql(spark, sf):
 
 
 _CONFIDENCE = f"""CASE WHEN change_type = 'RENAME' THEN {_SIMILARITY} WHEN is_collateral THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END"""
-_CLASSIFIED = _COLLATERAL + f", classified AS (SELECT *, {_CONFIDENCE} AS classification_conf, {_SHIM} AS remediation_sql FROM collateral)"
-_CLASSIFIED_COLUMNS = f"{_PLACE}, change_type, before_name, after_name, classification_conf, remediation_sql"
+_RATIONALE = """CASE WHEN change_type = 'RENAME' THEN before_name || ' was dropped and ' || after_name || ' of the same type appeared.'
+  WHEN change_type = 'TYPE_PROMOTION' THEN after_name || ' changed type from ' || before_type || ' to ' || after_type || '.'
+  WHEN is_collateral THEN after_name || ' moved because its table was rewritten by a type change.'
+  WHEN change_type = 'REORDER' THEN after_name || ' moved to another position.'
+  WHEN change_type = 'NEW_FIELD' THEN after_name || ' is new.' ELSE before_name || ' was dropped.' END"""
+_CLASSIFIED = _COLLATERAL + f""", classified AS (SELECT *, {_CONFIDENCE} AS classification_conf, {_RATIONALE} AS rationale, {_SHIM} AS remediation_sql FROM collateral)"""
+_CLASSIFIED_COLUMNS = f"{_PLACE}, change_type, before_name, after_name, classification_conf, rationale, remediation_sql"
 
 
 def _short(classified, *extra):
     return classified.select(
         "connection_id", "table_schema", "table_name", "change_type", F.col("before.column_name").alias("before_name"),
-        F.col("after.column_name").alias("after_name"), "classification_conf", "remediation_sql", *extra,
+        F.col("after.column_name").alias("after_name"), "classification_conf", "rationale", "remediation_sql", *extra,
     )
 
 
@@ -272,6 +291,23 @@ def classify_changes(spark, sf):
     return _short(lw.classify_changes(changes_of(spark, sf)))
 
 
+@register("classify_changes_consumers", _WITH_DIFF + _CLASSIFIED + f""", readers AS (SELECT DISTINCT connection_id, table_schema, table_name,
+  'job_' || column_name AS consumer FROM d_current WHERE ordinal_position > 1),
+read AS (SELECT {_PLACE}, count(*) AS n_consumers, array_to_string(list_sort(list(consumer))[:20], '|') AS downstream_consumers FROM readers GROUP BY ALL)
+SELECT {_PLACE}, change_type, before_name, after_name, coalesce(n_consumers, 0) AS n_consumers, coalesce(downstream_consumers, '') AS downstream_consumers,
+  rationale || CASE WHEN n_consumers > 0 THEN ' Downstream readers of the table: ' || n_consumers || '.' ELSE '' END AS rationale
+FROM classified LEFT JOIN read USING ({_PLACE})""")
+def classify_changes_consumers(spark, sf):
+    """Jobs that read a table stand beside its changes."""
+    current = table(spark, sf, "current").filter("ordinal_position > 1")
+    readers = current.select("connection_id", "table_schema", "table_name", F.concat(F.lit("job_"), "column_name").alias("consumer"))
+    classified = lw.classify_changes(changes_of(spark, sf), consumers=readers)
+    return classified.select(
+        "connection_id", "table_schema", "table_name", "change_type", F.col("before.column_name").alias("before_name"),
+        F.col("after.column_name").alias("after_name"), "n_consumers", F.array_join("downstream_consumers", "|").alias("downstream_consumers"), "rationale",
+    )
+
+
 @register("plan_drift", _WITH_DIFF + _CLASSIFIED + f""" SELECT {_CLASSIFIED_COLUMNS} FROM classified
 WHERE connection_id IN (SELECT connection_id FROM d_prior)""")
 def plan_drift(spark, sf):
@@ -319,7 +355,7 @@ def detect_drift(spark, sf):
     events = run_detection(spark, sf, new_root(spark))
     return events.select(
         "connection_id", "table_schema", "table_name", "change_type", F.col("column_before.column_name").alias("before_name"),
-        F.col("column_after.column_name").alias("after_name"), "classification_conf", "remediation_sql", "remediation_status",
+        F.col("column_after.column_name").alias("after_name"), "classification_conf", "rationale", "remediation_sql", "remediation_status",
     )
 
 

@@ -38,6 +38,7 @@ from landwatch.operators.jsonflat import (
     flatten_json,
     flatten_json_long,
     flatten_view,
+    flatten_view_parts,
     infer_json_structure,
 )
 from landwatch.operators.lifecycle import drift_lifecycle
@@ -59,8 +60,11 @@ from landwatch.operators.sensitivity import (
 )
 from landwatch.operators.signals import (
     column_completeness,
+    column_profiles,
+    completeness_of,
     drift_stability,
     drift_volatility,
+    merge_profiles,
     naming_coherence,
     type_suitability,
 )
@@ -77,6 +81,7 @@ from landwatch.plans.readiness import (
 )
 from landwatch.plans.use_case import coverage_summary, required_fields, use_case_coverage
 from landwatch.schemas import STATE_SCHEMAS, STATE_TABLES
+from landwatch.sources.footers import landed_columns_from_footers
 from landwatch.sources.metadata import (
     active_connections,
     exclude_system_columns,

@@ -11,7 +11,11 @@ _BLOCK = 64
 
 
 def hmac_sha256_hex(message: Column, key: bytes) -> Column:
-    """Lower-case hex HMAC-SHA-256 of a binary or string column (RFC 2104)."""
+    """Lower-case hex HMAC-SHA-256 of a binary or string column (RFC 2104).
+
+    The key becomes a literal of the plan, so plans, event logs and query listings show it: keep
+    those private, or use a key made for one job.
+    """
     block_key = (hashlib.sha256(key).digest() if len(key) > _BLOCK else key).ljust(_BLOCK, b"\0")
     inner_pad = F.lit(bytes(b ^ 0x36 for b in block_key))
     outer_pad = F.lit(bytes(b ^ 0x5C for b in block_key))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landwatch.functions.text import name_similarity
@@ -18,6 +18,9 @@ from landwatch.operators.drift import (
 from landwatch.operators.model import build_prompts, run_model, validate_classification
 from landwatch.schemas import CHANGE_TYPES
 
+# Downstream readers of a table that a question names.
+CONSUMERS_TOLD = 20
+
 
 def shim_sql(changes: DataFrame, dataset: str = "table_schema") -> DataFrame:
     """Add ``remediation_sql``: a view that keeps the old contract readable.
@@ -90,9 +93,14 @@ def classify_changes(
     changes: DataFrame,
     model_fn: Callable[[str], str] | None = None,
     keys: tuple[str, ...] = ("connection_id",),
+    consumers: DataFrame | None = None,
 ) -> DataFrame:
     """Final change type, confidence, rationale and shim for every candidate.
 
+    ``consumers`` tells what reads a table downstream: connection_id, table_schema, table_name,
+    consumer. Each change then has ``downstream_consumers``, the first ``CONSUMERS_TOLD`` names in
+    order, and ``n_consumers``, all of them; the rules' rationale counts them, and a model is told both.
+
     Without a model the rules decide: the candidate type stands; a rename's confidence is
     the similarity of the names; a collateral reorder gets a low one; others are certain.
     With ``model_fn`` each candidate becomes one prompt and its reply is validated; a row
@@ -100,6 +108,8 @@ def classify_changes(
     rows are unaffected.
     """
     described = ordinal_delta(attribute_collateral_reorder(changes, keys))
+    if consumers is not None:
+        described = _with_consumers(described, consumers)
     if model_fn is None:
         return _by_rules(described)
     prompts = build_prompts(described, "change", keys)
@@ -109,6 +119,19 @@ def classify_changes(
     return replies.withColumn("remediation_sql", F.when(doubtful, F.lit("")).otherwise(F.col("remediation_sql")))
 
 
+def _with_consumers(changes: DataFrame, consumers: DataFrame) -> DataFrame:
+    """The names told of a table are cut to the first few before they are moved, so one that very
+    many jobs read is no long group."""
+    place = ["connection_id", "table_schema", "table_name"]
+    named = consumers.select(*place, "consumer").where("consumer IS NOT NULL").distinct()
+    first = F.row_number().over(Window.partitionBy(*place).orderBy("consumer"))
+    told = named.withColumn("_n", first).where(F.col("_n") <= CONSUMERS_TOLD).groupBy(*place).agg(F.array_sort(F.collect_list("consumer")).alias("downstream_consumers"))
+    counts = named.groupBy(*place).agg(F.count("*").alias("n_consumers"))
+    return changes.join(told, place, "left").join(counts, place, "left").withColumns({
+        "downstream_consumers": F.coalesce("downstream_consumers", F.array().cast("array<string>")), "n_consumers": F.coalesce("n_consumers", F.lit(0).cast("bigint")),
+    })
+
+
 def _by_rules(described: DataFrame) -> DataFrame:
     similarity = name_similarity(F.col("before.column_name"), F.col("after.column_name"))
     old, new = F.col("before.column_name"), F.col("after.column_name")
@@ -133,6 +156,9 @@ def _by_rules(described: DataFrame) -> DataFrame:
         .when(F.col("change_type") == "NEW_FIELD", F.concat(new, F.lit(" is new.")))
         .otherwise(F.concat(old, F.lit(" was dropped.")))
     )
+    if "n_consumers" in described.columns:
+        read = F.when(F.col("n_consumers") > 0, F.concat(F.lit(" Downstream readers of the table: "), F.col("n_consumers").cast("string"), F.lit(".")))
+        rationale = F.concat(rationale, F.coalesce(read, F.lit("")))
     return described.withColumns(
         {
             "classification_conf": confidence.cast("double"),

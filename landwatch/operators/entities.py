@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landwatch.functions.text import match_token, name_tokens, table_key
+from landwatch.session import materialize
 
 MIN_CONFIDENCE = 0.5
 # A table whose name says the entity starts here; the shared part of its columns adds the rest.
@@ -43,8 +44,14 @@ def entity_of_table(table_name: Column) -> Column:
     return F.coalesce(canonical[last], last)
 
 
-def _table_profile(landed: DataFrame) -> DataFrame:
-    """Landed columns with their entity and normalized column name."""
+def _table_profile(landed: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Landed columns with their entity and normalized column name. ``names`` (connection_id,
+    table_key, entity) tells the entity where a table's own name does not."""
+    if names is not None:
+        known = names.select("connection_id", F.col("table_key").alias("_key"), F.col("entity").alias("_entity"))
+        landed = landed.withColumn("_key", table_key()).join(known, ["connection_id", "_key"], "left")
+    ruled = entity_of_table(F.col("table_name"))
+    entity = ruled if names is None else F.coalesce("_entity", ruled)
     return landed.select(
         "connection_id",
         table_key().alias("table_key"),
@@ -52,12 +59,12 @@ def _table_profile(landed: DataFrame) -> DataFrame:
         "column_name",
         "data_type",
         "is_nullable",
-        entity_of_table(F.col("table_name")).alias("entity"),
+        entity.alias("entity"),
         match_token(F.col("column_name")).alias("name"),
     ).filter(F.col("entity").isNotNull())
 
 
-def entity_columns(landed: DataFrame) -> DataFrame:
+def entity_columns(landed: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Per entity and normalized column name: whether several connections share it and
     whether its type or nullability conflicts between occurrences.
 
@@ -65,7 +72,7 @@ def entity_columns(landed: DataFrame) -> DataFrame:
     the map side to one row per column name.
     """
     return (
-        _table_profile(landed)
+        _table_profile(landed, names)
         .groupBy("entity", "name")
         .agg(
             *[f(c).alias(f"{f.__name__}_{a}") for c, a in (("connection_id", "conn"), ("data_type", "type"), ("is_nullable", "null")) for f in (F.min, F.max)]
@@ -91,14 +98,14 @@ def _join_key_rank(name: Column, entity: Column) -> Column:
     )
 
 
-def entity_occurrences(landed: DataFrame) -> DataFrame:
+def entity_occurrences(landed: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """One row per (entity, table): columns, shared columns, join key, conflicts, confidence.
 
     Conflicts listed on a row are those of the columns this table has, so the array is
     bounded by the table's width.
     """
-    profile = _table_profile(landed)
-    about = entity_columns(landed)
+    profile = _table_profile(landed, names)
+    about = entity_columns(landed, names)
     rank = _join_key_rank(F.col("column_name"), F.col("entity"))
     by_table = (
         profile.join(about, ["entity", "name"])
@@ -116,6 +123,29 @@ def entity_occurrences(landed: DataFrame) -> DataFrame:
     )
 
 
+def merged_names(links: DataFrame, preferred: DataFrame) -> DataFrame:
+    """(name, entity): every name of ``links`` (a, b) with one name reachable from it: the smallest
+    of those in ``preferred`` (name), or else the smallest.
+
+    Names are few beside the tables that have them, and links are distinct. Each round hands the
+    smaller label over every link, and then takes the label's own label, so a chain of names
+    takes as many rounds as the logarithm of its length; every round is stored.
+    """
+    ends = links.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b").distinct()
+    both = materialize(ends.union(ends.select("b", "a")).distinct(), "name-links")
+    names = both.select(F.col("a").alias("name")).distinct().join(preferred.select("name").distinct().withColumn("_first", F.lit("0")), "name", "left")
+    labels = materialize(names.select("name", F.concat(F.coalesce("_first", F.lit("1")), "name").alias("entity")), "name-labels")
+    while True:
+        heard = both.join(labels, F.col("b") == F.col("name")).groupBy("a").agg(F.min("entity").alias("heard"))
+        nearer = labels.join(heard, F.col("name") == F.col("a"), "left").select("name", "entity", F.least("entity", "heard").alias("_near"))
+        jump = labels.select(F.col("entity").alias("_far"), F.col("name").alias("_label"))
+        moved = nearer.join(jump, F.substring("_near", 2, 1 << 30) == F.col("_label"), "left").select("name", "entity", F.least("_near", "_far").alias("_next"))
+        after = materialize(moved, "name-labels")
+        labels = after.select("name", F.col("_next").alias("entity"))
+        if after.where("entity != _next").isEmpty():
+            return labels.withColumn("entity", F.substring("entity", 2, 1 << 30))
+
+
 def entity_overlap_pairs(landed: DataFrame) -> DataFrame:
     """Each table of an entity with an anchor table of the entity in another connection, and
     the Jaccard similarity of their column names.

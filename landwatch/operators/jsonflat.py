@@ -14,12 +14,15 @@ from landwatch.functions.json_text import (
     variant_text,
 )
 from landwatch.functions.text import table_key
+from landwatch.session import materialize
 from landwatch.sources.rows import json_sample
 
 # -- fixed values: names that suggest a structured payload, and the empty structure -----
 PAYLOAD_NAME = "(?i)(metadata|properties|attributes|payload|details|extras|config|context)"
 EMPTY_STRUCTURE = ("_unknown_key", "str")
 SAMPLE_ROWS = 5
+#: Room for the keys of one row in ``key_order``.
+KEYS_OF_A_ROW = 100_000_000
 
 
 def detect_json_columns(landed: DataFrame) -> DataFrame:
@@ -80,10 +83,10 @@ def infer_json_structure(
             "key", widest.alias("json_type"), "at"
         )
     placeholder = found.sparkSession.range(1).select(
-        F.lit(EMPTY_STRUCTURE[0]).alias("key"), F.lit(EMPTY_STRUCTURE[1]).alias("json_type"), F.lit(0).alias("key_order")
+        F.lit(EMPTY_STRUCTURE[0]).alias("key"), F.lit(EMPTY_STRUCTURE[1]).alias("json_type"), F.lit(0).cast("bigint").alias("key_order")
     )
     n_found = found.agg(F.count(F.lit(1))).scalar()
-    out = found.select("key", "json_type", (F.col("at.row_no") * 100_000 + F.col("at.pos")).cast("int").alias("key_order"))
+    out = found.select("key", "json_type", (F.col("at.row_no").cast("bigint") * KEYS_OF_A_ROW + F.col("at.pos")).alias("key_order"))
     return out.unionByName(placeholder.filter(n_found == 0))
 
 
@@ -163,14 +166,38 @@ def _view_item(column: str, key: Column, kind: Column) -> Column:
 
 
 def flatten_view(dataset: str, table: str, column: str, structure: DataFrame) -> DataFrame:
-    """One row with the warehouse view that does the same: ``view_name``, ``view_sql``, ``estimated_columns``."""
+    """One row with the warehouse view that does the same: ``view_name``, ``view_sql``, ``estimated_columns``.
+
+    The text is that of ``flatten_view_parts``, put together from its parts, and is as long as the
+    payload has keys; use the parts themselves where that is more than a view can have.
+    """
+    parts = flatten_view_parts(dataset, table, column, structure)
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("part", "text"))), lambda x: x["text"])
+    return parts.agg(texts.alias("texts"), F.sum("n_columns").cast("int").alias("estimated_columns"), F.first("view_name").alias("view_name")).select(
+        "view_name", F.array_join("texts", "").alias("view_sql"), "estimated_columns"
+    )
+
+
+def flatten_view_parts(dataset: str, table: str, column: str, structure: DataFrame, keys_per_part: int = 1000) -> DataFrame:
+    """The same view in pieces, ``(view_name, part, text, n_columns)``: the texts joined in the order of ``part``.
+
+    The keys are sorted over all partitions and numbered inside each, so a part has at most
+    ``keys_per_part`` keys and no task holds more, however many keys the payload has.
+    """
     source = f"{dataset}.{table.split('.', 1)[-1]}"
-    item = F.struct("key_order", "key", _view_item(column, F.col("key"), F.col("json_type")).alias("text"))
-    items = F.transform(F.sort_array(F.collect_list(item)), lambda x: x["text"])
     view = f"{source}_flat"
-    head = f"CREATE OR REPLACE VIEW {view} AS SELECT * EXCEPT({column}), "
-    return structure.agg(items.alias("items")).select(
-        F.lit(view).alias("view_name"),
-        F.concat(F.lit(head), F.array_join("items", ", "), F.lit(f" FROM {source}")).alias("view_sql"),
-        F.size("items").alias("estimated_columns"),
+    n = int(structure.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = [F.col("key_order").cast("bigint"), F.col("key")]
+    ordered = structure.repartitionByRange(n, *place).sortWithinPartitions(*place).withColumn("_at", F.monotonically_increasing_id())
+    # The number has the partition in its upper bits and the row of the partition below.
+    part = F.shiftright("_at", 33) * F.lit(1 << 33) + F.floor(F.col("_at").bitwiseAND((1 << 33) - 1) / keys_per_part) + 1
+    items = F.sort_array(F.collect_list(F.struct("_at", _view_item(column, F.col("key"), F.col("json_type")).alias("text"))))
+    parts = ordered.groupBy(part.cast("bigint").alias("part")).agg(items.alias("items")).select(
+        "part", F.array_join(F.transform("items", lambda x: x["text"]), ", ").alias("text"), F.size("items").cast("bigint").alias("n_columns")
     )
+    parts = materialize(parts, "view-parts")  # the cut of a sort is not the same twice
+    first = parts.agg(F.min("part")).scalar()
+    body = parts.withColumn("text", F.concat(F.when(F.col("part") > first, ", ").otherwise(""), F.col("text")))
+    edge = lambda at, text: structure.sparkSession.range(1).select(F.lit(at).cast("bigint").alias("part"), F.lit(text).alias("text"), F.lit(0).cast("bigint").alias("n_columns"))
+    head = edge(0, f"CREATE OR REPLACE VIEW {view} AS SELECT * EXCEPT({column}), ")
+    return head.unionByName(body).unionByName(edge((1 << 62), f" FROM {source}")).withColumn("view_name", F.lit(view))

@@ -53,9 +53,9 @@ _ASK = {
 
 
 def build_prompts(
-    df: DataFrame, kind: str, keys: tuple[str, ...] = ("connection_id",)
+    df: DataFrame, kind: str, keys: tuple[str, ...] = ("connection_id",), told: tuple[str, ...] | None = None
 ) -> DataFrame:
-    """Add a ``prompt`` column: what is asked, then the row's data as JSON.
+    """Add a ``prompt`` column: what is asked, then the row's data as JSON (all columns, or ``told``).
 
     One prompt per row. Column-level questions (``docs``, ``sensitivity``) take landed columns
     and ask about each column by itself, with its table as context: a question does not depend
@@ -65,7 +65,7 @@ def build_prompts(
     """
     if kind not in _ASK:
         raise ValueError(f"unknown prompt kind: {kind}")
-    told = df.columns
+    told = told or df.columns
     if kind in ("docs", "sensitivity"):
         told = ["table_key", "ordinal_position", "column_name", "data_type"]
         df = df.select(*keys, table_key().alias("table_key"), *told[1:])

@@ -17,6 +17,10 @@ SHORT_NAME = 3
 NUMERIC_SUFFIX = r"[\p{Nd}]+$"
 
 
+#: Registers of a distinct-count sketch, as a power of two: 4096 give a relative error of about 1.7 %.
+SKETCH_BITS = 12
+
+
 def _breaking() -> Column:
     return F.count_if(F.col("change_type").isin(*BREAKING_CHANGE_TYPES))
 
@@ -108,6 +112,48 @@ def schema_signals(landed: DataFrame, prefix_match: bool = False) -> DataFrame:
     )
 
 
+def column_profiles(df: DataFrame) -> DataFrame:
+    """``(column_name, total_rows, null_count, blank_count, distinct_sketch)`` of every column, in one pass.
+
+    The sketch can be merged with those of other days or partitions (``merge_profiles``), so a
+    profile of the whole history does not need the history again. Maps and variants have none.
+    """
+    aggregates = [F.count(F.lit(1)).alias("total_rows")]
+    for i, field in enumerate(df.schema.fields):
+        c, kind = F.col(f"`{field.name}`"), field.dataType.typeName()
+        blank = F.trim(c) == "" if kind in ("string", "varchar", "char") else F.lit(False)
+        aggregates += [F.count_if(c.isNull()).alias(f"n{i}"), F.count_if(blank).alias(f"b{i}")]
+        if kind in ("map", "variant"):
+            aggregates.append(F.lit(None).cast("binary").alias(f"s{i}"))
+        else:
+            plain = c if kind in ("string", "binary") else F.to_json(F.struct(c)) if kind in ("array", "struct") else c.cast("string")
+            aggregates.append(F.hll_sketch_agg(plain, F.lit(SKETCH_BITS)).alias(f"s{i}"))
+    per_column = F.array(*[
+        F.struct(F.lit(f.name).alias("column_name"), F.col(f"n{i}").alias("null_count"), F.col(f"b{i}").alias("blank_count"), F.col(f"s{i}").alias("distinct_sketch"))
+        for i, f in enumerate(df.schema.fields)
+    ])
+    return df.agg(*aggregates).select("total_rows", F.explode(per_column).alias("c")).select("c.column_name", "total_rows", "c.null_count", "c.blank_count", "c.distinct_sketch")
+
+
+def merge_profiles(profiles: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One profile per column (and key) from any number of them. Which rows went into which does
+    not matter, as long as each went into one; merging merged profiles is the same again."""
+    counts = [F.sum(c).alias(c) for c in ("total_rows", "null_count", "blank_count")]
+    sketch = F.when(F.count("distinct_sketch") > 0, F.hll_union_agg("distinct_sketch")).alias("distinct_sketch")
+    return profiles.groupBy(*keys, "column_name").agg(*counts, sketch)
+
+
+def completeness_of(profiles: DataFrame) -> DataFrame:
+    """The columns of ``column_completeness`` from stored profiles."""
+    total, missing = F.col("total_rows"), F.col("null_count") + F.col("blank_count")
+    rest = [c for c in profiles.columns if c != "distinct_sketch"]
+    return (
+        profiles.select(*rest, F.hll_sketch_estimate("distinct_sketch").alias("approx_distinct"))
+        .withColumn("missing_pct", F.when(total > 0, F.round(missing / total * 100, 2)).otherwise(F.lit(0.0)))
+        .withColumn("is_empty", (total > 0) & (F.col("null_count") == total))
+    )
+
+
 def column_completeness(df: DataFrame) -> DataFrame:
     """NULL and blank share and approximate distinct count of every column, in one pass.
 

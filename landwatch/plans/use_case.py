@@ -51,7 +51,7 @@ def use_case_coverage(
 
 def coverage_summary(matches: DataFrame) -> DataFrame:
     """One row: counts, share covered, and a sentence."""
-    nothing = "No required fields could be extracted from the use-case description."
+    nothing = "No required fields are known for this use case, so nothing was compared."
     return coverage_pct(matches).withColumn(
         "narrative",
         F.when(F.col("total_fields") == 0, nothing).otherwise(

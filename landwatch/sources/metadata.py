@@ -13,9 +13,10 @@ from landwatch.schemas import LANDED_COLUMNS
 def landed_columns(spark: SparkSession, datasets: dict[str, str]) -> DataFrame:
     """Columns of every table in the given databases (``connection_id -> database``).
 
-    Only the session catalog knows these schemas, so this walks catalog entries and never
-    reads table data. A fleet whose metadata is already stored as rows should use
-    ``landed_columns_from_rows`` instead. System columns are included.
+    Only the session catalog knows these schemas, so the driver walks its entries and never
+    reads table data: meant for a handful of datasets. ``landed_columns_from_footers`` reads the
+    tables' own files with many tasks, ``landed_columns_from_rows`` metadata stored as rows.
+    System columns are included.
     """
     rows = []
     for connection_id, database in datasets.items():
