@@ -556,7 +556,7 @@ def stream_sync_log(spark, sf):
     )
 
 
-@register("stream_detect_drift", ctes("prior", "current", "bodies") + "," + _DIFF + f""", {_ROUTED},
+@register("stream_detect_drift", ctes("prior", "current", "bodies").replace("WITH ", "WITH RECURSIVE ", 1) + "," + _DIFF + f""", {_ROUTED},
 synced AS (SELECT json_extract_string(body, '$.connector_id') AS connection_id FROM routed WHERE route = 'accepted'
   GROUP BY 1 HAVING bool_or(event_id % 4 <= 1) AND bool_or(event_id % 4 >= 1))"""
   + _CLASSIFIED + f" SELECT {_CLASSIFIED_COLUMNS} FROM classified WHERE connection_id IN (SELECT connection_id FROM synced)")
@@ -568,11 +568,11 @@ def stream_detect_drift(spark, sf):
         _land(spark, sf, path, part)
         stream = lw.stream_sync_log(lw.sync_event_source(spark, path), _KEY)
         lw.stream_detect_drift(
-            stream, lambda s, side=side: stored(s, sf, side), root, f"{root}-checkpoint", ("_sys_", "_sys_id"), available_now=True
+            stream, lambda s, side=side: stored(s, sf, side), root, f"{root}-checkpoint", ("_sys_", "_sys_id"), available_now=True, compact_every=1
         ).awaitTermination()
     return lw.drift_events_current(spark, root).select(
         "connection_id", "table_schema", "table_name", "change_type", F.col("column_before.column_name").alias("before_name"),
-        F.col("column_after.column_name").alias("after_name"), "classification_conf", "remediation_sql",
+        F.col("column_after.column_name").alias("after_name"), "classification_conf", "rationale", "remediation_sql",
     )
 
 

@@ -55,6 +55,16 @@ def landed_columns_from_footers(spark, sf):
     return lw.landed_columns_from_footers(spark, sf, "table_name", connection_id="given")
 
 
+@register("landed_of_syncs", ctes("current", "sync_log") + """
+SELECT c.* FROM d_current c WHERE connection_id IN (SELECT connection_id FROM d_sync_log WHERE synced_at >= TIMESTAMP '2024-01-25 00:00:00')""")
+def landed_of_syncs(spark, sf):
+    """Columns of the connections that synced lately, from a store laid out by connection."""
+    path = new_root(spark)
+    lw.write_landed(table(spark, sf, "current"), path, 16)
+    syncs = table(spark, sf, "sync_log").filter(F.col("synced_at") >= F.lit("2024-01-25 00:00:00"))
+    return lw.read_landed(spark, path, syncs, 16)
+
+
 @register("normalize_column_rows", _NORMAL)
 def normalize_column_rows(spark, sf):
     return lw.normalize_column_rows(table(spark, sf, "metadata_rows"))

@@ -82,6 +82,7 @@ from landwatch.plans.readiness import (
 from landwatch.plans.use_case import coverage_summary, required_fields, use_case_coverage
 from landwatch.schemas import STATE_SCHEMAS, STATE_TABLES
 from landwatch.sources.footers import landed_columns_from_footers
+from landwatch.sources.landed_store import read_landed, write_landed
 from landwatch.sources.metadata import (
     active_connections,
     exclude_system_columns,

@@ -148,3 +148,18 @@ def test_volatility_is_ordered_by_rate_then_connection(spark):
     events = spark.createDataFrame(rows, "connection_id string, change_type string, at string").withColumn("detected_at", F.col("at").cast("timestamp"))
     got = [(r["changes_per_week"], r["connection_id"]) for r in lw.drift_volatility(events, "2024-01-31", ordered=True).collect()]
     assert got == sorted(got, key=lambda r: (-r[0], r[1])) and len(got) == 8
+
+
+def test_only_folders_of_the_synced_connections_are_read(spark, tmp_path):
+    path = str(tmp_path / "landed")
+    fleet = landed(spark, *[(f"c{i}", "t", ["a", "b"]) for i in range(60)])
+    lw.write_landed(fleet, path, 16)
+    syncs = spark.createDataFrame([("c3",), ("c3",), ("unknown",)], "connection_id string")
+    got = lw.read_landed(spark, path, syncs, 16)
+    assert got.columns == LANDED_COLUMNS.names and sorted(r["column_name"] for r in got.collect()) == ["a", "b"]
+    assert "dynamicpruning" in got._jdf.queryExecution().executedPlan().toString()
+    assert lw.read_landed(spark, path, buckets=16).count() == 120
+    with pytest.raises(ValueError):
+        lw.read_landed(spark, path, buckets=32)
+    lw.write_landed(fleet.limit(2), path, 16)
+    assert lw.read_landed(spark, path, buckets=16).count() == 2
