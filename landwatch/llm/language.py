@@ -94,6 +94,8 @@ def fit(labelled: DataFrame, lang_col: str = "lang", max_rows: int = 2000, clust
 
     Counts are made on the executors; the driver receives ``max_rows`` rows of ``BUCKETS`` floats.
     Per centroid, the nearest ``accept`` share of its training texts sets the accepted distance.
+    Rows with a NULL text, language or id teach nothing, rows repeated under one id as often as
+    they occur. From an empty table a model is learned that knows no language.
     """
     known = labelled.where(F.col(lang_col).isNotNull())
     n_langs = known.select(lang_col).distinct().count()
@@ -124,7 +126,9 @@ def identify(documents: DataFrame, model: Model, text_col: str = "text") -> Data
     """Columns doc_id, lang_pred, score, rejected for every row, from its whole text only.
 
     ``und`` with score 0 where the text is NULL or has no letter. ``rejected``: the text is farther
-    from the nearest centroid than accepted; lang_pred still names the nearest language.
+    from the nearest centroid than accepted; lang_pred still names the nearest language. Of
+    centroids at the same cosine the first counts, in order of language. Long texts are counted
+    whole, block by block; repeated rows get equal rows, an empty table none; other columns are not read.
     """
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")

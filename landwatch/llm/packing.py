@@ -79,10 +79,11 @@ def pack(pieces: DataFrame, max_len: int, n_buckets: int = 8, budget: int = 65_5
 
     ``pieces``: doc_id, segment, n_tokens (0 to ``max_len``). Batches are numbered from 0 in each
     bucket and all but a bucket's last are full. The order inside a bucket is by a hash of
-    (doc_id, segment), so a batch mixes documents; repeated rows take one slot each. No row is
+    (doc_id, segment, row), so a batch mixes documents; repeated rows take one slot each. No row is
     dropped. Slots come from counts per (bucket, shard) and a running sum over shards, so a bucket
     with most rows is numbered by many tasks. ``pieces`` is read twice: pass a stored table where
-    its lengths are costly.
+    its lengths are costly. ``stored_segments`` numbers its rows, so that rows with one id, or with
+    NULL, spread over the shards too. An empty table gives no rows; columns of other names are not read.
     """
     if budget < max_len:
         raise ValueError("a batch must hold at least one longest segment")
@@ -92,7 +93,7 @@ def pack(pieces: DataFrame, max_len: int, n_buckets: int = 8, budget: int = 65_5
     widths = best_boundaries(counts, n_buckets)
     shards = 1 << max(9, int(np.ceil(np.log2(max(1, counts.sum()) / SHARD_ROWS + 1))))
     bucket = sum((F.when(F.col("n_tokens") > w, 1).otherwise(0) for w in widths), F.lit(0))
-    order = F.xxhash64("doc_id", "segment")
+    order = F.xxhash64("doc_id", "segment", *(["row"] if "row" in pieces.columns else []))
     rows = pieces.select("doc_id", "segment", "n_tokens", bucket.cast("int").alias("bucket"), order.alias("_o")).withColumn(
         "_shard", F.pmod("_o", F.lit(shards)).cast("int")
     )
@@ -101,7 +102,7 @@ def pack(pieces: DataFrame, max_len: int, n_buckets: int = 8, budget: int = 65_5
         rows.groupBy("bucket", "_shard").agg(F.count("*").alias("_rows"))
         .withColumn("_before", F.sum("_rows").over(W.partitionBy("bucket").orderBy("_shard")) - F.col("_rows")).drop("_rows")
     )
-    number = F.row_number().over(W.partitionBy("bucket", "_shard").orderBy("_o", "doc_id", "segment")) - 1
+    number = F.row_number().over(W.partitionBy("bucket", "_shard").orderBy("_o", "doc_id", "segment")) - 1  # equal rows may trade places
     return (
         rows.withColumn("_number", number).join(before, ["bucket", "_shard"])
         .select("doc_id", "segment", "n_tokens", "bucket", width.cast("long").alias("width"), (F.col("_number") + F.col("_before")).alias("_at"))
@@ -112,5 +113,8 @@ def pack(pieces: DataFrame, max_len: int, n_buckets: int = 8, budget: int = 65_5
 
 
 def stored_segments(documents: DataFrame, length: Column, max_len: int, key_col: str = "doc_id") -> DataFrame:
-    """``segments`` as a table in the shared folder, so the texts are measured once."""
-    return stage(segments(documents, length, max_len, key_col), "segments")
+    """``segments`` and a ``row`` number as a table in the shared folder, so the texts are measured once.
+
+    Whole texts are measured, whatever their length; NULL is empty. Repeated rows stay apart.
+    """
+    return stage(segments(documents, length, max_len, key_col).withColumn("row", F.monotonically_increasing_id()), "segments")

@@ -317,7 +317,8 @@ def personal_data(documents: DataFrame, support: int = 3, disclose: float = 0.9,
 
     NULL and empty texts have no span. Spans of terms never overlap base spans, which all stay. A
     doc_id names one text (equal rows repeated under one id get equal spans); a row with a NULL
-    doc_id gets its base spans only.
+    doc_id gets its base spans only. Long texts are searched whole, in time linear in their length;
+    a disclosure equal to ``disclose`` counts. An empty table gives no rows.
     """
     terms = stage(disclosing_terms(documents, support, disclose, remove, text_col), "pii-terms")
     found = stage(term_spans(documents, terms, text_col, key_col), "pii-term-spans")

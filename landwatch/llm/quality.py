@@ -146,7 +146,10 @@ def judge(documents: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: f
     """Base measures, base_failed, rejected_by (rules above their cutoff) and kept, for every row of ``documents``.
 
     NULL and empty texts have no words and fail the base rule. Without labels only the base rule
-    rejects. The table of cutoffs has one row per stratum; its size is that of the strata.
+    rejects. A measure equal to its cutoff passes; of cutoffs of equal gain the first of the grid
+    counts. Repeated rows are judged alike, and those with a label count as often as they occur.
+    Whole texts are measured, whatever their length; an empty table gives no rows. The table of
+    cutoffs has one row per stratum; its size is that of the strata.
     """
     measured = stage(measures(documents), "quality")
     chosen = cutoffs(measured, labels, alpha, delta).collect()  # one row per stratum and rule

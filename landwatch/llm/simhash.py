@@ -219,7 +219,8 @@ def simhash_groups(documents: DataFrame, shingle_words: int = 3, max_bits: int =
 
     Equal fingerprints are one class and enter the trees once, by their smallest doc_id, however
     many rows share them. NULL, empty and blank texts have fingerprint zero and link like any
-    other. A NULL doc_id gets the class of its fingerprint. Repeated rows are kept.
+    other. A NULL doc_id gets the class of its fingerprint. Repeated rows are kept. Long texts are
+    hashed whole, in chunks; a bit set in exactly half of the hashes is 0. An empty table gives no rows.
     """
     if max_bits > 3:
         raise ValueError("halves one bit apart find pairs of at most 3 differing bits")

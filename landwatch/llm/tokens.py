@@ -71,7 +71,8 @@ def section_tokens(documents: DataFrame, separator: str = "\n", rule: str = "sta
 
     ``n_crossing``: counted tokens that also reach into another section. NULL and empty texts have
     one empty section. Each row of ``documents`` is handled alone, so repeated rows give repeated
-    rows; other columns are not read. The vocabulary's path must be readable on every executor.
+    rows; other columns are not read, and an empty table gives no rows. Texts are encoded whole,
+    whatever their length. The vocabulary's path must be readable on every executor.
     """
     if rule not in ("start", "end", "most"):
         raise ValueError(f"unknown rule: {rule}")

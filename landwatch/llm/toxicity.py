@@ -132,7 +132,8 @@ def fit(documents: DataFrame, labels: DataFrame, label_col: str = "label", per_l
 
     ``labels``: ``key_col`` and ``label_col``. The sample's sparse bags are made on the executors;
     the driver receives about 2 * ``per_label`` of them, each with no more than ``max_chars`` * 4
-    entries.
+    entries. Rows repeated under one id all enter the fit; NULL ids and labels do not, nor do NULL
+    texts. Empty tables, and labels of one kind, give a model that scores every text the share of label 1.
     """
     known = labels.where(F.col(label_col).isin(0, 1))
     share = known.agg(F.avg(F.col(label_col).cast("double"))).first()[0]
@@ -154,6 +155,10 @@ def score(model: Model) -> Callable[[Column], Column]:
 
 
 def scored(documents: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """Columns doc_id, score, predicted for every row; repeated rows and ties are scored alike."""
+    """Columns doc_id, score, predicted for every row; repeated rows and ties are scored alike.
+
+    Whole texts are scored, block by block, whatever their length; a score equal to ``threshold``
+    is predicted 1. NULL and empty texts score the bias alone; an empty table gives no rows.
+    """
     s: Column = score(model)(F.col(text_col))
     return documents.select("doc_id", s.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

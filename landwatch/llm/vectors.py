@@ -243,7 +243,8 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, vector_col:
     id, and counted with their number; links between classes become counts and a spanning forest
     in each pair of tiles, so a group of near copies never turns into a list of its pairs. Two
     tiles are held at a time. A vector with a NULL id is compared with none. Repeated rows count
-    as vectors of their own.
+    as vectors of their own. A cosine equal to the threshold links. An empty table gives no rows,
+    and columns of other names are not read.
     """
     if threshold <= 0:
         raise ValueError("the threshold must be above 0")

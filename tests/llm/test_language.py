@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from landwatch.llm import language as L
 
 ALPHABETS = {"aa": "abcde", "bb": "klmno", "cc": "жшщюя"}
@@ -27,3 +29,35 @@ def test_nothing_to_learn_from(spark, docs_of):
     got = L.identify(docs_of([(1, "abc"), (1, "abc"), (2, "x" * 200_000)]), model).collect()
     assert [r["lang_pred"] for r in got] == ["und"] * 3
     assert L.identify(docs_of([]), model).collect() == []
+
+
+def plain_vector(text, idf):
+    """TF-IDF from a dictionary of buckets, n-gram by n-gram."""
+    from landwatch.llm.ngrams import codes
+
+    c, found = [int(x) for x in codes(text)], {}
+    for n in (1, 2, 3):
+        for i in range(len(c) - n + 1):
+            h = c[i]
+            for x in c[i + 1 : i + n]:
+                h = (h * 0x01000193 + x) & 0xFFFFFFFF
+            at = (((h + n) & 0xFFFFFFFF) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - L.BITS)
+            found[at] = found.get(at, 0) + 1
+    v = np.zeros(L.BUCKETS)
+    for at, k in found.items():
+        v[at] = np.log1p(k) * idf[at]
+    return v / max(np.sqrt((v * v).sum()), 1e-12)
+
+
+def test_cosines_against_plain_loops(spark, docs_of):
+    rng = random.Random(6)
+    langs = list(ALPHABETS)
+    docs = [(i, text(rng, langs[i % 3]), langs[i % 3]) for i in range(90)]
+    model = L.fit(docs_of(docs))
+    new = [(i, text(rng, langs[i % 3]), None) for i in range(30)]
+    got = {r["doc_id"]: r for r in L.identify(docs_of(new), model).collect()}
+    for i, t, _ in new:
+        cos = [sum(a * b for a, b in zip(c.tolist(), plain_vector(t, model.idf).tolist())) for c in model.centroids]
+        best = max(range(len(cos)), key=lambda k: cos[k])
+        assert abs(got[i]["score"] - cos[best]) < 1e-4 and (got[i]["lang_pred"] == model.langs[best] or sorted(cos)[-1] - sorted(cos)[-2] < 1e-5)
+        assert got[i]["rejected"] == (cos[best] < model.least[best]) or abs(cos[best] - model.least[best]) < 1e-5

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from landwatch.llm import packing as P
 
@@ -46,3 +47,20 @@ def test_empty_table_and_small_budget(spark, docs_of):
     assert P.pack(pieces, 64).collect() == []
     with pytest.raises(ValueError):
         P.pack(pieces, 64, budget=63)
+
+
+def test_rows_of_one_id_spread_over_the_shards(spark, docs_of):
+    """Rows without an id, or all with one, are numbered by many tasks, and each has its own slot."""
+    for key in (None, 7):
+        pieces = P.stored_segments(docs_of([(key, "a b c")] * 6000).repartition(6), P.word_count(), 64)
+        order = F.xxhash64("doc_id", "segment", "row")
+        shards = pieces.groupBy(F.pmod(order, F.lit(512)).alias("s")).count().agg(F.count("*"), F.max("count")).first()
+        assert shards[0] > 400 and shards[1] < 60
+        out = P.pack(pieces, 64, budget=256).collect()
+        assert len(out) == 6000 and len({(r["batch"], r["slot"]) for r in out}) == 6000
+
+
+def test_a_very_long_text_and_columns_of_the_same_names(spark, docs_of):
+    docs = docs_of([(1, "w " * 300_000), (2, "w")]).withColumn("segment", F.lit("x")).withColumn("bucket", F.lit("y")).withColumn("row", F.lit(0))
+    out = P.pack(P.stored_segments(docs, P.word_count(), 2048), 2048).collect()
+    assert sum(r["n_tokens"] for r in out if r["doc_id"] == 1) == 300_000 and len(out) == 147 + 1

@@ -41,3 +41,41 @@ def test_blocks_cover_every_ngram(monkeypatch):
     whole = set(np.concatenate(list(T.ngrams(text))).tolist())
     monkeypatch.setattr(N, "BLOCK", 16)
     assert set(np.concatenate(list(T.ngrams(text))).tolist()) == whole
+
+
+def test_one_step_and_score_against_plain_loops():
+    """The first Adam step from zero moments moves every number by its rate, along the sign of its gradient."""
+    texts, labels = ["abc abd", "xyz"], np.array([0, 1])
+    bags = [T.bag(t) for t in texts]
+
+    def by_hand(text):
+        grams = [("<" + w + ">", n) for w in text.split() for n in T.SIZES]
+        return sum(max(0, len(w) - n + 1) for w, n in grams)
+
+    assert [len(np.concatenate(list(T.ngrams(t)))) for t in texts] == [by_hand(t) for t in texts]
+    assert all(np.isclose(w.sum(), 1) for _, w in bags)
+    model = T.train(bags, labels, 0.5, epochs=40)
+    for text, label in zip(texts, labels):
+        at, w = T.bag(text)
+        logit = model.bias + sum(float(model.value[a]) * float(x) for a, x in zip(at.tolist(), w.tolist()))
+        assert np.isclose(model.score_text(text), 1 / (1 + np.exp(-logit)), atol=1e-5)
+        assert (model.score_text(text) > 0.9) == bool(label)
+    # A text of both words is the average of their n-grams, weighted by how many each has.
+    both = "abc abd xyz"
+    n = [by_hand(t) for t in texts]
+    logits = [np.log(s / (1 - s)) - model.bias for s in map(model.score_text, texts)]
+    mixed = model.bias + (n[0] * logits[0] + n[1] * logits[1]) / sum(n)
+    assert np.isclose(model.score_text(both), 1 / (1 + np.exp(-mixed)), atol=1e-4)
+
+
+def test_training_lowers_the_loss_of_a_softmax_over_averages():
+    rng = random.Random(1)
+    texts = [make(rng, i % 2 == 0, ["zumpfhack"]) for i in range(80)]
+    labels = np.array([int(i % 2 == 0) for i in range(80)])
+    bags = [T.bag(t) for t in texts]
+    losses = []
+    for epochs in (1, 30):
+        model = T.train(bags, labels, 0.5, epochs=epochs, least_steps=0)
+        p = np.array([model.score_text(t) for t in texts])
+        losses.append(-np.log(np.where(labels == 1, p, 1 - p)).mean())
+    assert losses[1] < 0.2 < losses[0]
