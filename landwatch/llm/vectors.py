@@ -3,8 +3,9 @@
 Vectors are scaled to length one and rotated so that the leading dimensions hold most of their
 spread. The dot product of two vectors is that of their leading dimensions plus a rest no larger
 than the product of their suffix norms, so a pair is given up as soon as the two cannot reach the
-threshold. The same bound, taken over whole tiles, skips pairs of tiles. Tiles are the cells of a
-k-d tree over the leading dimensions; its cuts are set from a sample and only shape the work.
+threshold. The same bound, taken over whole tiles, skips pairs of tiles. Tiles are blocks of the cells
+of a k-d tree over the leading dimensions, of bounded size however many vectors there are; the
+tree's cuts are set from a sample and only shape the work.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from pyspark.sql import functions as F
 
 from landwatch.llm.common import stage
 from landwatch.llm.components import components
-from landwatch.llm.groups import sorted_groups
+from landwatch.llm.groups import runs
 
-#: Vectors a tile should hold, and most tiles: beyond that many vectors, tiles grow instead.
-TILE, MOST_TILES = 2048, 4096
+#: Vectors of a block, cells of the tree at most (a cell has as many blocks as it needs), and blocks a task cuts at once.
+TILE, MOST_CELLS, HELD_TILES = 2048, 4096, 4
 #: Vectors the cuts of the k-d tree are set from.
 SAMPLE = 20_000
 #: Leading dimensions that place a vector in a tile.
@@ -156,83 +157,159 @@ def spanning(names: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int,
     return out
 
 
+def _boxes(points: np.ndarray) -> list[float]:
+    return [*points.min(0).tolist(), *points.max(0).tolist()]
+
+
+def _apart(box: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Least squared distance between points of a box and of each other box (lows, then highs)."""
+    k = len(box) // 2
+    gap = np.maximum(0, np.maximum(box[:k] - others[:, k:], others[:, :k] - box[k:]))
+    return (gap**2).sum(1)
+
+
+BLOCK_ROW = "cell long, block long, box array<double>, id binary, n binary, v binary"
+
+
+def cell_blocks(classes: DataFrame, cells: Cells, q: np.ndarray, kind: type) -> DataFrame:
+    """The vectors of each cell as blocks of at most ``TILE``, each with its bounding box.
+
+    A cell's rows are dealt over as many shares as its number asks for, so that one with most
+    vectors is cut by many tasks; a task holds one share's last ``HELD_TILES`` tiles. Cuts go along the
+    widest dimension, which keeps the boxes small.
+    """
+
+    def counts(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        total = np.zeros(1 << cells.depth, np.int64)
+        for pdf in batches:
+            if len(pdf):
+                total += np.bincount(cells.tile(keys_of(unit(np.stack(pdf["v"])), q)), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"cell": at, "n": total[at]})
+
+    sizes = np.zeros(1 << cells.depth, np.int64)
+    for r in classes.select("v").mapInPandas(counts, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # MOST_CELLS rows at most
+        sizes[r["cell"]] = r["n"]
+    shares = -(-sizes // (HELD_TILES * TILE))
+
+    def fragments(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            v, ids, ns = np.stack(pdf["v"]).astype(kind, copy=False), pdf["id"].to_numpy(), pdf["n"].to_numpy()
+            cell = cells.tile(keys_of(unit(v), q))
+            share = cell * (1 << 32) + (ids * 0x9E3779B1 >> 7) % shares[cell]
+            order = np.argsort(share, kind="stable")
+            bounds = runs(share[order])
+            rows = [(int(share[own[0]]), *(np.ascontiguousarray(x[own]).tobytes() for x in (ids, ns, v))) for own in (order[a:b] for a, b in zip(bounds[:-1], bounds[1:]))]
+            yield pd.DataFrame(rows, columns=["share", "id", "n", "v"])
+
+    def cut(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 40
+
+        def blocks(share: int, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterable[tuple]:
+            nonlocal number
+            ids, ns, v = (np.concatenate(x) for x in zip(*parts))
+            points = keys_of(unit(v), q)
+            waiting = [np.arange(len(ids))]
+            while waiting:
+                own = waiting.pop()
+                if len(own) > TILE:
+                    d = int(np.ptp(points[own], axis=0).argmax())
+                    own = own[np.argsort(points[own, d], kind="stable")]
+                    waiting += [own[: len(own) // 2], own[len(own) // 2 :]]
+                    continue
+                yield (share >> 32, number, _boxes(points[own]), ids[own].tobytes(), ns[own].tobytes(), np.ascontiguousarray(v[own]).tobytes())
+                number += 1
+
+        names = [c.split(" ")[0] for c in BLOCK_ROW.split(", ")]
+        last, held, size = None, [], 0
+        for pdf in batches:
+            for share, *blobs in pdf[["share", "id", "n", "v"]].itertuples(index=False, name=None):
+                if held and (share != last or size >= HELD_TILES * TILE):
+                    yield pd.DataFrame(list(blocks(last, held)), columns=names)
+                    held, size = [], 0
+                last = share
+                ids, ns = (np.frombuffer(b, np.int64) for b in blobs[:2])
+                held.append((ids, ns, np.frombuffer(blobs[2], kind).reshape(len(ids), -1)))
+                size += len(ids)
+        if held:
+            yield pd.DataFrame(list(blocks(last, held)), columns=names)
+
+    dealt = classes.select("id", "n", "v").mapInPandas(fragments, "share long, id binary, n binary, v binary")
+    return stage(dealt.repartition("share").sortWithinPartitions("share").mapInPandas(cut, BLOCK_ROW), "vector-blocks")
+
+
+def block_pairs(blocks: DataFrame, threshold: float, k: int = LEADING + 1) -> DataFrame:
+    """(a, b), a <= b: the pairs of blocks whose boxes are near enough to hold a link, found in Spark.
+
+    ``k``: numbers that place a vector. The boxes of the cells, of which there are at most ``MOST_CELLS``, are compared by the tasks of a
+    small table of cells; blocks then meet along the pairs of cells, as boxes without vectors.
+    """
+    most = 2 - 2 * threshold + SLACK  # squared distance of unit vectors at the threshold
+    ends = [(F.min if e < k else F.max)(F.get("box", F.lit(e))).alias(f"e{e}") for e in range(2 * k)]
+    table = blocks.groupBy("cell").agg(*ends).orderBy("cell").toArrow()  # MOST_CELLS rows at most
+    cell = table["cell"].to_numpy()
+    boxes = np.stack([table[f"e{e}"].to_numpy() for e in range(2 * k)], 1) if len(cell) else np.zeros((0, 2 * k))
+
+    def near(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for pdf in batches:
+            for at in pdf["id"]:
+                other = at + np.flatnonzero(_apart(boxes[at], boxes[at:]) <= most)
+                yield pd.DataFrame({"s": cell[at], "t": cell[other]})
+
+    cells = blocks.sparkSession.range(len(cell)).mapInPandas(near, "s long, t long")
+    light = blocks.select("cell", "block", "box")
+    met = cells.join(light.select(F.col("cell").alias("s"), F.col("block").alias("a"), F.col("box").alias("x")), "s").join(
+        light.select(F.col("cell").alias("t"), F.col("block").alias("b"), F.col("box").alias("y")), "t"
+    ).where((F.col("s") < F.col("t")) | (F.col("a") <= F.col("b")))
+    gaps = [F.greatest(F.lit(0.0), F.get("x", F.lit(i)) - F.get("y", F.lit(i + k)), F.get("y", F.lit(i)) - F.get("x", F.lit(i + k))) for i in range(k)]
+    return met.where(sum((g * g for g in gaps), F.lit(0.0)) <= most).select("a", "b")
+
+
 def tile_links(classes: DataFrame, dim: int, threshold: float) -> DataFrame:
-    """Compare all pairs of tiles that may hold a link; tiles travel as blocks, not row by row.
+    """Compare all pairs of blocks that may hold a link; each pair is one row and two blocks of at most ``TILE`` vectors.
 
     Returns (kind, a, b): kind 0: class a is linked to b vectors of other classes; kind 1: a and b are linked, enough for components."""
     n = classes.count()
     q = rotation(classes, dim)
     share = min(1.0, SAMPLE / max(1, n))
     drawn = classes.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 20)) < share * (1 << 20)).select("v").collect()
-    tiles = min(MOST_TILES, max(1, n // TILE))
     points = keys_of(unit(np.array([r["v"] for r in drawn])), q) if drawn else np.zeros((0, LEADING + 1))
-    cells = Cells(points, int(np.ceil(np.log2(tiles))))
-
-    def bounds(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                k = keys_of(unit(np.stack(pdf["v"])), q)
-                t = cells.tile(k)
-                for tile in np.unique(t):
-                    own = k[t == tile]
-                    yield pd.DataFrame({"tile": tile, "dim": np.arange(k.shape[1]), "lo": own.min(0), "hi": own.max(0)})
-
-    boxes = classes.select("v").mapInPandas(bounds, "tile long, dim int, lo double, hi double")
-    boxes = boxes.groupBy("tile", "dim").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()  # MOST_TILES * 9 rows at most
-    lo, hi = np.full((1 << cells.depth, points.shape[1]), np.inf), np.full((1 << cells.depth, points.shape[1]), -np.inf)
-    for r in boxes:
-        lo[r["tile"], r["dim"]], hi[r["tile"], r["dim"]] = r["lo"], r["hi"]
-    used = np.flatnonzero(np.isfinite(lo[:, 0])) if points.shape[1] else np.zeros(0, np.int64)
-    most = 2 - 2 * threshold + SLACK  # squared distance of unit vectors at the threshold
-    partners: list[list[tuple[int, int]]] = [[] for _ in range(1 << cells.depth)]
-    for t in used:
-        gap = np.maximum(0, np.maximum(lo[t] - hi[used], lo[used] - hi[t]))
-        for u in used[(gap**2).sum(1) <= most]:
-            if t <= u:
-                pair = int(t) * (1 << cells.depth) + int(u)
-                partners[t].append((pair, 0))
-                if t != u:
-                    partners[u].append((pair, 1))
-    sent = [np.array(p, np.int64).reshape(-1, 2) for p in partners]
-
-    element = dict(classes.dtypes)["v"]
-    kind = np.float32 if element == "array<float>" else np.float64
-
-    def deal(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            v = np.stack(pdf["v"]).astype(kind, copy=False)
-            t = cells.tile(keys_of(unit(v), q))
-            for tile in np.unique(t):
-                own = t == tile
-                block = [np.ascontiguousarray(x[own]).tobytes() for x in (pdf["id"].to_numpy(), pdf["n"].to_numpy(), v)]
-                to = sent[tile]
-                yield pd.DataFrame({"pair": to[:, 0], "side": to[:, 1].astype(np.int32), "id": block[0], "n": block[1], "v": block[2]})
+    cells = Cells(points, int(np.ceil(np.log2(min(MOST_CELLS, max(1, n // TILE))))))
+    kind = np.float32 if dict(classes.dtypes)["v"] == "array<float>" else np.float64
+    blocks = cell_blocks(classes, cells, q, kind)
 
     def compare(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for g in sorted_groups(batches, "pair"):
-            ids, ns = (np.concatenate([np.frombuffer(b, np.int64) for b in g[c]]) for c in ("id", "n"))
-            x = unit(np.concatenate([np.frombuffer(b, kind).reshape(-1, dim) for b in g["v"]]))
-            cut = sum(len(b) // 8 for b, side in zip(g["id"], g["side"]) if side == 0)
-            same = cut == len(x)
-            left, right = x[:cut], x if same else x[cut:]
-            shift = 0 if same else cut
-            linked, names, found = np.zeros(len(x), np.int64), np.arange(len(x)), []
-            for i, j in close_pairs(left, right, q, threshold):
-                keep = i < j if same else slice(None)
-                i, j = i[keep], j[keep] + shift
-                linked += np.bincount(i, ns[j], len(x)).astype(np.int64) + np.bincount(j, ns[i], len(x)).astype(np.int64)
-                found += spanning(names, i, j)
-            at = np.flatnonzero(linked)
-            ends = np.array(found, np.int64).reshape(-1, 2)
-            yield pd.DataFrame({
-                "kind": np.repeat(np.array([0, 1], np.int32), [len(at), len(ends)]),
-                "a": np.concatenate((ids[at], ids[ends[:, 0]])), "b": np.concatenate((linked[at], ids[ends[:, 1]])),
-            })
-
-    dealt = classes.select("id", "n", "v").mapInPandas(deal, "pair long, side int, id binary, n binary, v binary")
-    return dealt.repartition("pair").sortWithinPartitions("pair", "side").mapInPandas(compare, "kind int, a long, b long")
+        for pdf in batches:
+            for a, b, *blobs in pdf[["a", "b", "id", "n", "v", "id2", "n2", "v2"]].itertuples(index=False, name=None):
+                same = a == b
+                sides = [blobs[:3]] if same else [blobs[:3], blobs[3:]]
+                ids, ns = (np.concatenate([np.frombuffer(s[c], np.int64) for s in sides]) for c in (0, 1))
+                x = unit(np.concatenate([np.frombuffer(s[2], kind).reshape(-1, dim) for s in sides]))
+                cut = len(sides[0][0]) // 8
+                left, right = x[:cut], x if same else x[cut:]
+                shift = 0 if same else cut
+                linked, names, found = np.zeros(len(x), np.int64), np.arange(len(x)), []
+                for i, j in close_pairs(left, right, q, threshold):
+                    keep = i < j if same else slice(None)
+                    i, j = i[keep], j[keep] + shift
+                    linked += np.bincount(i, ns[j], len(x)).astype(np.int64) + np.bincount(j, ns[i], len(x)).astype(np.int64)
+                    found += spanning(names, i, j)
+                at = np.flatnonzero(linked)
+                if len(at):
+                    ends = np.array(found, np.int64).reshape(-1, 2)
+                    yield pd.DataFrame({
+                        "kind": np.repeat(np.array([0, 1], np.int32), [len(at), len(ends)]),
+                        "a": np.concatenate((ids[at], ids[ends[:, 0]])), "b": np.concatenate((linked[at], ids[ends[:, 1]])),
+                    })
+
+    whole = blocks.select(F.col("block").alias("a"), "id", "n", "v")
+    other = blocks.select(F.col("block").alias("b"), *[F.col(c).alias(f"{c}2") for c in ("id", "n", "v")])
+    pairs = stage(block_pairs(blocks, threshold, points.shape[1] if len(points) else min(dim, LEADING) + 1), "block-pairs")
+    return pairs.join(whole, "a").join(other, "b").mapInPandas(compare, "kind int, a long, b long")
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, vector_col: str = "embedding", key_col: str = "vec_id") -> DataFrame:
@@ -241,8 +318,8 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.95, vector_col:
     Vectors that are NULL, empty, zero or hold a NULL or non-finite component link with nothing,
     nor do vectors of different lengths link. Equal vectors are compared once, by their smallest
     id, and counted with their number; links between classes become counts and a spanning forest
-    in each pair of tiles, so a group of near copies never turns into a list of its pairs. Two
-    tiles are held at a time. A vector with a NULL id is compared with none. Repeated rows count
+    in each pair of blocks, so a group of near copies never turns into a list of its pairs. Two
+    blocks are compared at a time. A vector with a NULL id is compared with none. Repeated rows count
     as vectors of their own. A cosine equal to the threshold links. An empty table gives no rows,
     and columns of other names are not read.
     """

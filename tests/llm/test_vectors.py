@@ -41,3 +41,28 @@ def test_empty_table_null_ids_and_repeated_rows(spark):
     got = V.near_duplicates(spark.createDataFrame([(None, [1.0, 0.0]), (3, [1.0, 0.0]), (3, [1.0, 0.0]), (5, [2.0, 0.0])], schema)).collect()
     assert sorted(tuple(r) for r in got if r[0] is not None) == [(3, 2, 3, True), (3, 2, 3, True), (5, 2, 3, False)]
     assert [tuple(r) for r in got if r[0] is None] == [(None, 0, None, False)]
+
+
+def test_blocks_are_bounded_and_hold_every_vector_once(spark, monkeypatch):
+    """Most vectors fall in one cell; its blocks stay small and their boxes hold their points."""
+    monkeypatch.setattr(V, "TILE", 16)
+    rng = np.random.default_rng(3)
+    x = np.concatenate((np.ones((500, 12)) + rng.normal(scale=0.01, size=(500, 12)), rng.normal(size=(100, 12))))
+    rows = [(i, 1 + i % 3, [float(a) for a in v]) for i, v in enumerate(x)]
+    classes = spark.createDataFrame(rows, "id long, n long, v array<double>").repartition(5)
+    q = V.rotation(classes, 12)
+    cells = V.Cells(V.keys_of(V.unit(x[500:]), q), 3)
+    blocks = V.cell_blocks(classes, cells, q, np.float64).collect()
+    ids = [np.frombuffer(b["id"], np.int64) for b in blocks]
+    assert sorted(np.concatenate(ids).tolist()) == list(range(600)) and max(map(len, ids)) <= 16
+    assert len({b["block"] for b in blocks}) == len(blocks)
+    for b, own in zip(blocks, ids):
+        points = V.keys_of(V.unit(x[own]), q)
+        assert np.allclose(b["box"], V._boxes(points)) and (np.frombuffer(b["n"], np.int64) == 1 + own % 3).all()
+        assert np.allclose(np.frombuffer(b["v"]).reshape(len(own), -1), x[own]) and (cells.tile(points) == b["cell"]).all()
+    pairs = {(r["a"], r["b"]) for r in V.block_pairs(spark.createDataFrame(blocks, V.BLOCK_ROW), 0.9).collect()}
+    of = {i: b["block"] for b, own in zip(blocks, ids) for i in own.tolist()}
+    u = V.unit(x)
+    for i, j in zip(*np.nonzero(u @ u.T >= 0.9)):
+        assert (of[i], of[j]) in pairs or (of[j], of[i]) in pairs
+    assert len(pairs) < len(blocks) * (len(blocks) + 1) // 2
