@@ -232,13 +232,17 @@ def simhash_groups(documents: DataFrame, shingle_words: int = 3, max_bits: int =
     return prints.join(named, "code").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
-#: Texts whose shingles tell frequent from rare, and the most frequent ones kept: they shape the work, not the result.
-SAMPLE, FREQUENT = 4096, 1 << 18
-#: Compared pairs for each row left, above which links to one text of each group are tried before all pairs.
-PAIRS = 20
-#: Rows of a block of shingles given to Spark at once.
+#: Texts whose shingles tell frequent from rare (so many, and a twelfth of a large corpus), and the most frequent ones
+#: kept: they shape the work, not the result.
+SAMPLE, SAMPLED_SHARE, FREQUENT = 4096, 12, 1 << 18
+#: Compared pairs for each row left, above which links to one text of each group are tried before all pairs, as long as
+#: a turn of them leaves at most this share of the pairs.
+PAIRS, PROGRESS = 20, 0.5
+#: Bits of the fixed-size table that tells shingles of several texts from most others.
+MARKS = 26
+#: Shingles of the rows given to Spark at once.
 BLOCK = 1 << 17
-PREFIXES = "id long, digest long, digest2 long, n int, token long, pos int"
+PREFIXES = "id long, digest long, digest2 long, n int, tokens array<long>"
 
 
 def shingles_of(words: list[bytes], k: int) -> np.ndarray:
@@ -264,7 +268,7 @@ def prefix(shingles: np.ndarray, frequent: np.ndarray, rank: np.ndarray, similar
 
 
 def _frequent(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles of about ``SAMPLE`` texts in order of their number, and how often each occurs there."""
+    """The most frequent shingles of a sample of texts in order of their number, and how often each occurs there."""
 
     def sampled(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for pdf in batches:
@@ -274,7 +278,8 @@ def _frequent(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
                     yield pd.DataFrame({"token": shingles_of(words, k).view(np.int64)})
 
     spread = F.pmod(F.xxhash64("doc_id", F.lit("shingles")), F.lit(1 << 32))
-    some = rows.where(spread < SAMPLE / max(1, rows.count()) * (1 << 32)).mapInPandas(sampled, "token long")
+    share = max(SAMPLE / max(1, rows.count()), 1 / SAMPLED_SHARE)
+    some = rows.where(spread < share * (1 << 32)).mapInPandas(sampled, "token long")
     counts = some.groupBy("token").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
     token = counts["token"].to_numpy().view(np.uint64)
     by_token = np.argsort(token)
@@ -282,18 +287,12 @@ def _frequent(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(rows: DataFrame, k: int, similarity: float) -> DataFrame:
-    """A row for every prefix shingle of every text with a word, at its place ``pos`` in the order; digests name the word sequence."""
+    """The prefix shingles of every text with a word, from rare to frequent; digests name the word sequence."""
     frequent, rank = _frequent(rows, k)
 
     def cut(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         held: list[tuple] = []
-        size = 0
-
-        def block() -> pd.DataFrame:
-            each = np.array([len(h[4]) for h in held])
-            columns = {c: np.repeat(np.array([h[i] for h in held], np.int64), each) for i, c in enumerate(("id", "digest", "digest2", "n"))}
-            return pd.DataFrame({**columns, "token": np.concatenate([h[4] for h in held]).view(np.int64), "pos": np.concatenate([np.arange(m) for m in each])})
-
+        size, names = 0, [c.split(" ")[0] for c in PREFIXES.split(", ")]
         for pdf in batches:
             for doc, t in zip(pdf["doc_id"], pdf["text"]):
                 words = words_of(t)
@@ -302,17 +301,49 @@ def prefixes(rows: DataFrame, k: int, similarity: float) -> DataFrame:
                 joined = xxhash.xxh128_intdigest(b" ".join(words))
                 shingles = shingles_of(words, k)
                 first = prefix(shingles, frequent, rank, similarity)
-                held.append((doc, signed(joined & ((1 << 64) - 1)), signed(joined >> 64), len(shingles), first))
+                held.append((doc, signed(joined & ((1 << 64) - 1)), signed(joined >> 64), len(shingles), first.view(np.int64)))
                 size += len(first)
                 if size >= BLOCK:
-                    yield block()
+                    yield pd.DataFrame(held, columns=names)
                     held, size = [], 0
         if held:
-            yield block()
+            yield pd.DataFrame(held, columns=names)
 
     return rows.mapInPandas(cut, PREFIXES)
 
 
+def _shared(classes: DataFrame) -> DataFrame:
+    """(token, id, n, pos) of the prefix shingles that several classes have.
+
+    Most shingles have one class only. A table of bits, whose size is fixed, drops most of those
+    before anything but the shingles' counts is moved; the rest go in an exact join.
+    """
+    often = stage(classes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "shared-shingles")
+    place = F.pmod("token", F.lit(1 << MARKS))
+    table = often.select((place / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("b"))
+    table = table.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # 2 ** (MARKS - 6) rows at most
+    marks = np.zeros(1 << (MARKS - 6), np.int64)
+    marks[table["w"].to_numpy()] = table["b"].to_numpy()
+
+    def marked(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        bits = marks.view(np.uint64)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            sizes = np.array([len(t) for t in pdf["tokens"]])
+            token = np.concatenate([np.asarray(t, np.int64) for t in pdf["tokens"]])
+            at = token & ((1 << MARKS) - 1)
+            keep = (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+            starts = np.repeat(np.cumsum(sizes) - sizes, sizes)
+            yield pd.DataFrame({
+                "token": token[keep], "id": np.repeat(pdf["id"].to_numpy(), sizes)[keep], "n": np.repeat(pdf["n"].to_numpy(), sizes)[keep],
+                "pos": (np.arange(len(token)) - starts)[keep].astype(np.int32),
+            })
+
+    rows = classes.select("id", "n", "tokens").mapInPandas(marked, "token long, id long, n int, pos int")
+    return rows.join(often, "token", "left_semi").distinct()
+
+
 def _may_be_similar(similarity: float) -> Column:
     """Whether x and y can still be similar if the shingle they share here is their first: sizes, and shingles left from there on."""
     left = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
@@ -375,13 +406,11 @@ def similar_groups(documents: DataFrame, similarity: float = 0.8, shingle_words:
 
     rows = documents.where(F.col(key_col).isNotNull()).select(F.col(key_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     every = stage(prefixes(rows, shingle_words, similarity), "prefixes")
-    named_rows = every.where("pos = 0").select(F.col("id").alias("doc_id"), "digest", "digest2")
-    classes = stage(named_rows.groupBy("digest", "digest2").agg(F.min("doc_id").alias("id")), "classes")
-    # A shingle of one class only, however many rows it has, joins nothing.
-    shared = every.groupBy("token").agg(*[f(c).alias(f"{c}_{f.__name__}") for c in ("digest", "digest2") for f in (F.min, F.max)])
-    shared = shared.where("digest_min < digest_max OR digest2_min < digest2_max").select("token")
-    held = every.select("token", "id", "n", "pos").join(shared, "token").join(classes.select("id"), "id", "left_semi")
-    held = stage(held.distinct(), "shared-prefixes")
+    named_rows = every.select(F.col("id").alias("doc_id"), "digest", "digest2")
+    one = F.min_by(F.struct("id", "n", "tokens"), "id").alias("one")
+    whole = stage(every.groupBy("digest", "digest2").agg(one).select("digest", "digest2", "one.*"), "classes")
+    classes = whole.select("digest", "digest2", "id")
+    held = stage(_shared(whole), "shared-prefixes")
     ends = held.select(F.col("id").alias("doc_id")).distinct()
     texts = stage(rows.select("doc_id", pack("text").alias("packed")).join(ends, "doc_id").groupBy(F.col("doc_id").alias("id")).agg(F.first("packed").alias("packed")), "texts")
 
@@ -392,12 +421,13 @@ def similar_groups(documents: DataFrame, similarity: float = 0.8, shingle_words:
     links = found = None
     near = _may_be_similar(similarity)
     size = F.floor(F.log("n") / -math.log(similarity)) if similarity < 1 else F.col("n")
-    still = stage(held.withColumn("c", F.col("id")), "open-prefixes")
+    still, before = stage(held.withColumn("c", F.col("id")), "open-prefixes"), float("inf")
     for turn in range(8):
         per = still.groupBy("token", "c").agg(F.count("*").cast("double").alias("m")).groupBy("token").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"))
         n, pairs = per.agg(F.sum("m"), F.sum(F.col("m") * F.col("m") - F.col("own")) / 2).first()
-        if turn and (not n or pairs <= PAIRS * n):
+        if turn and (not n or pairs <= PAIRS * n or pairs > PROGRESS * before):
             break
+        before = pairs
         sized = still.withColumn("size", size)
         # Another text each turn, so that what is far from one can be near the next.
         one = F.min_by(F.struct("id", "n", "pos", "c"), F.xxhash64("c", F.lit(turn)) if turn else F.col("id"))
