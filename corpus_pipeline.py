@@ -27,7 +27,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with a similarity of 0.8 or more on five-word shingles."""
+    """One document of each group with a similarity of 0.8 or more on five-word shingles.
+
+    SimHash fingerprints meet in vantage-point trees; every link is checked on the whole texts,
+    and an exact search finds the similar texts whose fingerprints are too far apart.
+    """
     return simhash.drop_similar(docs, similarity=0.8, shingle_words=5)
 
 

@@ -242,7 +242,7 @@ PAIRS, PROGRESS = 20, 0.5
 MARKS = 26
 #: Shingles of the rows given to Spark at once.
 BLOCK = 1 << 17
-PREFIXES = "id long, digest long, digest2 long, n int, tokens array<long>"
+PREFIXES = "id long, digest long, digest2 long, code long, n int, tokens array<long>"
 
 
 def shingles_of(words: list[bytes], k: int) -> np.ndarray:
@@ -287,7 +287,7 @@ def _frequent(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(rows: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The prefix shingles of every text with a word, from rare to frequent; digests name the word sequence."""
+    """The SimHash and the prefix shingles, from rare to frequent, of every text with a word; digests name the word sequence."""
     frequent, rank = _frequent(rows, k)
 
     def cut(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
@@ -299,9 +299,11 @@ def prefixes(rows: DataFrame, k: int, similarity: float) -> DataFrame:
                 if not words:
                     continue
                 joined = xxhash.xxh128_intdigest(b" ".join(words))
-                shingles = shingles_of(words, k)
+                hashes = list(shingle_hashes(words, k))
+                shingles = np.unique(np.concatenate(hashes))
                 first = prefix(shingles, frequent, rank, similarity)
-                held.append((doc, signed(joined & ((1 << 64) - 1)), signed(joined >> 64), len(shingles), first.view(np.int64)))
+                code = signed(majority(hashes))
+                held.append((doc, signed(joined & ((1 << 64) - 1)), signed(joined >> 64), code, len(shingles), first.view(np.int64)))
                 size += len(first)
                 if size >= BLOCK:
                     yield pd.DataFrame(held, columns=names)
@@ -374,6 +376,15 @@ def similar_pairs(edges: DataFrame, texts: DataFrame, k: int, similarity: float)
     return edges.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(compare, "a long, b long")
 
 
+def fingerprint_pairs(classes: DataFrame, max_bits: int = 3) -> DataFrame:
+    """Pairs (a, b) of classes (id, code) that are near by fingerprint: each class with the smallest of its own
+    fingerprint, and the links of the vantage-point trees between the fingerprints."""
+    least = stage(classes.groupBy("code").agg(F.min("id").alias("id")), "fingerprint-classes")
+    same = classes.join(least.withColumnRenamed("id", "first"), "code").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    trees = tree_links(least, ["code"], within_bits, max_bits)
+    return same.union(trees.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+
+
 def _joined(x: DataFrame, y: DataFrame, on: list[str]) -> DataFrame:
     """The rows of ``x`` and ``y`` that agree on the columns, as x and y."""
     same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in on]
@@ -391,10 +402,12 @@ def similar_groups(documents: DataFrame, similarity: float = 0.8, shingle_words:
     """(doc_id, component_id) of the documents that are not the smallest doc_id of their group.
 
     Two texts are similar if their sets of ``shingle_words``-word shingles (A-Z lower-cased) have
-    a Jaccard similarity of at least ``similarity``. Similar texts share a shingle of their
-    prefixes, so no pair is lost. Every link is checked on the whole texts before it joins
-    anything: first links to one text of each shingle and size, then all pairs that share a
-    prefix shingle, may be similar by size and place, and are in two components still. Equal word
+    a Jaccard similarity of at least ``similarity``. Every link is checked on the whole texts
+    before it joins anything: first those of the SimHash trees (``simhash_groups``) over the same
+    shingles. At 0.8 fingerprints lose pairs, so an exact search follows for what the trees left
+    apart. Similar texts share a shingle of their prefixes, so it loses no pair: links to one text
+    of each shingle and size, then all pairs that share a prefix shingle, may be similar by size
+    and place, and are in two components still. Equal word
     sequences are one class. Texts without a word, and rows with a NULL doc_id, are in no group;
     rows repeated under one doc_id are one document.
     """
@@ -407,21 +420,25 @@ def similar_groups(documents: DataFrame, similarity: float = 0.8, shingle_words:
     rows = documents.where(F.col(key_col).isNotNull()).select(F.col(key_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     every = stage(prefixes(rows, shingle_words, similarity), "prefixes")
     named_rows = every.select(F.col("id").alias("doc_id"), "digest", "digest2")
-    one = F.min_by(F.struct("id", "n", "tokens"), "id").alias("one")
+    one = F.min_by(F.struct("id", "code", "n", "tokens"), "id").alias("one")
     whole = stage(every.groupBy("digest", "digest2").agg(one).select("digest", "digest2", "one.*"), "classes")
     classes = whole.select("digest", "digest2", "id")
     held = stage(_shared(whole), "shared-prefixes")
     ends = held.select(F.col("id").alias("doc_id")).distinct()
     texts = stage(rows.select("doc_id", pack("text").alias("packed")).join(ends, "doc_id").groupBy(F.col("doc_id").alias("id")).agg(F.first("packed").alias("packed")), "texts")
 
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        return stage(similar_pairs(stage(pairs.distinct(), f"{name}-pairs"), texts, shingle_words, similarity), f"{name}-links")
+
     def checked(pairs: DataFrame, name: str) -> DataFrame:
-        tried = stage(pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct(), f"{name}-pairs")
-        return stage(similar_pairs(tried, texts, shingle_words, similarity), f"{name}-links")
+        return verified(pairs.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")), name)
 
-    links = found = None
+    # A class that shares no prefix shingle has no similar text, whatever its fingerprint: its text is not kept.
+    links = verified(fingerprint_pairs(whole.select("id", "code")), "tree")
+    found = stage(components(links), "found")
     near = _may_be_similar(similarity)
     size = F.floor(F.log("n") / -math.log(similarity)) if similarity < 1 else F.col("n")
-    still, before = stage(held.withColumn("c", F.col("id")), "open-prefixes"), float("inf")
+    still, before = _open(held, found), float("inf")
     for turn in range(8):
         per = still.groupBy("token", "c").agg(F.count("*").cast("double").alias("m")).groupBy("token").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("own"))
         n, pairs = per.agg(F.sum("m"), F.sum(F.col("m") * F.col("m") - F.col("own")) / 2).first()
@@ -435,12 +452,11 @@ def similar_groups(documents: DataFrame, similarity: float = 0.8, shingle_words:
         new = checked(_joined(sized, star, ["token", "size"]).where(F.col("x.c") != F.col("y.c")).where(near), "star")
         if new.isEmpty():
             break
-        links = new if links is None else links.union(new)
+        links = links.union(new)
         found = stage(components(links), "found")
         still = _open(held, found)
     pairs = _joined(still, still, ["token"]).where(F.col("x.c") != F.col("y.c")).where(near).where("x.n > y.n OR x.n = y.n AND x.id > y.id")
-    links = checked(pairs, "all") if links is None else links.union(checked(pairs, "all"))
-    found = components(links)
+    found = components(links.union(checked(pairs, "all")))
     named = stage(classes.join(found, "id", "left").select("digest", "digest2", F.coalesce("component", "id").alias("component_id")), "components")
     return named_rows.join(named, ["digest", "digest2"]).where(F.col("doc_id") != F.col("component_id")).select("doc_id", "component_id")
 

@@ -137,3 +137,29 @@ def test_links_below_the_threshold_hide_no_link_above_it(spark, docs_of):
     """A text close to two others by fingerprint, but similar to neither, must not stand for the link between them."""
     texts = around_the_threshold()
     assert {r["doc_id"] for r in S.drop_similar(docs_of(texts)).collect()} == kept_by_brute_force(texts)
+
+
+def test_similar_texts_go_through_the_trees(spark, docs_of, monkeypatch):
+    """The trees' links are tried first and leave only what fingerprints cannot find to the exact search."""
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(3000)]
+    texts = []
+    for i in range(0, 60, 3):
+        words = rng.choices(vocabulary, k=1200)
+        far = words + rng.choices(vocabulary, k=270)  # still similar, but many bits away
+        near = [*words[:600], rng.choice(vocabulary), *words[601:]]
+        texts += [(i, " ".join(words)), (i + 1, " ".join(near)), (i + 2, " ".join(far))]
+    prints = {i: brute_print(t, 5) for i, t in texts}
+    near = {(a, b) for a in prints for b in prints if a < b and bin(prints[a] ^ prints[b]).count("1") <= 3}
+    tried = {}
+    whole = S.similar_pairs
+
+    def seen(edges, *rest):
+        tried.setdefault("first", {(r["b"], r["a"]) for r in edges.select("a", "b").collect()})
+        return whole(edges, *rest)
+
+    monkeypatch.setattr(S, "similar_pairs", seen)
+    kept = {r["doc_id"] for r in S.drop_similar(docs_of(texts)).collect()}
+    assert len(near) >= 15 and tried["first"] and tried["first"] <= near
+    assert brute_components(list(prints), lambda a, b: (min(a, b), max(a, b)) in tried["first"]) == brute_components(list(prints), lambda a, b: (min(a, b), max(a, b)) in near)
+    assert kept == kept_by_brute_force(texts) == {i for i, _ in texts if i % 3 == 0}
