@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StructField, StructType
@@ -32,15 +30,13 @@ def _path(root: str, table: str) -> str:
     return f"{root.rstrip('/')}/{table}"
 
 
-def append_state(df: DataFrame, root: str, table: str, gathered: bool = False, days: int | None = None) -> None:
+def append_state(df: DataFrame, root: str, table: str, gathered: bool = False) -> None:
     """Append rows to a state table.
 
     Rows are brought together by date and first cluster column, so a file holds few
     connections and readers skip the others; the rebalance hint lets AQE split a key that
     holds too many rows and merge small ones. Rows are sorted inside each file. With
-    ``gathered`` the caller has brought them together before. ``days`` says how many dates the
-    rows have, where that is known: a date's rows are then dealt over fewer tasks the more dates
-    there are, since every task opens a file for each of its dates.
+    ``gathered`` the caller has brought them together before.
     """
     spec = _TABLES[table]
     missing = [f.name for f in spec.schema.fields if not f.nullable and f.name not in df.columns]
@@ -62,10 +58,7 @@ def append_state(df: DataFrame, root: str, table: str, gathered: bool = False, d
         path += f"/generation={read_pointer(df.sparkSession, root, STORE_OF[table]).generation}"
     rows = df.select(*columns).select(*checked).withColumn(spec.date_column, F.to_date(spec.time_column))
     if not gathered:
-        cluster = F.col(spec.cluster_by[0])
-        if days:
-            cluster = F.pmod(F.xxhash64(cluster), F.lit(math.ceil(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) / days)))
-        rows = rows.hint("rebalance", F.col(spec.date_column), cluster)
+        rows = rows.hint("rebalance", F.col(spec.date_column), F.col(spec.cluster_by[0]))
     (
         rows.sortWithinPartitions(spec.date_column, *spec.cluster_by)
         .write.mode("append")
@@ -99,9 +92,8 @@ def read_state(spark: SparkSession, root: str, table: str, deduplicate: bool = T
 def write_snapshot(snapshots: DataFrame, columns: DataFrame, root: str) -> None:
     """Append snapshots with their columns. Columns go first: the header row is what makes
     a snapshot visible, so a failure between the two writes leaves nothing half-visible."""
-    days = snapshots.select(F.to_date("captured_at")).distinct().count()
-    append_state(columns, root, "column_snapshots", days=days)
-    append_state(snapshots, root, "schema_snapshots", days=days)
+    append_state(columns, root, "column_snapshots")
+    append_state(snapshots, root, "schema_snapshots")
 
 
 def insert_drift_event(events: DataFrame, root: str, gathered: bool = False) -> None:
