@@ -158,8 +158,8 @@ def normalize_updates(updates: DataFrame) -> DataFrame | None:
     )
 
 
-def _latest_sets(updates: DataFrame, fields: list[str]) -> DataFrame:
-    """Per event and field the latest value that an update sets, beside what makes it the latest.
+def _ordered(updates: DataFrame, fields: list[str]) -> DataFrame:
+    """Updates with ``_order``, what makes one the latest.
 
     Ties in updated_at go to the further lifecycle status, then to a hash of the content, so
     the fold does not depend on read order.
@@ -175,15 +175,23 @@ def _latest_sets(updates: DataFrame, fields: list[str]) -> DataFrame:
         )
     # Ties are broken by content, computed once per row.
     content = F.xxhash64(F.array_join("set_fields", ","), *[F.col(c) for c in fields])
-    updates = updates.withColumn("_order", F.struct("updated_at", status_rank.alias("r"), content.alias("h")))
+    return updates.withColumn("_order", F.struct("updated_at", status_rank.alias("r"), content.alias("h")))
+
+
+def _latest_sets(updates: DataFrame, fields: list[str], used: list[str] | None = None) -> DataFrame:
+    """Per event and field the latest value that an update sets, beside what makes it the latest.
+    Fields outside ``used``, which no update sets, are left NULL and not looked for."""
+    used = fields if used is None else used
     aggregates = []
     for c in fields:
         if c == "updated_at":
             aggregates.append(F.max("updated_at").alias("_updated_at"))
             continue
-        order = F.when(F.array_contains("set_fields", c), F.col("_order"))
-        aggregates.append(F.max_by(F.struct(F.col("_order").alias("o"), F.col(c).alias("v")), order).alias(f"_{c}"))
-    return updates.groupBy("drift_id").agg(*aggregates)
+        if c in used:
+            order = F.when(F.array_contains("set_fields", c), F.col("_order"))
+            aggregates.append(F.max_by(F.struct(F.col("_order").alias("o"), F.col(c).alias("v")), order).alias(f"_{c}"))
+    sets = _ordered(updates, fields).groupBy("drift_id").agg(*aggregates)
+    return _all_sets(sets) if set(used) < set(fields) else sets
 
 
 def _with_sets(events: DataFrame, columns: list[str], fields: list[str]) -> DataFrame:
@@ -210,6 +218,22 @@ def fold_drift_events(inserted: DataFrame, updates: DataFrame | None) -> DataFra
 
 _SETS = list(DRIFT_UPDATE_FIELDS)
 _EVENT = [*STATE_TABLES["drift_events"].schema.names, STATE_TABLES["drift_events"].date_column]
+_ORDER = "struct<updated_at:timestamp,r:int,h:bigint>"
+
+
+def _all_sets(frame: DataFrame) -> DataFrame:
+    """``frame`` with a column for the sets of every field, NULL where it has none."""
+    types = {c: DRIFT_UPDATES.schema[c].dataType.simpleString() for c in _SETS}
+    missing = {
+        f"_{c}": F.lit(None).cast("timestamp" if c == "updated_at" else f"struct<o:{_ORDER},v:{types[c]}>")
+        for c in _SETS if f"_{c}" not in frame.columns
+    }
+    return frame.withColumns(missing) if missing else frame
+
+
+def _fields_set(updates: DataFrame) -> list[str]:
+    """The fields that any of the updates sets, at most as many as an event has."""
+    return [c for c, in updates.select(F.explode("set_fields")).distinct().where(F.col("col").isin(_SETS)).collect()]
 
 
 def _merged_sets(left: str, right: str) -> list:
@@ -232,9 +256,10 @@ def _drift_state(spark: SparkSession, root: str) -> tuple[DataFrame | None, Data
     """(base, events of the tail, sets of the tail) of the drift store."""
     at = read_pointer(spark, root, "drift")
     events = read_state(spark, root, "drift_events", since=at.tail)
-    updates = read_state(spark, root, "drift_event_updates", since=at.tail).drop("updated_at_date")
-    base = spark.read.parquet(at.base) if at.base else None
-    return base, events, _latest_sets(updates, _SETS)
+    # A repeated update is the latest once or twice, so none are removed first.
+    updates = read_state(spark, root, "drift_event_updates", deduplicate=False, since=at.tail).drop("updated_at_date")
+    base = _all_sets(spark.read.parquet(at.base)) if at.base else None
+    return base, events, _latest_sets(updates, _SETS, _fields_set(updates))
 
 
 def _events_with_sets(spark: SparkSession, root: str) -> DataFrame:
@@ -300,23 +325,50 @@ def compact_state(spark: SparkSession, root: str) -> None:
     close_generation(spark, root, "heads", before, during, path)
 
     before, during = open_generation(spark, root, "drift")
-    base, _, sets = _drift_state(spark, root)
-    events = _events_with_sets(spark, root)
-    committed = events.where("_committed").unionByName(
-        _headed(events.where("NOT _committed"), spark, root).withColumn("_committed", F.lit(True))
-    )
-    open_events = events.join(committed.select("drift_id"), "drift_id", "left_anti")
-    known = committed.unionByName(open_events).withColumn("_known", F.lit(True))
-    early = sets.join(events.select("drift_id"), "drift_id", "left_anti")
-    if base is not None:
-        waiting = base.where("NOT _known").join(events.select("drift_id"), "drift_id", "left_anti").select("drift_id", *[f"_{c}" for c in _SETS])
-        early = early.alias("t").join(waiting.alias("b"), "drift_id", "full").select("drift_id", *_merged_sets("b", "t"))
     path = new_base(root, "drift")
-    early = early.withColumns({"_known": F.lit(False), "_committed": F.lit(False)})
-    known.unionByName(early, allowMissingColumns=True).write.parquet(path)
+    _folded_events(spark, root).write.parquet(path)
     close_generation(spark, root, "drift", before, during, path)
 
 
+def _folded_events(spark: SparkSession, root: str) -> DataFrame:
+    """The next base: the present one with the tail's events and updates, by one shuffle.
+
+    Rows of the base, events, updates and ids of events that have a header by now are brought
+    together by drift id and folded there. An event in the base stands before a replay of it in
+    the tail; updates of events that are still to come are kept without one.
+    """
+    at = read_pointer(spark, root, "drift")
+    events = read_state(spark, root, "drift_events", deduplicate=False, since=at.tail)
+    updates = read_state(spark, root, "drift_event_updates", deduplicate=False, since=at.tail)
+    used = _fields_set(updates)
+    event = F.struct(*[c for c in _EVENT if c != "drift_id"])
+    plain = events.select("drift_id", event.alias("_event"), F.lit(0).alias("_from"))
+    latest = lambda c: F.when(F.array_contains("set_fields", c), F.struct(F.col("_order").alias("o"), F.col(c).alias("v")))
+    sets = _ordered(updates, _SETS).select(
+        "drift_id", F.col("updated_at").alias("_updated_at"), *[latest(c).alias(f"_{c}") for c in used if c != "updated_at"]
+    )
+    waiting = events.select("drift_id", "to_snapshot_id")
+    rows = plain.unionByName(sets, allowMissingColumns=True)
+    if at.base:
+        base = spark.read.parquet(at.base)
+        used = [c for c in _SETS if c in used or f"_{c}" in base.columns]
+        kept = [f"_{c}" for c in _SETS if f"_{c}" in base.columns]
+        folded = base.select("drift_id", F.when(F.col("_known"), event).alias("_event"), F.when(F.col("_known"), 1).alias("_from"), *kept, "_committed")
+        rows = rows.unionByName(folded, allowMissingColumns=True)
+        waiting = waiting.unionByName(base.where("_known AND NOT _committed").select("drift_id", "to_snapshot_id"))
+    headed = _headed(waiting, spark, root).select("drift_id", F.lit(True).alias("_committed"))
+    rows = rows.unionByName(headed, allowMissingColumns=True)
+    aggregates = [F.max_by(f"_{c}", F.col(f"_{c}.o")).alias(f"_{c}") for c in used if c != "updated_at"]
+    folded = rows.repartition("drift_id").groupBy(F.xxhash64("drift_id").alias("_digest"), "drift_id").agg(
+        F.max_by("_event", "_from").alias("_event"), F.max("_updated_at").alias("_updated_at"), *aggregates,
+        F.coalesce(F.max("_committed"), F.lit(False)).alias("_committed"),
+    )
+    return folded.select(
+        "drift_id", "_event.*", *[f"_{c}" for c in _SETS if c in used or c == "updated_at"],
+        F.col("_event").isNotNull().alias("_known"), (F.col("_committed") & F.col("_event").isNotNull()).alias("_committed"),
+    )
+
+
 def entity_map_latest(entity_map: DataFrame) -> DataFrame:
     """Rows of the newest detection run. The run id is one scalar, not a collected value."""
     newest = entity_map.agg(F.max_by("detection_id", F.struct("detected_at", "detection_id"))).scalar()
