@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landwatch.functions.text import stable_id, table_key
-from landwatch.operators.entities import MIN_CONFIDENCE, entity_occurrences, entity_of_table, merged_names
+from landwatch.operators.entities import MIN_CONFIDENCE, connection_digests, entity_occurrences, entity_of_table, merged_names
 from landwatch.operators.model import build_prompts, run_model, with_fallbacks
 from landwatch.session import materialize
 
@@ -37,12 +37,17 @@ def entity_overlaps(
         found = entity_occurrences(landed)
         # Where each entity occurs comes from two columns of the input rather than from the
         # occurrences, which cost two joins.
-        places = landed.select("connection_id", entity_of_table(F.col("table_name")).alias("entity"))
+        places = landed.select("connection_id", "table_name")
     else:
         found = places = _with_model(landed, model_fn)
-    spread = places.groupBy("entity").agg(
-        (F.min("connection_id") != F.max("connection_id")).alias("is_spread")
-    )
+    # Digests are combined per name before the entities of the names are worked out.
+    ends = lambda c: [F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max")]
+    by = "table_name" if model_fn is None else "entity"
+    met = places.select(by, *connection_digests()).groupBy(by).agg(*ends("_conn_a"), *ends("_conn_b"))
+    if model_fn is None:
+        met = met.withColumn("entity", entity_of_table(F.col("table_name")))
+    several = [F.min(f"{c}_min") != F.max(f"{c}_max") for c in ("_conn_a", "_conn_b")]
+    spread = materialize(met.groupBy("entity").agg((several[0] | several[1]).alias("is_spread")), "entity-spread")
     single = landed.agg(F.min("connection_id") == F.max("connection_id")).scalar()
     catalog = F.coalesce(single, F.lit(True))
     return (
