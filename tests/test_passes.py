@@ -79,3 +79,13 @@ def test_occurrences_whatever_is_looked_up_in_place(spark, monkeypatch, common):
                 conflicts.add(f"{name} is NOT NULL in one place and NULLABLE in another")
         r = got[entity[t], f"c{c}"]
         assert (r.n_columns, r.n_shared, r.join_key_col, r.conflicts) == (len(mine), shared, "id", sorted(conflicts))
+
+
+def test_pairs_read_the_columns_once(spark, tmp_path):
+    path = str(tmp_path / "landed_once")
+    spark.createDataFrame(_columns(), LANDED).write.parquet(path)
+    pairs = lw.entity_overlap_pairs(spark.read.parquet(path))
+    assert "landed_once" not in plan(pairs)
+    assert {(r.entity, r.connection_id, r.anchor_connection_id, r.n_common, r.jaccard) for r in pairs.collect() if r.connection_id in ("c0", "c1", "c3")} == {
+        (e, c, a, n, round(n / (10 - n), 4)) for e in ("customer", "order") for c, a, n in (("c0", "c1", 4), ("c1", "c0", 4), ("c3", "c0", 3))
+    }
