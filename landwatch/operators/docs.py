@@ -43,7 +43,9 @@ def schema_docs(landed: DataFrame, model_fn: Callable[[str], str] | None = None)
     )
     if model_fn is None:
         return base.withColumnRenamed("_default", "description")
-    replies = with_fallbacks(run_model(build_prompts(landed, "docs"), model_fn), "docs")
+    # The question holds the column's facts; beside it only the place of an answer is needed.
+    asked = build_prompts(landed, "docs").select("connection_id", "table_key", "prompt")
+    replies = with_fallbacks(run_model(asked, model_fn), "docs")
     said = replies.select("connection_id", "table_key", F.explode("items").alias("i")).select(
         "connection_id", "table_key", F.col("i.column_name").alias("column_name"),
         F.coalesce("i.description", F.lit("")).alias("description"),

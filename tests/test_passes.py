@@ -1,5 +1,6 @@
 """Wide rows are moved and taken apart no more often than the job needs."""
 
+import glob
 import itertools
 from collections import defaultdict
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 import landwatch as lw
 from landwatch.operators import entities
 from landwatch.operators.entities import entity_of_table
+from landwatch.session import shared_dir
 from landwatch.sources import folded
 from landwatch.sources.state import _folded_events
 from tests.test_compaction import now, update
@@ -89,3 +91,15 @@ def test_pairs_read_the_columns_once(spark, tmp_path):
     assert {(r.entity, r.connection_id, r.anchor_connection_id, r.n_common, r.jaccard) for r in pairs.collect() if r.connection_id in ("c0", "c1", "c3")} == {
         (e, c, a, n, round(n / (10 - n), 4)) for e in ("customer", "order") for c, a, n in (("c0", "c1", 4), ("c1", "c0", 4), ("c3", "c0", 3))
     }
+
+
+def test_questions_and_replies_are_joined_by_a_short_key(spark):
+    before = set(glob.glob(f"{shared_dir(spark)}/landwatch/*"))
+    rows = spark.createDataFrame([(k, f"ask {k % 3}" if k else None) for k in range(7)], "k int, prompt string")
+    got = lw.run_model(rows, lambda p: None if p.endswith("2") else p.upper())
+    assert {r.k: r.raw for r in got.collect()} == {0: None, 1: "ASK 1", 2: None, 3: "ASK 0", 4: "ASK 1", 5: None, 6: "ASK 0"}
+    new = {p.rsplit("/", 1)[-1].split("-")[0]: p for p in set(glob.glob(f"{shared_dir(spark)}/landwatch/*")) - before}
+    for name, key in (("questions", "_question"), ("replies", "question")):
+        stored = spark.read.parquet(new[name])
+        assert {r.n for r in stored.where(f"{key} IS NOT NULL").select(F.octet_length(key).alias("n")).collect()} == {16}
+        assert all(".zstd." in f for f in stored.inputFiles())
