@@ -165,6 +165,12 @@ def slot(term: str) -> int:
     return zlib.crc32(term.encode("utf-8", "replace")) % SLOTS
 
 
+def marked_words(text: str, marks: np.ndarray) -> list[tuple[int, int, str]]:
+    """(start, end, word) of the words whose slot is marked. Most texts hold none; only the others are gone through place by place."""
+    held = {w for w in map(str.lower, set(WORD.findall(text))) if marks[slot(w)]}
+    return [(*m.span(), w) for m in WORD.finditer(text) if (w := m[0].lower()) in held] if held else []
+
+
 def _table(terms: DataFrame) -> np.ndarray:
     """Which of the ``SLOTS`` slots any term falls in: one bit each, whatever the number of terms."""
     marks = np.zeros(SLOTS, bool)
@@ -292,17 +298,10 @@ def term_spans(documents: DataFrame, terms: DataFrame, text_col: str = "text", k
         for pdf in batches:
             rows = []
             for doc, t in zip(pdf["doc_id"], pdf["text"]):
-                known: dict[str, bool] = {}
-                hits = []
-                for m in WORD.finditer(t or ""):
-                    w = m[0].lower()
-                    if w not in known:
-                        known[w] = bool(marks[slot(w)])
-                    if known[w]:
-                        hits.append((doc, m.start(), m.end(), w))
+                hits = marked_words(t or "", marks)
                 if hits:
                     free = set(outside(t, base_spans(t)))
-                    rows += [h for h in hits if (h[1], h[2]) in free]
+                    rows += [(doc, *h) for h in hits if h[:2] in free]
             yield pd.DataFrame(rows, columns=["doc_id", "lo", "hi", "term"])
 
     rows = documents.where(F.col(key_col).isNotNull()).select(F.col(key_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

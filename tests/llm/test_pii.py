@@ -86,3 +86,16 @@ def test_far_words_of_one_passage_disclose_nothing(spark, docs_of):
     passage = " ".join(f"{chr(97 + i)}{chr(97 + j)}passage" for i in range(6) for j in range(10))
     rows = [(i, f"front{i}x {passage} quokkas {passage} to an@im.al {passage}") for i in range(20)] + [(i, "nothing of it") for i in range(20, 90)]
     assert "quokkas" not in {r["term"] for r in P.disclosing_terms(docs_of(rows)).collect()}
+
+
+def test_texts_without_a_marked_word_are_not_gone_through(monkeypatch):
+    marks = P.np.zeros(P.SLOTS, bool)
+    marks[P.slot("bob")] = True
+    assert P.marked_words("Bob met bob_BOB, not bobby", marks) == [(0, 3, "bob"), (8, 11, "bob"), (12, 15, "bob")]
+    word = P.WORD
+
+    class Once:
+        findall = staticmethod(word.findall)
+
+    monkeypatch.setattr(P, "WORD", Once)
+    assert P.marked_words("nobody here " * 1000, marks) == [] == P.marked_words("", marks)
