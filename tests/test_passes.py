@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import landwatch as lw
-from landwatch.operators import entities
+from landwatch.operators import classify, entities
 from landwatch.operators.entities import entity_of_table
 from landwatch.session import shared_dir
 from landwatch.sources import folded
@@ -103,3 +103,23 @@ def test_questions_and_replies_are_joined_by_a_short_key(spark):
         stored = spark.read.parquet(new[name])
         assert {r.n for r in stored.where(f"{key} IS NOT NULL").select(F.octet_length(key).alias("n")).collect()} == {16}
         assert all(".zstd." in f for f in stored.inputFiles())
+
+
+@pytest.mark.parametrize("gathered", [0, 5, 4096])
+def test_consumers_are_moved_once_with_their_table(spark, monkeypatch, tmp_path, gathered):
+    monkeypatch.setattr(classify, "NAMES_GATHERED", gathered, raising=False)
+    before = [("c1", "p", "t", "a", "INT64", 1, True), ("c1", "p", "t", "b", "INT64", 2, True), ("c1", "p", "u", "a", "INT64", 1, True), ("c2", "p", "t", "a", "INT64", 1, True)]
+    after = [("c1", "p", "t", "a", "STRING", 1, True), ("c1", "p", "t", "b", "INT64", 3, True), ("c1", "p", "u", "a", "INT64", 2, True), ("c1", "p", "v", "n", "INT64", 1, True)]
+    path = str(tmp_path / "readers_once")
+    rows = [("c1", "p", "t", f"j{i:02}") for i in range(25)] * 2 + [("c1", "p", "u", "only"), ("c1", "p", "u", None), ("c1", None, "u", "x"), ("c9", "p", "t", "x")]
+    spark.createDataFrame(rows, "connection_id string, table_schema string, table_name string, consumer string").write.parquet(path)
+    changes = lw.diff_columns(spark.createDataFrame(before, LANDED), spark.createDataFrame(after, LANDED))
+    told = lw.classify_changes(changes, consumers=spark.read.parquet(path))
+    got = {(r.connection_id, r.table_name, r.change_type): (r.is_collateral, r.n_consumers, r.downstream_consumers, r.ordinal_delta) for r in told.collect()}
+    first = [f"j{i:02}" for i in range(20)]
+    assert got == {
+        ("c1", "t", "TYPE_PROMOTION"): (False, 25, first, 0), ("c1", "t", "REORDER"): (True, 25, first, 1), ("c1", "u", "REORDER"): (False, 1, ["only"], 1),
+        ("c1", "v", "NEW_FIELD"): (False, 0, [], None), ("c2", "t", "DEPRECATION"): (False, 0, [], None),
+    }
+    if gathered == 4096:
+        assert plan(told).split("Initial Plan")[-1].count("consumer:string>") == 1
