@@ -123,3 +123,29 @@ def test_consumers_are_moved_once_with_their_table(spark, monkeypatch, tmp_path,
     }
     if gathered == 4096:
         assert plan(told).split("Initial Plan")[-1].count("consumer:string>") == 1
+
+
+@pytest.mark.parametrize("sets, tables, least", [(1, 1, 0.5), (2, 3, 0.3), (1_000, 200, 0.7)])
+def test_every_similar_pair_has_a_row(spark, monkeypatch, sets, tables, least):
+    monkeypatch.setattr(entities, "SETS_COMPARED", sets, raising=False)
+    monkeypatch.setattr(entities, "TABLES_GATHERED", tables, raising=False)
+    names = {}
+    for c, (t, entity) in itertools.product(range(9), (("users", "customer"), ("accounts", "customer"), ("orders", "order"))):
+        names[entity, f"c{c}", f"public.{t}"] = {f"n{(c * k + len(t)) % 7}" for k in range(1 + (c + len(t)) % 4)} | ({f"own{c}"} if c == 4 else set())
+    rows = [(c, "public", t.split(".")[1], n, "STRING", 1, True) for (_, c, t), every in names.items() for n in every]
+    want, linked = set(), set()
+
+    def row(a, b):
+        both = len(names[a] & names[b])
+        return (*a, *b[1:], both, round(both / len(names[a] | names[b]), 4))
+
+    for entity in ("customer", "order"):
+        mine = sorted(t for t in names if t[0] == entity)
+        second = next(t for t in mine if t[1] != mine[0][1])
+        for t in mine:
+            anchor = second if t[1] == mine[0][1] else mine[0]
+            linked.add(frozenset((t, anchor)))
+            want.add(row(anchor, t))
+        want |= {r for a, b in itertools.combinations(mine, 2) if a[1] != b[1] and frozenset((a, b)) not in linked and (r := row(b, a))[-1] >= least}
+    got = [tuple(r) for r in lw.entity_overlap_pairs(spark.createDataFrame(rows, LANDED), least).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 27
