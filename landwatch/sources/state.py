@@ -30,13 +30,18 @@ def _path(root: str, table: str) -> str:
     return f"{root.rstrip('/')}/{table}"
 
 
-def append_state(df: DataFrame, root: str, table: str, gathered: bool = False) -> None:
+def append_state(df: DataFrame, root: str, table: str, gathered: bool = False, many_dates: bool = False) -> None:
     """Append rows to a state table.
 
     Rows are brought together by date and first cluster column, so a file holds few
     connections and readers skip the others; the rebalance hint lets AQE split a key that
     holds too many rows and merge small ones. Rows are sorted inside each file. With
     ``gathered`` the caller has brought them together before.
+
+    Every task opens a file for each of its dates. With ``many_dates``, as a history has, tasks
+    take ranges of the dates and their connections instead, so there are about as many files as
+    dates and tasks, not their product. The range is found from a sample of the rows, for which
+    the last step before is worked out once more; the row id splits a connection of many rows.
     """
     spec = _TABLES[table]
     missing = [f.name for f in spec.schema.fields if not f.nullable and f.name not in df.columns]
@@ -57,7 +62,9 @@ def append_state(df: DataFrame, root: str, table: str, gathered: bool = False) -
     if table in STORE_OF:
         path += f"/generation={read_pointer(df.sparkSession, root, STORE_OF[table]).generation}"
     rows = df.select(*columns).select(*checked).withColumn(spec.date_column, F.to_date(spec.time_column))
-    if not gathered:
+    if many_dates:
+        rows = rows.repartitionByRange(spec.date_column, *spec.cluster_by, F.xxhash64(*spec.row_id))
+    elif not gathered:
         rows = rows.hint("rebalance", F.col(spec.date_column), F.col(spec.cluster_by[0]))
     (
         rows.sortWithinPartitions(spec.date_column, *spec.cluster_by)
@@ -92,8 +99,8 @@ def read_state(spark: SparkSession, root: str, table: str, deduplicate: bool = T
 def write_snapshot(snapshots: DataFrame, columns: DataFrame, root: str) -> None:
     """Append snapshots with their columns. Columns go first: the header row is what makes
     a snapshot visible, so a failure between the two writes leaves nothing half-visible."""
-    append_state(columns, root, "column_snapshots")
-    append_state(snapshots, root, "schema_snapshots")
+    append_state(columns, root, "column_snapshots", many_dates=True)
+    append_state(snapshots, root, "schema_snapshots", many_dates=True)
 
 
 def insert_drift_event(events: DataFrame, root: str, gathered: bool = False) -> None:

@@ -40,3 +40,26 @@ def test_known_connections_are_stored_and_new_ones_left_out(spark):
     current = landed(spark, *NEXT).unionByName(landed(spark, *NEXT, conn="c2"))
     got = lw.plan_drift(landed(spark, *BASE), current).collect()
     assert {r.connection_id for r in got} == {"c1"} and len(stages(spark, "known") - before) == 1
+
+
+def test_a_history_has_as_many_files_as_dates_and_tasks(spark, root):
+    day = lambda c: F.expr(f"timestamp'2024-01-01 08:00:00' + make_dt_interval(cast({c} % 30 as int))")
+    headers = spark.range(900).select(
+        F.concat(F.lit("s"), "id").alias("snapshot_id"), F.concat(F.lit("c"), F.col("id") % 7).alias("connection_id"), F.lit("public").alias("destination_schema"),
+        day("id").alias("captured_at"), F.lit("sync_end").alias("trigger_event"), F.lit("h").alias("content_hash"),
+    )
+    columns = headers.select(
+        "snapshot_id", "connection_id", F.lit("public").alias("table_schema"), F.lit("t").alias("table_name"), F.lit("id").alias("column_name"),
+        F.lit("INT64").alias("data_type"), F.lit(1).alias("ordinal_position"), "captured_at",
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        lw.write_snapshot(headers, columns, root)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for table in ("schema_snapshots", "column_snapshots"):
+        files = glob.glob(f"{root}/{table}/**/*.parquet", recursive=True)
+        assert 30 <= len(files) <= 30 + 4
+        stored = lw.read_state(spark, root, table, deduplicate=False)
+        assert stored.select("snapshot_id").distinct().count() == stored.count() == 900
+        assert stored.where("captured_at_date != to_date(captured_at)").isEmpty()
