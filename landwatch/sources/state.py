@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StructField, StructType
 
-from landwatch.session import path_exists
+from landwatch.session import materialize, path_exists
 from landwatch.sources.folded import (
     STORE_OF,
     close_generation,
@@ -262,18 +262,21 @@ def _headed(events: DataFrame, spark: SparkSession, root: str) -> DataFrame:
 def _drift_state(spark: SparkSession, root: str) -> tuple[DataFrame | None, DataFrame, DataFrame]:
     """(base, events of the tail, sets of the tail) of the drift store."""
     at = read_pointer(spark, root, "drift")
-    events = read_state(spark, root, "drift_events", since=at.tail)
+    # Beside a base only the events it lacks are looked at, and these are told apart then.
+    events = read_state(spark, root, "drift_events", deduplicate=at.base is None, since=at.tail)
     # A repeated update is the latest once or twice, so none are removed first.
     updates = read_state(spark, root, "drift_event_updates", deduplicate=False, since=at.tail).drop("updated_at_date")
     base = _all_sets(spark.read.parquet(at.base)) if at.base else None
-    return base, events, _latest_sets(updates, _SETS, _fields_set(updates))
+    sets = _latest_sets(updates, _SETS, _fields_set(updates))
+    # A join with nothing is left out of the plan only if it is known before.
+    return base, events, sets.limit(0) if updates.isEmpty() else sets
 
 
 def _events_with_sets(spark: SparkSession, root: str) -> DataFrame:
     """All events with what their updates set, and ``_committed`` where compaction saw their header.
 
-    The base is joined with the tail alone; the tail's own events are those that a lookup of the
-    tail's ids in the base does not find, so the base is not moved while the tail is small.
+    The base is joined with the tail's updates alone, and stays where it is while there are none;
+    the tail's own events are those whose ids a lookup in the base does not find.
     """
     base, events, sets = _drift_state(spark, root)
     if base is None:
@@ -281,16 +284,49 @@ def _events_with_sets(spark: SparkSession, root: str) -> DataFrame:
     columns = [*_EVENT, *[f"_{c}" for c in _SETS], "_committed"]
     old = base.alias("b").join(sets.alias("t"), "drift_id", "left").where("_known").select(
         *[F.col(f"b.{c}") if c != "drift_id" else F.col(c) for c in _EVENT], *_merged_sets("b", "t"), "_committed"
-    )
-    ids = events.select("drift_id").union(sets.select("drift_id")).distinct()
-    met = base.join(ids, "drift_id", "left_semi").select("drift_id", "_known", *[f"_{c}" for c in _SETS])
-    new = events.join(met.where("_known"), "drift_id", "left_anti").join(sets, "drift_id", "left")
+    ).select(*columns)
+    new = _new_events(events, base)
+    if new is None:
+        return old
     # Updates may have come, and been folded, before their event.
-    early = met.where("NOT _known").drop("_known")
-    new = new.alias("t").join(early.alias("b"), "drift_id", "left").select(
+    early = base.where("NOT _known").select("drift_id", *[f"_{c}" for c in _SETS])
+    new = new.join(sets, "drift_id", "left").alias("t").join(early.alias("b"), "drift_id", "left").select(
         *[F.col(f"t.{c}") if c != "drift_id" else F.col(c) for c in _EVENT], *_merged_sets("b", "t"), F.lit(False).alias("_committed")
     )
-    return old.select(*columns).unionByName(new.select(*columns))
+    return old.unionByName(new.select(*columns))
+
+
+def _new_events(events: DataFrame, base: DataFrame) -> DataFrame | None:
+    """The events that the base does not hold, each once, or None where it holds all.
+
+    Ids of both are told apart by 16 bytes. Mostly the base holds all of the tail's events or none,
+    and only else are the fewer of both kinds stored, by which the events are picked."""
+    digest = F.unhex(F.md5(F.col("drift_id").cast("binary"))).alias("_id")
+    known = base.where("_known")
+    if known.isEmpty():
+        return each_once(events)
+    ids = events.select(digest).distinct().join(known.select(digest, F.lit(True).alias("_held")), "_id", "left")
+    n, held = ids.agg(F.count(F.lit(1)), F.count("_held")).first()
+    if n == held:
+        return None
+    if held == 0:
+        return each_once(events)
+    fewer = materialize(ids.where(F.col("_held").isNull() if n < 2 * held else F.col("_held").isNotNull()).select("_id"), "event-ids")
+    picked = events.select("*", digest).join(fewer, "_id", "left_semi" if n < 2 * held else "left_anti")
+    return each_once(picked.drop("_id"))
+
+
+def each_once(events: DataFrame) -> DataFrame:
+    """One row per drift_id. Only a rerun after a failure repeats any: digests of the ids are
+    counted, and the rows of those that repeat, if there are some, are the only ones moved whole."""
+    digest = F.xxhash64("drift_id").alias("_digest")
+    repeated = events.select(digest).groupBy("_digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_digest")
+    repeated = materialize(repeated, "repeated-events")
+    if repeated.isEmpty():
+        return events
+    marked = events.select("*", digest)
+    single = marked.join(repeated, "_digest", "left_anti").drop("_digest")
+    return single.unionByName(marked.join(repeated, "_digest", "left_semi").drop("_digest").dropDuplicates(["drift_id"]))
 
 
 def drift_events_current(
@@ -333,7 +369,7 @@ def compact_state(spark: SparkSession, root: str) -> None:
 
     before, during = open_generation(spark, root, "drift")
     path = new_base(root, "drift")
-    _folded_events(spark, root).write.parquet(path)
+    _folded_events(spark, root).write.parquet(path, compression="zstd")
     close_generation(spark, root, "drift", before, during, path)
 
 
@@ -342,11 +378,14 @@ def _folded_events(spark: SparkSession, root: str) -> DataFrame:
 
     Rows of the base, events, updates and ids of events that have a header by now are brought
     together by drift id and folded there. An event in the base stands before a replay of it in
-    the tail; updates of events that are still to come are kept without one.
+    the tail; updates of events that are still to come are kept without one. Where the tail
+    updates nothing, no rows are moved (``_appended_events``).
     """
     at = read_pointer(spark, root, "drift")
     events = read_state(spark, root, "drift_events", deduplicate=False, since=at.tail)
     updates = read_state(spark, root, "drift_event_updates", deduplicate=False, since=at.tail)
+    if updates.isEmpty():
+        return _appended_events(spark, root, spark.read.parquet(at.base) if at.base else None, events)
     used = _fields_set(updates)
     event = F.struct(*[c for c in _EVENT if c != "drift_id"])
     plain = events.select("drift_id", event.alias("_event"), F.lit(0).alias("_from"))
@@ -376,6 +415,30 @@ def _folded_events(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def _appended_events(spark: SparkSession, root: str, base: DataFrame | None, events: DataFrame) -> DataFrame:
+    """The next base where no event is updated: the present one, and the events it lacks, as they
+    are stored. Moved are ids of events, and the ids of the snapshots that wait for a header."""
+    unset = _all_sets(events.sparkSession.range(0).select()).schema
+    if base is None:
+        rows = each_once(events).select(*_EVENT, F.lit(True).alias("_known"), F.lit(False).alias("_committed"))
+        rows = rows.withColumn("_updated_at", F.lit(None).cast(unset["_updated_at"].dataType))
+    else:
+        rows, new = base, _new_events(events, base)
+        if new is not None:
+            early = base.where("NOT _known").select("drift_id", *[c for c in base.columns if c in unset.names])
+            early = materialize(early, "early-updates")
+            new = new.select(*_EVENT).join(early, "drift_id", "left").withColumns({"_known": F.lit(True), "_committed": F.lit(False)})
+            arrived = new.join(early.select("drift_id"), "drift_id", "left_semi").select("drift_id")
+            waits = base.where("NOT _known").join(arrived, "drift_id", "left_anti").select(*base.columns)
+            rows = base.where("_known").unionByName(waits).unionByName(new.select(*base.columns))
+    waiting = rows.where("_known AND NOT _committed").select("to_snapshot_id").distinct()
+    headers = read_state(spark, root, "schema_snapshots", deduplicate=False).select(F.col("snapshot_id").alias("to_snapshot_id"))
+    # Headers are written last, so few snapshots lack one: these are stored and looked up.
+    headless = materialize(waiting.join(headers, "to_snapshot_id", "left_anti").withColumn("_headless", F.lit(True)), "headless")
+    committed = F.col("_known") & (F.col("_committed") | F.col("_headless").isNull())
+    return rows.join(headless, "to_snapshot_id", "left").withColumn("_committed", committed).select(*rows.columns)
+
+
 def entity_map_latest(entity_map: DataFrame) -> DataFrame:
     """Rows of the newest detection run. The run id is one scalar, not a collected value."""
     newest = entity_map.agg(F.max_by("detection_id", F.struct("detected_at", "detection_id"))).scalar()

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from landwatch.plans.detect import detect_drift
+from landwatch.session import free_shuffles
 from landwatch.sources.landed_store import read_landed
 from landwatch.sources.state import compact_state
 
@@ -39,6 +40,7 @@ def stream_detect_drift(
             detect_drift(batch, landed, root, system_columns, connections, model_fn)
             if compact_every and (number + 1) % compact_every == 0:
                 compact_state(spark, root)
+            free_shuffles(spark)
 
     writer = syncs.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

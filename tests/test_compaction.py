@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import landwatch as lw
 from landwatch.sources import folded
-from landwatch.sources.state import append_state
+from landwatch.sources.state import _folded_events, append_state
 from tests.test_state import BASE, NEXT, SYSTEM, event, landed, syncs
 
 
@@ -105,3 +105,31 @@ def test_detection_reads_the_heads_only(spark, root):
     events = lw.detect_drift(syncs(spark, "c1", at="2024-01-02 00:00:00"), landed(spark, *NEXT), root, SYSTEM)
     assert sorted(e.change_type for e in events.collect()) == ["NEW_FIELD", "TYPE_PROMOTION"]
     assert lw.drift_events_current(spark, root).count() >= 2
+
+
+@pytest.mark.parametrize("replayed", [1, 5])
+def test_events_without_updates_stay_where_they_are(spark, root, replayed):
+    """Replays, late events and early updates come together whatever part of the tail the base holds."""
+    update(spark, root, "d8", "2024-01-02", approved_by="early")
+    lw.compact_state(spark, root)
+    lw.compact_state(spark, root)  # the update leaves the tail
+    lw.compact_state(spark, root)
+    for d in range(6):
+        event(spark, root, f"d{d}")
+    moved = _folded_events(spark, root)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(drift_id" not in moved.split("Initial Plan")[-1]
+    event(spark, root, "d0")  # a replay in the same generation
+    before = now(spark, root)
+    lw.compact_state(spark, root)
+    assert now(spark, root) == before and [r[0] for r in before] == [f"d{d}" for d in range(6)]
+    lw.compact_state(spark, root)
+    for d in (*range(replayed), 7, 8):
+        event(spark, root, f"d{d}")
+    before = now(spark, root)
+    lw.compact_state(spark, root)
+    lw.compact_state(spark, root)
+    assert now(spark, root) == before
+    assert [r[0] for r in before] == [*(f"d{d}" for d in range(6)), "d7", "d8"] and {r[2] for r in before if r[0] == "d8"} == {"early"}
+    base = spark.read.parquet(folded.read_pointer(spark, root, "drift").base)
+    assert base.where("_known").count() == base.count() == 8
+    assert all(f.endswith(".zstd.parquet") for f in read_files(base))
