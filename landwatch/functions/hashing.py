@@ -9,6 +9,8 @@ _PARTS = ("table_schema", "table_name", "column_name", "data_type", "ordinal_pos
 #: Version of the digest, kept in front of each hash. A stored hash of another version differs
 #: from every new one, so its snapshot is compared by content once and then replaced.
 VERSION = "2"
+#: The lowest 30 bits.
+_LOW = (1 << 30) - 1
 
 
 def _row_text() -> Column:
@@ -28,12 +30,22 @@ def content_hash(landed: DataFrame, by: tuple[str, ...] = ("connection_id",)) ->
     """
     digest = F.md5(_row_text())
     rows = landed.select(*by, "table_schema", "table_name", digest.alias("_d"))
-    halves = [F.conv(F.substring("_d", at, 15), 16, 10).cast("decimal(38,0)") for at in (1, 17)]
+    numbers = [F.conv(F.substring("_d", at, 15), 16, 10).cast("bigint") for at in (1, 17)]
+    # Sums of long decimals are slow to keep, so both ends of each 60-bit number are summed as
+    # numbers of 30 bits, which leave room for 2^33 columns.
+    ends = [end for n in numbers for end in (F.shiftright(n, 30), n.bitwiseAND(F.lit(_LOW)))]
+    parts = [f"_s{i}" for i in range(len(ends))]
     tables = rows.groupBy(*by, "table_schema", "table_name").agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(h).alias(f"_s{i}") for i, h in enumerate(halves)]
+        F.count(F.lit(1)).alias("_n"), *[F.sum(end).alias(s) for s, end in zip(parts, ends)]
     )
-    whole = tables.groupBy(*by).agg(F.sum("_n").alias("column_count"), *[F.sum(f"_s{i}").alias(f"_s{i}") for i in (0, 1)])
-    return whole.select(*by, _text(F.col("column_count"), F.col("_s0"), F.col("_s1")).alias("content_hash"), "column_count")
+    whole = tables.groupBy(*by).agg(F.sum("_n").alias("column_count"), *[F.sum(s).alias(s) for s in parts])
+    sums = [_whole(F.col(high), F.col(low)) for high, low in (parts[:2], parts[2:])]
+    return whole.select(*by, _text(F.col("column_count"), *sums).alias("content_hash"), "column_count")
+
+
+def _whole(high: Column, low: Column) -> Column:
+    exact = "decimal(38,0)"
+    return (high.cast("decimal(27,0)") * F.lit(_LOW + 1).cast("decimal(10,0)") + low.cast("decimal(37,0)")).cast(exact)
 
 
 def _text(count: Column, *sums: Column) -> Column:

@@ -1,6 +1,7 @@
 """Wide rows are moved and taken apart no more often than the job needs."""
 
 import glob
+import hashlib
 import itertools
 from collections import defaultdict
 
@@ -149,3 +150,14 @@ def test_every_similar_pair_has_a_row(spark, monkeypatch, sets, tables, least):
         want |= {r for a, b in itertools.combinations(mine, 2) if a[1] != b[1] and frozenset((a, b)) not in linked and (r := row(b, a))[-1] >= least}
     got = [tuple(r) for r in lw.entity_overlap_pairs(spark.createDataFrame(rows, LANDED), least).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 27
+
+
+def test_content_hash_sums_no_decimals_by_row(spark):
+    rows = [("c", "public", f"t{k % 3}", f"n{k}", "INT64", k, True) for k in range(200)]
+    hashed = lw.content_hash(spark.createDataFrame(rows, LANDED))
+    text = lambda r: "".join(f"{len(str(p))}:{p}" for p in r[1:6])
+    digests = [hashlib.md5(text(r).encode()).hexdigest() for r in rows]
+    sums = [sum(int(d[at:at + 15], 16) for d in digests) for at in (0, 16)]
+    want = "2:" + hashlib.sha256(f"200|{sums[0]}|{sums[1]}".encode()).hexdigest()
+    assert [(r.content_hash, r.column_count) for r in hashed.collect()] == [(want, 200)]
+    assert "sum(cast(conv" not in plan(hashed)
